@@ -9,7 +9,7 @@ hot key therefore spreads over as many tasks as it has blocks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,48 +25,43 @@ def carry(
     df: DataFrame,
     keys: Sequence[str],
     pos: str,
-    value: str | Column,
-    out: str = "seen",
+    values: Mapping[str, Column],
     width: int = BLOCK,
     forward: bool = True,
     backward: bool = True,
 ) -> DataFrame:
-    """Add ``{out}_prev`` and ``{out}_next``: the nearest non-null value at or
-    before / at or after each row, as ``struct(pos, v)``.
+    """For each named value add the nearest non-null one at or before the row
+    (``{n}_prev``, ``{n}_prev_pos``) and at or after it (``{n}_next``, ``{n}_next_pos``).
 
-    ``pos`` must order the rows of a key without ties.
+    ``pos`` must order the rows of a key without ties. All values share one
+    pass: two sorts inside the blocks and one join with the block edges.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    seen = F.when(v.isNotNull(), F.struct(F.col(pos).alias("pos"), v.alias("v")))
-    base = df.withColumn("_blk", _block(pos, width)).withColumn("_seen", seen)
+    base = df.withColumn("_blk", _block(pos, width))
+    for n, v in values.items():
+        base = base.withColumn(f"_v_{n}", v).withColumn(f"_p_{n}", F.when(v.isNotNull(), F.col(pos)))
     own = [*keys, "_blk"]
-    along = Window.partitionBy(*own).orderBy(pos)
-
-    edges = base.groupBy(*own).agg(
-        F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col(pos))).alias("_hi"),
-        F.min_by("_seen", F.when(F.col("_seen").isNotNull(), F.col(pos))).alias("_lo"),
-    )
-    over_blocks = Window.partitionBy(*keys).orderBy("_blk")
-    edges = edges.select(
-        *own,
-        F.last("_hi", True).over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_prev"),
-        F.first("_lo", True).over(over_blocks.rowsBetween(1, Window.unboundedFollowing)).alias("_in_next"),
-    )
-    cols = base
-    if forward:
-        cols = cols.withColumn(
-            f"{out}_prev", F.last("_seen", True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-        )
-    if backward:
-        cols = cols.withColumn(
-            f"{out}_next", F.first("_seen", True).over(along.rowsBetween(0, Window.unboundedFollowing))
-        )
-    joined = cols.join(edges, on=own, how="left")
-    if forward:
-        joined = joined.withColumn(f"{out}_prev", F.coalesce(f"{out}_prev", "_in_prev"))
-    if backward:
-        joined = joined.withColumn(f"{out}_next", F.coalesce(f"{out}_next", "_in_next"))
-    return joined.drop("_blk", "_seen", "_in_prev", "_in_next")
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    # A frame that ends at the last row is re-read for every row; the backward
+    # look therefore runs forward over the reversed order.
+    along = Window.partitionBy(*own).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    against = Window.partitionBy(*own).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    sides = [("prev", before, along, F.max, F.max_by)] if forward else []
+    sides += [("next", after, against, F.min, F.min_by)] if backward else []
+
+    ends, crossing, inside, final, scratch = [], [], [], [], []
+    for n in values:
+        scratch += [f"_v_{n}", f"_p_{n}"]
+        for side, over_blocks, in_block, extreme, extreme_by in sides:
+            tag = f"{n}_{side}"
+            ends += [extreme(f"_p_{n}").alias(f"_ep_{tag}"), extreme_by(f"_v_{n}", f"_p_{n}").alias(f"_ev_{tag}")]
+            for x in ("p", "v"):
+                crossing.append(F.last(f"_e{x}_{tag}", True).over(over_blocks).alias(f"_c{x}_{tag}"))
+                inside.append(F.last(f"_{x}_{n}", True).over(in_block).alias(f"_i{x}_{tag}"))
+            final.append(F.coalesce(f"_iv_{tag}", f"_cv_{tag}").alias(tag))
+            final.append(F.coalesce(f"_ip_{tag}", f"_cp_{tag}").alias(f"{tag}_pos"))
+    edges = base.groupBy(*own).agg(*ends).select(*own, *crossing)
+    return base.select("*", *inside).join(edges, on=own, how="left").select(*df.columns, *final)
 
 
 def with_halo(

@@ -56,20 +56,20 @@ def interp_pos(
     With ``pos`` a row position this is the positional fill, with ``pos`` in
     seconds the time-weighted one.
     """
+    d = carry(df, keys, pos, {f"_f_{v}": F.col(v) for v in values}, width)
+    cols = []
     for v in values:
-        d = carry(df, keys, pos, v, "_f", width)
-        a, b = F.col("_f_prev"), F.col("_f_next")
-        slope = (b["v"] - a["v"]) * (F.col(pos) - a["pos"]) / (b["pos"] - a["pos"])
+        a, pa, b, pb = [F.col(f"_f_{v}_{x}") for x in ("prev", "prev_pos", "next", "next_pos")]
         filled = (
             F.when(F.col(v).isNotNull(), F.col(v))
-            .when(a.isNull(), b["v"])
-            .when(b.isNull(), a["v"])
-            .otherwise(a["v"] + slope)
+            .when(a.isNull(), b)
+            .when(b.isNull(), a)
+            .otherwise(a + (b - a) * (F.col(pos) - pa) / (pb - pa))
         )
         if clip_lower is not None:
             filled = F.greatest(filled, F.lit(clip_lower))
-        df = d.withColumn(v, filled).drop("_f_prev", "_f_next")
-    return df
+        cols.append(filled.alias(v))
+    return d.select(*[c for c in df.columns if c not in values], *cols)
 
 
 def interp_time(
@@ -83,13 +83,13 @@ def interp_time(
 
 
 def ffill_bfill(df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int = BLOCK) -> DataFrame:
-    d = carry(df, keys, pos, value, "_f", width)
-    return d.withColumn(value, F.coalesce(F.col("_f_prev")["v"], F.col("_f_next")["v"])).drop("_f_prev", "_f_next")
+    d = carry(df, keys, pos, {"_f": F.col(value)}, width)
+    return d.withColumn(value, F.coalesce("_f_prev", "_f_next")).select(*df.columns)
 
 
 def ffill(df: DataFrame, keys: Sequence[str], pos: str, value: str, width: int = BLOCK) -> DataFrame:
-    d = carry(df, keys, pos, value, "_f", width, backward=False)
-    return d.withColumn(value, F.col("_f_prev")["v"]).drop("_f_prev")
+    d = carry(df, keys, pos, {"_f": F.col(value)}, width, backward=False)
+    return d.withColumn(value, F.col("_f_prev")).select(*df.columns)
 
 
 # --- duplicates ---

@@ -96,16 +96,16 @@ def tag_nodes(
 ) -> DataFrame:
     """Every (window, node) item in window-major order, or in seeded order, up to ``cap``.
 
-    ``starts`` holds ``window`` (dense, from 0). Item numbers are arithmetic, so
+    ``starts`` holds ``win`` (dense, from 0). Item numbers are arithmetic, so
     the head of the list needs no sort; the seeded head is a top-k.
     """
     from wattline.functions.ranking import seeded_order
 
     items = starts.withColumn("node_idx", F.explode(F.sequence(F.lit(0).cast("long"), (node_count - 1).cast("long"))))
-    items = items.withColumn("item", F.col("window") * node_count + F.col("node_idx"))
+    items = items.withColumn("item", F.col("win") * node_count + F.col("node_idx"))
     if seed is None:
         return items if cap is None else items.where(F.col("item") < cap)
-    key = seeded_order(seed, "window", "node_idx")
+    key = seeded_order(seed, "win", "node_idx")
     return items.orderBy(key) if cap is None else items.orderBy(key).limit(cap)
 
 

@@ -60,12 +60,12 @@ FIXTURES["price_days"] = """
 SELECT series, day, row_number() OVER (PARTITION BY series ORDER BY day) - 1 AS day_idx
 FROM (SELECT DISTINCT series, day FROM market)"""
 FIXTURES["pred_both"] = """
-SELECT m.series, m.day, date_diff('day', lo, m.day) AS day_idx, m.slot, m.price AS target, a.price AS pred_a, b.price AS pred_b
+SELECT m.series, m.day, date_diff('day', lo, m.day) AS day_idx, m.slot, m.price AS target, a.price AS lag_a, b.price AS lag_b
 FROM market m CROSS JOIN ev_days
 LEFT JOIN market a ON a.series = m.series AND a.pos = m.pos - 96
 LEFT JOIN market b ON b.series = m.series AND b.pos = m.pos - 672"""
-FIXTURES["pred_a"] = "SELECT series, day, day_idx, slot, pred_a AS prediction, target FROM pred_both WHERE day_idx >= 7"
-FIXTURES["pred_b"] = "SELECT series, day, day_idx, slot, pred_b AS prediction, target FROM pred_both WHERE day_idx >= 7"
+FIXTURES["pred_a"] = "SELECT series, day, day_idx, slot, lag_a AS prediction, target FROM pred_both WHERE day_idx >= 7"
+FIXTURES["pred_b"] = "SELECT series, day, day_idx, slot, lag_b AS prediction, target FROM pred_both WHERE day_idx >= 7"
 FIXTURES["candidate"] = "SELECT series, day, slot, prediction / 500.0 AS prediction FROM pred_a"
 FIXTURES["offsets"] = """
 SELECT series, day, day_idx, (m0 - m1) / 500.0 AS off_true, (m1 - m2) / 500.0 AS off_pred FROM (
@@ -134,3 +134,23 @@ FIXTURES["feed"] = """
 SELECT l_returnflag AS feed, l_shipdate::DATE AS day, avg(l_quantity) AS temperature, avg(l_discount) * 100 AS humidity,
        max(l_linenumber)::DOUBLE AS rain
 FROM lineitem GROUP BY ALL"""
+
+# --- slow daily and monthly features ---------------------------------------
+FIXTURES["timeline"] = """
+SELECT day, orders_seen, order_value FROM (
+  SELECT lo + CAST(off AS INTEGER) AS day, count(*)::DOUBLE AS orders_seen, avg(o_totalprice) / 1000 AS order_value, avg(count(*)) OVER () AS usual
+  FROM (SELECT date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % n AS off, lo, o_totalprice FROM orders CROSS JOIN ev_days) GROUP BY lo, off)
+WHERE orders_seen > usual"""
+FIXTURES["policy"] = """
+SELECT day, errors FROM (SELECT day, errors, median(errors) OVER () AS mid FROM (
+  SELECT ts::DATE AS day, (count(*) FILTER (event_type = 'error'))::DOUBLE AS errors FROM events GROUP BY ALL)) WHERE errors > mid"""
+FIXTURES["monthly"] = """
+SELECT month(o_orderdate) AS month, avg(o_totalprice) / 1000 AS f0, count(*)::DOUBLE AS f1 FROM orders GROUP BY ALL"""
+FIXTURES["slow_days"] = """
+SELECT day, coalesce(last_value(orders_seen IGNORE NULLS) OVER w, 0) AS orders_seen, coalesce(last_value(order_value IGNORE NULLS) OVER w, 0) AS order_value,
+       coalesce(last_value(errors IGNORE NULLS) OVER w, 0) AS errors
+FROM timeline FULL OUTER JOIN policy USING (day) WHERE year(day) = 2024
+WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+FIXTURES["axis_weather"] = fill_sql(
+    "(SELECT 0 AS one, t_idx, a.ts, temperature, humidity FROM (SELECT DISTINCT t_idx, ts FROM load_raw) a LEFT JOIN weather w ON w.ts = a.ts)",
+    "one", "t_idx", ["temperature", "humidity"])

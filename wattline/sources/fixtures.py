@@ -25,9 +25,12 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # --- calendar bounds of the event stream ---
     @cached_property
@@ -104,7 +107,7 @@ class Fixtures:
     def pred_both(self) -> DataFrame:
         m = self.market.select("series", "day", "slot", "pos", F.col("price").alias("target"))
         lagged = {
-            f"pred_{n}": self.market.select("series", (F.col("pos") + k).alias("pos"), F.col("price").alias(f"pred_{n}"))
+            f"lag_{n}": self.market.select("series", (F.col("pos") + k).alias("pos"), F.col("price").alias(f"lag_{n}"))
             for n, k in (("a", 96), ("b", 672))
         }
         for side in lagged.values():
@@ -118,11 +121,11 @@ class Fixtures:
 
     @property
     def pred_a(self) -> DataFrame:
-        return self._pred("pred_a")
+        return self._pred("lag_a")
 
     @property
     def pred_b(self) -> DataFrame:
-        return self._pred("pred_b")
+        return self._pred("lag_b")
 
     @property
     def candidate(self) -> DataFrame:
@@ -331,3 +334,39 @@ class Fixtures:
                 F.max("l_linenumber").cast("double").alias("rain"),
             )
         )
+
+    # --- slow daily and monthly features ---
+    @cached_property
+    def timeline(self) -> DataFrame:
+        by_day = (
+            self.table("orders")
+            .groupBy((F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) % self.n_days).alias("off"))
+            .agg(F.count(F.lit(1)).cast("double").alias("orders_seen"), (F.avg("o_totalprice") / 1000).alias("order_value"))
+        )
+        usual = by_day.agg(F.avg("orders_seen")).scalar()
+        return by_day.where(F.col("orders_seen") > usual).select(
+            F.date_add(self.day_lo, F.col("off").cast("int")).alias("day"), "orders_seen", "order_value"
+        )
+
+    @cached_property
+    def policy(self) -> DataFrame:
+        by_day = self.table("events").groupBy(F.to_date("ts").alias("day")).agg(
+            F.count(F.when(F.col("event_type") == "error", 1)).cast("double").alias("errors")
+        )
+        return by_day.where(F.col("errors") > by_day.agg(F.median("errors")).scalar())
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return self.table("orders").groupBy(F.month("o_orderdate").alias("month")).agg(
+            (F.avg("o_totalprice") / 1000).alias("f0"), F.count(F.lit(1)).cast("double").alias("f1")
+        )
+
+    @cached_property
+    def slow_days(self) -> DataFrame:
+        return windows.slow_features(self.timeline, self.policy, 2024)
+
+    @cached_property
+    def axis_weather(self) -> DataFrame:
+        axis = self.load_raw.select("t_idx", "ts").distinct()
+        joined = axis.join(self.weather.select("ts", "temperature", "humidity"), "ts", "left")
+        return clean.interp_pos(joined, [], "t_idx", ["temperature", "humidity"])
