@@ -129,9 +129,9 @@ def day_point_features(
 ) -> DataFrame:
     """Tabular features per (series, day, slot) for a day-ahead price model.
 
-    "Previous day" is the previous day present in the table. Days are ranked in
-    a table of one row per day; lags are joins on ``rank - k``, so no window
-    runs over the quarter-hour rows.
+    "Previous day" is the previous day present in the table. Same-slot lags run
+    per (series, slot), so a group holds one row per day and a hot series is cut
+    into 96 parts; day statistics live in a table of one row per day.
     """
     from wattline.functions.calendar import cyclic, weekday0
 
@@ -147,18 +147,15 @@ def day_point_features(
         *[F.col(f"{c}_std").alias(f"{c}_target_day_std") for c in exog],
         *[F.lag(f"{c}_mean", 1).over(by_day).alias(f"{c}_prev_day_mean") for c in exog],
     )
-    ranked = market.join(days.select("series", "day", "rank"), ["series", "day"])
-
-    def lagged(k: int, cols: dict[str, str]) -> DataFrame:
-        return ranked.select("series", (F.col("rank") + k).alias("rank"), "slot", *[F.col(c).alias(n) for c, n in cols.items()])
-
-    out = ranked.where(F.col("rank") >= history_days)
-    out = out.join(
-        lagged(1, {"price": "prev_day_same_slot_price", **{c: f"{c}_prev_day_slot" for c in exog}}), ["series", "rank", "slot"], "left"
+    same_slot = Window.partitionBy("series", "slot").orderBy("day")
+    out = market.select(
+        "*",
+        F.lag("price", 1).over(same_slot).alias("prev_day_same_slot_price"),
+        F.lag("price", 2).over(same_slot).alias("prev_2day_same_slot_price"),
+        F.lag("price", 7).over(same_slot).alias("prev_7day_same_slot_price"),
+        *[F.lag(c, 1).over(same_slot).alias(f"{c}_prev_day_slot") for c in exog],
     )
-    out = out.join(lagged(2, {"price": "prev_2day_same_slot_price"}), ["series", "rank", "slot"], "left")
-    out = out.join(lagged(7, {"price": "prev_7day_same_slot_price"}), ["series", "rank", "slot"], "left")
-    out = out.join(days.drop("rank"), ["series", "day"])
+    out = out.join(days, ["series", "day"]).where(F.col("rank") >= history_days)
     sin, cos = cyclic(F.col("slot"), 96.0)
     out = out.select(
         "series", "day", "slot",
@@ -196,8 +193,8 @@ def day_sequence_features(
     """The 96-step frame of every origin, one row per (series, origin, step).
 
     ``origin`` says which positions start a frame (any expression over ``pos``);
-    672 rows of history and 96 rows ahead are needed. Steps reach their lags by
-    equi-joins on position; per-origin statistics are one aggregate.
+    672 rows of history and 96 rows ahead are needed. One join on position
+    brings every step its lags; per-origin statistics are one aggregate.
     """
     from wattline.functions.calendar import cyclic, slot_of, weekday0
 
@@ -209,6 +206,14 @@ def day_sequence_features(
         "series", "pos", "ts", "price", ((F.col("price") - price_floor) / scale).alias("p"),
         *[((F.col(c) - bounds[f"{c}_lo"]) / (bounds[f"{c}_hi"] - bounds[f"{c}_lo"] + 1e-6)).alias(c) for c in exog],
     )
+    # Lags of whole days stay inside one residue class of the position.
+    daily = Window.partitionBy("series", F.col("pos") % SLOTS).orderBy("pos")
+    lagged = norm.select(
+        "series", F.col("pos").alias("at"), "ts", F.col("price").alias("target_price"),
+        F.lag("p", 1).over(daily).alias("hist_price"), F.lag("price", 1).over(daily).alias("base_price"),
+        F.lag("p", 2).over(daily).alias("prev2_price"), F.lag("p", 7).over(daily).alias("prev7_price"),
+        *[F.col(c).alias(f"{c}_future") for c in exog], *[F.lag(c, 1).over(daily).alias(f"{c}_prev") for c in exog],
+    )
     length = market.groupBy("series").agg((F.max("pos") + 1).alias("_t"))
     origins = (
         market.where(origin).select("series", F.col("pos").alias("origin")).join(length, "series")
@@ -216,14 +221,7 @@ def day_sequence_features(
     )
     steps = origins.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(95))))
 
-    def at(offset: int, cols: dict[str, str]) -> DataFrame:
-        return norm.select("series", (F.col("pos") - offset).alias("at"), *[F.col(c).alias(n) for c, n in cols.items()])
-
-    steps = steps.withColumn("at", F.col("origin") + F.col("step"))
-    out = steps.join(at(0, {"ts": "ts", "price": "target_price", **{c: f"{c}_future" for c in exog}}), ["series", "at"])
-    out = out.join(at(-96, {"p": "hist_price", "price": "base_price", **{c: f"{c}_prev" for c in exog}}), ["series", "at"])
-    out = out.join(at(-192, {"p": "prev2_price"}), ["series", "at"])
-    out = out.join(at(-672, {"p": "prev7_price"}), ["series", "at"])
+    out = steps.withColumn("at", F.col("origin") + F.col("step")).join(lagged, ["series", "at"])
     stats = out.groupBy("series", "origin").agg(
         F.avg("hist_price").alias("hist_mean"), F.stddev_pop("hist_price").alias("hist_std"),
         F.max("hist_price").alias("hist_max"), F.min("hist_price").alias("hist_min"),

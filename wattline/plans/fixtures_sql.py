@@ -154,3 +154,45 @@ WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 FIXTURES["axis_weather"] = fill_sql(
     "(SELECT 0 AS one, t_idx, a.ts, temperature, humidity FROM (SELECT DISTINCT t_idx, ts FROM load_raw) a LEFT JOIN weather w ON w.ts = a.ts)",
     "one", "t_idx", ["temperature", "humidity"])
+
+# --- scored records ---------------------------------------------------------
+FIXTURES["norm_bounds"] = """
+SELECT min(value) AS vmin, max(value) AS vmax FROM load_fill CROSS JOIN ev_days WHERE t_idx < floor(n * 4 * CAST(0.6 AS DOUBLE))"""
+FIXTURES["record_steps"] = """
+SELECT variant, domain, node_idx, t_start, generate_subscripts(pred, 1) AS h, unnest(pred) AS p, unnest(target) AS t, vmin, vmax
+FROM records CROSS JOIN norm_bounds WHERE parse_ok"""
+FIXTURES["step_errors"] = "SELECT variant, domain, node_idx, t_start, h, (p - t) * (vmax - vmin) AS err FROM record_steps"
+FIXTURES["scored"] = """
+SELECT r.variant, r.t_start, r.node_idx, r.node_id, r.domain, r.parse_ok, x_hist[12] * (vmax - vmin) + vmin AS hist_last, r.target, r.pred,
+       m.* EXCLUDE (variant, t_start, node_idx), (list_max(r.target) - list_min(r.target)) * (vmax - vmin) AS target_range
+FROM records r CROSS JOIN norm_bounds LEFT JOIN (
+  SELECT variant, t_start, node_idx, avg(abs(p - t)) AS mae, sqrt(avg((p - t) * (p - t))) AS rmse, avg(CAST(sign(p - pp) = sign(t - tp) AS DOUBLE)) AS direction_accuracy,
+         arg_max(h, p) - arg_max(h, t) AS peak_time_error_steps, abs(max(p) - max(t)) AS peak_abs_error, max(p) - min(p) AS prediction_range FROM (
+    SELECT variant, t_start, node_idx, h, p, t, coalesce(lag(p) OVER w, x0) AS pp, coalesce(lag(t) OVER w, x0) AS tp FROM (
+      SELECT s.variant, s.t_start, s.node_idx, h, p * (s.vmax - s.vmin) + s.vmin AS p, t * (s.vmax - s.vmin) + s.vmin AS t, x.x_hist[12] * (s.vmax - s.vmin) + s.vmin AS x0
+      FROM record_steps s JOIN windows x ON x.t_start = s.t_start AND x.node_idx = s.node_idx)
+    WINDOW w AS (PARTITION BY variant, t_start, node_idx ORDER BY h)) GROUP BY ALL) m
+  ON m.variant = r.variant AND m.t_start = r.t_start AND m.node_idx = r.node_idx"""
+FIXTURES["paired"] = """
+SELECT a.t_start, a.node_idx, a.domain, avg(abs(a.p - b.p)) AS variant_gap_mae, avg(abs(a.p - a.t)) AS full_mae, avg(abs(b.p - b.t)) AS wo_mae,
+       avg(abs(b.p - b.t)) - avg(abs(a.p - a.t)) AS full_advantage
+FROM record_steps a JOIN record_steps b ON b.variant = 'mean' AND b.t_start = a.t_start AND b.node_idx = a.node_idx AND b.h = a.h
+WHERE a.variant = 'seasonal' GROUP BY a.t_start, a.node_idx, a.domain"""
+FIXTURES["market_long"] = """
+SELECT series, pos, day, ts, 'price' AS feature, price AS value FROM market UNION ALL SELECT series, pos, day, ts, 'tie', tie FROM market
+UNION ALL SELECT series, pos, day, ts, 'load', load FROM market"""
+FIXTURES["pair_table"] = "SELECT series, day, day_idx, slot, lag_a AS prediction_base, lag_b AS prediction_seq, target FROM pred_both WHERE day_idx >= 7"
+
+
+def day_metrics_sql(source: str, pred: str, floor: float, cap: float, keys: str = "series, day") -> str:
+    return f"""
+SELECT {keys}, mae, rmse, relative_mape, greatest(0.0, 1 - relative_mape) AS relative_accuracy, greatest(0.0, 1 - mae / {cap - floor}) AS range_accuracy,
+       greatest(0.0, 1 - abs(pred_mean - true_mean) / greatest(abs(true_mean), {floor})) AS daily_mean_accuracy, CAST(ps = ts AS INT) AS peak_slot_hit,
+       pred_mean, true_mean, pred_max, true_max
+FROM (SELECT {keys}, avg(abs({pred} - target)) AS mae, sqrt(avg(({pred} - target) * ({pred} - target))) AS rmse,
+        avg(abs({pred} - target) / greatest(abs(target), {floor})) AS relative_mape, avg({pred}) AS pred_mean, avg(target) AS true_mean, max({pred}) AS pred_max, max(target) AS true_max,
+        first(slot ORDER BY {pred} DESC, slot) AS ps, first(slot ORDER BY target DESC, slot) AS ts
+      FROM {source} GROUP BY {keys})"""
+
+
+FIXTURES["days_a"] = day_metrics_sql("pred_a", "prediction", 5.0, 200.0)

@@ -105,14 +105,11 @@ class Fixtures:
 
     @cached_property
     def pred_both(self) -> DataFrame:
-        m = self.market.select("series", "day", "slot", "pos", F.col("price").alias("target"))
-        lagged = {
-            f"lag_{n}": self.market.select("series", (F.col("pos") + k).alias("pos"), F.col("price").alias(f"lag_{n}"))
-            for n, k in (("a", 96), ("b", 672))
-        }
-        for side in lagged.values():
-            m = m.join(side, ["series", "pos"], "left")
-        return m.withColumn("day_idx", F.datediff("day", self.day_lo))
+        w = Window.partitionBy("series", "slot").orderBy("day")
+        return self.market.select(
+            "series", "day", F.datediff("day", self.day_lo).alias("day_idx"), "slot", F.col("price").alias("target"),
+            F.lag("price", 1).over(w).alias("lag_a"), F.lag("price", 7).over(w).alias("lag_b"),
+        )
 
     def _pred(self, which: str) -> DataFrame:
         return self.pred_both.where("day_idx >= 7").select(
@@ -370,3 +367,37 @@ class Fixtures:
         axis = self.load_raw.select("t_idx", "ts").distinct()
         joined = axis.join(self.weather.select("ts", "temperature", "humidity"), "ts", "left")
         return clean.interp_pos(joined, [], "t_idx", ["temperature", "humidity"])
+
+    @cached_property
+    def norm(self) -> Column:
+        """The load line's training range as a struct ``(vmin, vmax)``."""
+        train = self.load_fill.where(F.col("t_idx") < F.floor(self.n_steps * 0.6))
+        return train.agg(F.struct(F.min("value").alias("vmin"), F.max("value").alias("vmax")).alias("b")).scalar()
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        from wattline.operators import metrics
+
+        return metrics.forecast_records(self.records, self.norm["vmin"], self.norm["vmax"])
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        from wattline.operators import metrics
+
+        return metrics.per_step(self.records, self.norm["vmin"], self.norm["vmax"], ["variant", "domain", "node_idx", "t_start"])
+
+    @cached_property
+    def paired(self) -> DataFrame:
+        from wattline.operators import joins
+
+        return joins.pair_variants(self.records, "seasonal", "mean")
+
+    @cached_property
+    def market_long(self) -> DataFrame:
+        return self.market.unpivot(["series", "pos", "day", "ts"], ["price", "tie", "load"], "feature", "value")
+
+    @cached_property
+    def pair_table(self) -> DataFrame:
+        return self.pred_both.where("day_idx >= 7").select(
+            "series", "day", "day_idx", "slot", F.col("lag_a").alias("prediction_base"), F.col("lag_b").alias("prediction_seq"), "target"
+        )
