@@ -48,9 +48,10 @@ def direction_accuracy(pred: Column, true: Column, last: Column) -> Column:
 def forecast_records(records: DataFrame, vmin: Column, vmax: Column, digits: int = 4) -> DataFrame:
     """One row per record with raw-scale, rounded series and its metrics; NULL where not parsed."""
     def raw(c: str) -> Column:
-        return F.transform(F.col(c), lambda x: x * (vmax - vmin) + vmin)
+        return F.transform(F.col(c), lambda x: x * (F.col("_hi") - F.col("_lo")) + F.col("_lo"))
 
-    base = records.select("*", raw("x_hist").alias("_x"), raw("target").alias("_y"), raw("pred").alias("_p"))
+    base = records.withColumn("_lo", vmin).withColumn("_hi", vmax)
+    base = base.select("*", raw("x_hist").alias("_x"), raw("target").alias("_y"), raw("pred").alias("_p"))
     x, y, p = F.col("_x"), F.col("_y"), F.col("_p")
     ok = lambda c: F.when(F.col("parse_ok"), c)
     rounded = lambda a: F.transform(a, lambda v: F.bround(v, digits))

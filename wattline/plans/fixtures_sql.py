@@ -167,7 +167,7 @@ SELECT r.variant, r.t_start, r.node_idx, r.node_id, r.domain, r.parse_ok, x_hist
        m.* EXCLUDE (variant, t_start, node_idx), (list_max(r.target) - list_min(r.target)) * (vmax - vmin) AS target_range
 FROM records r CROSS JOIN norm_bounds LEFT JOIN (
   SELECT variant, t_start, node_idx, avg(abs(p - t)) AS mae, sqrt(avg((p - t) * (p - t))) AS rmse, avg(CAST(sign(p - pp) = sign(t - tp) AS DOUBLE)) AS direction_accuracy,
-         arg_max(h, p) - arg_max(h, t) AS peak_time_error_steps, abs(max(p) - max(t)) AS peak_abs_error, max(p) - min(p) AS prediction_range FROM (
+         first(h ORDER BY p DESC, h) - first(h ORDER BY t DESC, h) AS peak_time_error_steps, abs(max(p) - max(t)) AS peak_abs_error, max(p) - min(p) AS prediction_range FROM (
     SELECT variant, t_start, node_idx, h, p, t, coalesce(lag(p) OVER w, x0) AS pp, coalesce(lag(t) OVER w, x0) AS tp FROM (
       SELECT s.variant, s.t_start, s.node_idx, h, p * (s.vmax - s.vmin) + s.vmin AS p, t * (s.vmax - s.vmin) + s.vmin AS t, x.x_hist[12] * (s.vmax - s.vmin) + s.vmin AS x0
       FROM record_steps s JOIN windows x ON x.t_start = s.t_start AND x.node_idx = s.node_idx)
@@ -196,3 +196,54 @@ FROM (SELECT {keys}, avg(abs({pred} - target)) AS mae, sqrt(avg(({pred} - target
 
 
 FIXTURES["days_a"] = day_metrics_sql("pred_a", "prediction", 5.0, 200.0)
+
+# --- retrieval inputs -------------------------------------------------------
+FIXTURES["axis_feats"] = """
+SELECT t_idx, temperature, humidity, sin(2 * pi() * hour(ts) / 24) AS hs, cos(2 * pi() * hour(ts) / 24) AS hc, sin(2 * pi() * (isodow(ts) - 1) / 7) AS ds,
+       cos(2 * pi() * (isodow(ts) - 1) / 7) AS dc FROM axis_weather"""
+
+
+def _stats_sql(p: int, col: str, w: str) -> list[tuple[int, str]]:
+    half = f"avg({col}) OVER (o ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) - avg({col}) OVER (o ROWS BETWEEN 28 PRECEDING AND 15 PRECEDING)"
+    return [(p, f"avg({col}) OVER ({w})"), (p + 1, f"stddev_pop({col}) OVER ({w})"), (p + 2, f"min({col}) OVER ({w})"), (p + 3, f"max({col}) OVER ({w})"), (p + 4, half)]
+
+
+def vectors_sql(version: str) -> str:
+    """Long-form window vectors: plain window aggregates over the raw rows."""
+    h, f, c = "o ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING", "o ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING", "o ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING"
+    node = [(0, f"avg(value) OVER ({h})"), (1, f"stddev_pop(value) OVER ({h})")]
+    axis = [(5, i, f"avg({x}) OVER ({h})") for i, x in enumerate(("hs", "hc", "ds", "dc"))]
+    lo = 28 if version == "context" else 12
+    if version != "legacy":
+        node += [(2, "lag(value) OVER (o)"), (3, "lag(value) OVER (o) - lag(value, 2) OVER (o)"), (4, "lag(value) OVER (o) - lag(value, 4) OVER (o)")]
+        for i, x in enumerate(("temperature", "humidity")):
+            axis += [(6, i, f"avg({x}) OVER ({h})"), (7, i, f"stddev_pop({x}) OVER ({h})"), (8, i, f"lag({x}) OVER (o)"), (9, i, f"avg({x}) OVER ({f})"),
+                     (10, i, f"min({x}) OVER ({f})"), (11, i, f"max({x}) OVER ({f})"), (12, i, f"lead({x}, 5) OVER (o) - {x}")]
+    if version == "context":
+        node += _stats_sql(13, "value", c)
+        for i, x in enumerate(("temperature", "humidity")):
+            axis += [(p, i, e) for p, e in _stats_sql(18, x, c)]
+    keep = f"WHERE t_idx >= {lo} AND t_idx <= n * 4 - 6"
+    return f"""
+SELECT t_idx AS t_start, unnest([{", ".join(str(p) for p, _ in node)}]) AS part, node_idx AS idx, unnest(vals) AS v FROM (
+  SELECT t_idx, node_idx, [{", ".join(e for _, e in node)}] AS vals FROM load_norm WINDOW o AS (PARTITION BY node_idx ORDER BY t_idx)) CROSS JOIN ev_days {keep}
+UNION ALL
+SELECT t_idx, unnest([{", ".join(str(p) for p, _, _ in axis)}]), unnest([{", ".join(str(i) for _, i, _ in axis)}]), unnest(vals) FROM (
+  SELECT t_idx, [{", ".join(e for _, _, e in axis)}] AS vals FROM axis_feats WINDOW o AS (ORDER BY t_idx)) CROSS JOIN ev_days {keep}"""
+
+
+FIXTURES["legacy_parts"] = vectors_sql("legacy")
+FIXTURES["neighbours"] = """
+SELECT q_t, p_t, dist, row_number() OVER (PARTITION BY q_t ORDER BY dist, p_t) AS rank FROM (
+  SELECT a.t_start AS q_t, b.t_start AS p_t, round(sum((a.v - b.v) * (a.v - b.v)), 6) AS dist
+  FROM legacy_parts a JOIN legacy_parts b ON a.part = b.part AND a.idx = b.idx AND b.t_start < a.t_start GROUP BY ALL)
+QUALIFY rank <= 3"""
+FIXTURES["facts"] = """
+SELECT w.t_start, w.node_idx, list_avg(x_hist) AS occ, t.temperature AS temp, t.ghi, t.wind_speed_10m AS wind, coalesce(p.price, m.price) AS price
+FROM windows w LEFT JOIN weather t ON t.ts = w.history_end_ts LEFT JOIN node_price p ON p.ts = w.history_end_ts AND p.node_idx = w.node_idx
+LEFT JOIN (SELECT ts, avg(price) AS price FROM node_price GROUP BY ts) m ON m.ts = w.history_end_ts"""
+FIXTURES["diffs"] = """
+SELECT q.t_start, q.node_idx, h.retrieved, round_even(q.occ - h.occ, 4) AS diff_occ, round_even(q.temp - coalesce(h.temp, 0), 4) AS diff_temp,
+       round_even(q.price - coalesce(h.price, 0), 4) AS diff_price, round_even(q.ghi - coalesce(h.ghi, 0), 4) AS diff_ghi, round_even(q.wind - coalesce(h.wind, 0), 4) AS diff_wind
+FROM facts q JOIN (SELECT q_t, node_idx, count(*) AS retrieved, avg(occ) AS occ, avg(temp) AS temp, avg(price) AS price, avg(ghi) AS ghi, avg(wind) AS wind
+  FROM neighbours JOIN facts ON t_start = p_t GROUP BY q_t, node_idx) h ON h.q_t = q.t_start AND h.node_idx = q.node_idx"""

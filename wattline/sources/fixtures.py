@@ -401,3 +401,49 @@ class Fixtures:
         return self.pred_both.where("day_idx >= 7").select(
             "series", "day", "day_idx", "slot", F.col("lag_a").alias("prediction_base"), F.col("lag_b").alias("prediction_seq"), "target"
         )
+
+    # --- retrieval inputs ---
+    @cached_property
+    def axis_features(self) -> DataFrame:
+        from wattline.functions.calendar import cyclic, weekday0
+
+        ts = F.col("ts")
+        cols = []
+        for name, x, period in (("hour", F.hour(ts), 24), ("dow", weekday0(ts), 7)):
+            s, c = cyclic(x, period)
+            cols += [s.alias(f"{name}_sin"), c.alias(f"{name}_cos")]
+        return self.axis_weather.select("t_idx", "temperature", "humidity", *cols)
+
+    def axis_windows(self, context: int = 0) -> DataFrame:
+        extra = ["humidity", "hour_sin", "hour_cos", "dow_sin", "dow_cos", "temp2"]
+        axis = self.axis_features.withColumn("temp2", F.col("temperature"))
+        w = windows.sliding_windows(axis, [], "t_idx", "temp2", 12, [6], context=context, extra=["temperature", *extra[:-1]])
+        return w
+
+    def vector_parts(self, version: str) -> DataFrame:
+        from wattline.operators import retrieval
+
+        context = 28 if version == "context" else 0
+        node_windows = windows.sliding_windows(
+            self.load_norm.drop("value_raw"), ["node_idx"], "t_idx", "value", history=12, horizons=[6], context=context
+        )
+        return retrieval.vector_parts(node_windows, self.axis_windows(context), version, ["temperature", "humidity"])
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        from wattline.operators import retrieval
+
+        vecs = retrieval.collect_vectors(self.vector_parts("legacy")).select(F.col("t_start").alias("id"), "vec")
+        found = retrieval.knn(vecs, vecs, 3, strictly_before=True)
+        return found.select(F.col("q_id").alias("q_t"), F.col("p_id").alias("p_t"), "rank", "dist")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        from wattline.operators import joins, retrieval
+
+        w = self.windows.join(self.weather.withColumnRenamed("ts", "history_end_ts"), "history_end_ts", "left")
+        return retrieval.history_facts(joins.price_history_end(w, self.node_price))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
