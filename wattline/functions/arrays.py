@@ -15,9 +15,18 @@ def amean(a: Column) -> Column:
 
 
 def astd(a: Column) -> Column:
-    """Population standard deviation."""
-    m = amean(a)
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - m) * (x - m)) / F.size(a))
+    """Population standard deviation in one pass (running mean and squared distance).
+
+    A mean used inside a lambda would be worked out again for every element.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        m = acc["m"] + (x - acc["m"]) / n
+        return F.struct(n.alias("n"), m.alias("m"), (acc["s"] + (x - acc["m"]) * (x - m)).alias("s"))
+
+    return F.aggregate(a, start, step, lambda acc: F.sqrt(acc["s"] / acc["n"]))
 
 
 def alast(a: Column) -> Column:

@@ -100,7 +100,7 @@ SELECT lo::TIMESTAMP + to_hours(CAST(6 * step AS BIGINT)) AS ts, avg(l_quantity)
 FROM (SELECT date_diff('day', DATE '1995-01-01', l_shipdate::DATE) % (n * 4) AS step, lo, l.* FROM lineitem l CROSS JOIN ev_days)
 GROUP BY lo, step"""
 FIXTURES["node_price"] = """
-SELECT lo::TIMESTAMP + to_hours(CAST(6 * step AS BIGINT)) AS ts, node_idx, avg(o_totalprice) / 1000 AS price
+SELECT lo::TIMESTAMP + to_hours(CAST(6 * step AS BIGINT)) AS ts, node_idx, avg(o_totalprice) / 997 AS price
 FROM (SELECT date_diff('day', DATE '1995-01-01', o_orderdate::DATE) % (n * 4) AS step, lo, o_custkey AS node_idx, o_totalprice
       FROM orders CROSS JOIN ev_days WHERE o_custkey IN (SELECT node_idx FROM users))
 GROUP BY lo, step, node_idx"""
@@ -247,3 +247,18 @@ SELECT q.t_start, q.node_idx, h.retrieved, round_even(q.occ - h.occ, 4) AS diff_
        round_even(q.price - coalesce(h.price, 0), 4) AS diff_price, round_even(q.ghi - coalesce(h.ghi, 0), 4) AS diff_ghi, round_even(q.wind - coalesce(h.wind, 0), 4) AS diff_wind
 FROM facts q JOIN (SELECT q_t, node_idx, count(*) AS retrieved, avg(occ) AS occ, avg(temp) AS temp, avg(price) AS price, avg(ghi) AS ghi, avg(wind) AS wind
   FROM neighbours JOIN facts ON t_start = p_t GROUP BY q_t, node_idx) h ON h.q_t = q.t_start AND h.node_idx = q.node_idx"""
+
+# --- curves -----------------------------------------------------------------
+FIXTURES["day_curves"] = """
+SELECT series, day, list(prediction_base / 500.0 ORDER BY slot) AS cand, list(prediction_seq / 500.0 ORDER BY slot) AS model, list(target / 500.0 ORDER BY slot) AS truth
+FROM pair_table GROUP BY ALL"""
+FIXTURES["curve_mask"] = """
+SELECT series, day, slot, greatest(hit, coalesce(lag(hit) OVER w, 0), coalesce(lead(hit) OVER w, 0)) AS mask FROM (
+  SELECT *, CAST(v >= 0.45 OR abs(v - p) >= 0.08 OR abs(x - v) >= 0.08 OR abs(x - 2.0 * v + p) >= 0.05 AS INT) AS hit FROM (
+    SELECT series, day, slot, prediction_base / 500.0 AS v, coalesce(lag(prediction_base / 500.0) OVER d, prediction_base / 500.0) AS p, coalesce(lead(prediction_base / 500.0) OVER d, prediction_base / 500.0) AS x
+    FROM pair_table WINDOW d AS (PARTITION BY series, day ORDER BY slot)))
+WINDOW w AS (PARTITION BY series, day ORDER BY slot)"""
+FIXTURES["step_pairs"] = """
+SELECT node_idx, domain, t_start - 12 + i - 1 AS step, max(truth) AS truth, max(p) FILTER (variant = 'seasonal') AS full_p, max(p) FILTER (variant = 'mean') AS other_p FROM (
+  SELECT variant, node_idx, domain, t_start, generate_subscripts(target, 1) AS i, unnest(target) AS truth, unnest(coalesce(pred, [NULL, NULL, NULL, NULL, NULL, NULL])) AS p
+  FROM records WHERE (t_start - 12) % 6 = 0) GROUP BY ALL"""

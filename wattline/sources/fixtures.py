@@ -243,7 +243,7 @@ class Fixtures:
             .withColumnRenamed("o_custkey", "node_idx")
             .join(self.users, "node_idx", "left_semi")
             .groupBy("node_idx", self._step_of("o_orderdate").alias("step"))
-            .agg((F.avg("o_totalprice") / 1000).alias("price"))
+            .agg((F.avg("o_totalprice") / 997).alias("price"))
             .select(self._step_ts(F.col("step")).alias("ts"), "node_idx", "price")
         )
 
@@ -447,3 +447,23 @@ class Fixtures:
     @cached_property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+
+    @cached_property
+    def day_curves(self) -> DataFrame:
+        """Normalised candidate, second model and truth as 96-step arrays."""
+        cell = F.struct("slot", *[(F.col(c) / 500.0).alias(n) for n, c in (("cand", "prediction_base"), ("model", "prediction_seq"), ("truth", "target"))])
+        rows = self.pair_table.groupBy("series", "day").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+        # A mapped array is kept as a column; a field path would be read again at every use.
+        return rows.select("series", "day", *[F.transform("_c", lambda x, n=n: x[n]).alias(n) for n in ("cand", "model", "truth")])
+
+    @cached_property
+    def step_pairs(self) -> DataFrame:
+        """Both variants along each node's joined curve: ``(node_idx, domain, step, truth, full, other)``."""
+        picked = self.records.where((F.col("t_start") - 12) % 6 == 0)
+        step = F.posexplode("target").alias("h", "truth")
+        rows = picked.select("variant", "node_idx", "domain", "t_start", "pred", step)
+        rows = rows.withColumn("step", F.col("t_start") - 12 + F.col("h")).withColumn("p", F.get("pred", F.col("h")))
+        return rows.groupBy("node_idx", "domain", "step").agg(
+            F.max("truth").alias("truth"), F.max(F.when(F.col("variant") == "seasonal", F.col("p"))).alias("full"),
+            F.max(F.when(F.col("variant") == "mean", F.col("p"))).alias("other"),
+        )
