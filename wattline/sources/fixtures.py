@@ -21,6 +21,10 @@ PRICE_FLOOR = 5.0
 PRICE_CAP = 200.0
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -454,7 +458,7 @@ class Fixtures:
         cell = F.struct("slot", *[(F.col(c) / 500.0).alias(n) for n, c in (("cand", "prediction_base"), ("model", "prediction_seq"), ("truth", "target"))])
         rows = self.pair_table.groupBy("series", "day").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
         # A mapped array is kept as a column; a field path would be read again at every use.
-        return rows.select("series", "day", *[F.transform("_c", lambda x, n=n: x[n]).alias(n) for n in ("cand", "model", "truth")])
+        return rows.select("series", "day", *[F.transform("_c", _field(n)).alias(n) for n in ("cand", "model", "truth")])
 
     @cached_property
     def step_pairs(self) -> DataFrame:
