@@ -120,8 +120,7 @@ def fit_offset_bins(train: DataFrame, value: str, bins: int) -> DataFrame:
 
 def assign_bin(x: Column, edges: Column, bins: int) -> Column:
     """Number of inner edges at or below ``x``."""
-    inner = F.slice(edges, 2, bins - 1)
-    return F.size(F.filter(inner, lambda e: e <= x))
+    return sum(((edges[i] <= x).cast("int") for i in range(1, bins)), F.lit(0))
 
 
 def apply_day_offset(candidate: Column, offset: Column, limit: float, scale: float, floor: float, cap: float) -> Column:
