@@ -111,7 +111,8 @@ def fit_offset_bins(train: DataFrame, value: str, bins: int) -> DataFrame:
     names = {f"e{i}": i / bins for i in range(bins + 1)}
     edges = exact_quantiles(train, [], value, names)
     edge = edges.select(F.array(*names).alias("edges")).scalar()
-    inside = train.select(F.col(value).alias("_x"), assign_bin(F.col(value), edge, bins).alias("bin")).groupBy("bin").agg(F.avg("_x").alias("_mean"))
+    marked = train.select(F.col(value).alias("_x"), edge.alias("_e"))
+    inside = marked.select("_x", assign_bin(F.col("_x"), F.col("_e"), bins).alias("bin")).groupBy("bin").agg(F.avg("_x").alias("_mean"))
     frame = edges.select(F.posexplode(F.array(*[F.struct(F.col(f"e{i}").alias("lo"), F.col(f"e{i + 1}").alias("hi")) for i in range(bins)])).alias("bin", "r"))
     return frame.join(inside, "bin", "left").select(
         "bin", "r.lo", "r.hi", F.coalesce("_mean", (F.col("r.lo") + F.col("r.hi")) / 2).alias("center")

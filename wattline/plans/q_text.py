@@ -93,11 +93,13 @@ def nd_fields():
     f"""
 SELECT c.series, c.day, 'Candidate forecast (96 steps): ' || {_series('cand')} || chr(10) || 'Candidate summary: mean=' || {_r3('list_avg(cand)')} || ', min=' || {_r3('list_min(cand)')} || ', max=' || {_r3('list_max(cand)')}
   || ', delta=' || {_r3('(cand[96] - cand[1])', True)} || chr(10) || 'Candidate refine steps: [' || coalesce(steps, '') || ']' AS txt
-FROM day_curves c LEFT JOIN (SELECT series, day, string_agg(CAST(slot AS VARCHAR), ', ' ORDER BY slot) AS steps FROM curve_mask WHERE mask = 1 GROUP BY ALL) m ON m.series = c.series AND m.day = c.day""",
+FROM (SELECT series, day, list_transform(cand, lambda v: v / CAST(0.997 AS DOUBLE)) AS cand FROM day_curves) c LEFT JOIN (SELECT series, day, string_agg(CAST(slot AS VARCHAR), ', ' ORDER BY slot) AS steps FROM curve_mask WHERE mask = 1 GROUP BY ALL) m ON m.series = c.series AND m.day = c.day""",
 )
 def _(fx):
     c = fx.day_curves.withColumn("mask", select.refine_mask(F.col("cand")))
-    return c.select("series", "day", text.candidate_block(F.col("cand"), F.col("mask")).alias("txt"))
+    # Rescaled, so that no value sits on a rounding edge of the third decimal.
+    c = c.withColumn("shown", F.transform("cand", lambda v: v / 0.997))
+    return c.select("series", "day", text.candidate_block(F.col("shown"), F.col("mask")).alias("txt"))
 
 
 def _rows(fx):
@@ -166,7 +168,7 @@ def _generations(fx):
         .when(t % 19 == 2, F.concat(F.lit("Numerical Prediction: "), r(F.slice(p, 1, 3))))
         .when(t % 7 == 3, F.concat(F.lit("Seen [9.0, 9.0]. Numerical Prediction: [v1, ..., v6] = "), r(p)))
         .when(t % 7 == 4, F.concat(F.lit("First [0.5, 0.5, 0.5, 0.5, 0.5, 0.5] then "), r(F.concat(p, p)), F.lit(" done")))
-        .when(t % 7 == 5, F.array_join(F.transform(p, text.render3), " ; "))
+        .when(t % 7 == 5, F.array_join(F.transform(p, lambda v: text.render3(v)), " ; "))
         .when(t % 11 == 6, "no numbers here")
         .otherwise(F.concat(F.lit("Reasoning 1.5 first. Numerical Prediction: "), r(p))).alias("txt"),
     )
