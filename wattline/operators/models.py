@@ -60,10 +60,8 @@ def regime_gbt(
                 continue
 
             def classifier(depth, leaf, label=label):
-                return GBTClassifier(
-                    labelCol=label, maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=0.05, seed=seed,
-                    predictionCol="_class", rawPredictionCol="_raw", probabilityCol="_prob",
-                )
+                trees = GBTClassifier(labelCol=label, maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=0.05, seed=seed)
+                return trees.setPredictionCol("_class").setRawPredictionCol("_raw").setProbabilityCol("_prob")
 
             p = vector_to_array("_prob")[1]
             fitted, _, _ = _best(classifier, train, val, depths, leaves, F.avg((p - F.col(label)) * (p - F.col(label))))

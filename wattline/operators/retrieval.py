@@ -64,7 +64,8 @@ def collect_vectors(parts: DataFrame, key: str = "t_start") -> DataFrame:
 
 
 def knn(
-    queries: DataFrame, pool: DataFrame, k: int, group: str | None = None, strictly_before: bool = False, block: int = 2048
+    queries: DataFrame, pool: DataFrame, k: int, group: str | None = None, strictly_before: bool = False, block: int = 2048,
+    last_id: Column | None = None,
 ) -> DataFrame:
     """Exact k nearest pool rows per query by squared L2, rounded to 6 places, ties to the lower id.
 
@@ -73,23 +74,22 @@ def knn(
     matrices and keeps ``k`` rows per query, and a second top-k merges the
     blocks. With ``strictly_before`` only pool ids below the query's count, and
     block pairs that cannot hold one are never formed; a query may then get
-    fewer than ``k`` rows. A big group only has more blocks.
+    fewer than ``k`` rows. A big group only has more blocks. ``last_id`` gives
+    the highest id of either side where it is known; the inputs are then not
+    read a second time to list their blocks.
     """
     keys = [group] if group else []
     q = queries.select(*keys, F.col("id").cast("long").alias("q_id"), F.col("vec").cast("array<double>").alias("q_vec"), F.floor(F.col("id") / block).alias("qb"))
     p = pool.select(*keys, F.col("id").cast("long").alias("p_id"), F.col("vec").cast("array<double>").alias("p_vec"), F.floor(F.col("id") / block).alias("pb"))
-    # Only blocks that exist are paired; the list of a group's blocks is tiny.
-    q_blocks = q.select(*keys, "qb").distinct()
-    p_blocks = p.select(*keys, "pb").distinct()
-    if keys:
-        listed = q_blocks.join(p_blocks.groupBy(*keys).agg(F.collect_set("pb").alias("_pbs")), keys)
+    if last_id is not None:
+        top = F.floor(last_id / block).cast("long")
+        zero = F.lit(0).cast("long")
+        q = q.withColumn("pb", F.explode(F.sequence(zero, F.col("qb") if strictly_before else top)))
+        p = p.withColumn("qb", F.explode(F.sequence(F.col("pb") if strictly_before else zero, top)))
     else:
-        listed = q_blocks.withColumn("_pbs", p_blocks.agg(F.collect_set("pb")).scalar())
-    pairs = listed.select(*keys, "qb", F.explode("_pbs").alias("pb"))
-    if strictly_before:
-        pairs = pairs.where(F.col("pb") <= F.col("qb"))
-    q = q.join(pairs, [*keys, "qb"])
-    p = p.join(pairs, [*keys, "pb"])
+        pairs = _block_pairs(q, p, keys, strictly_before)
+        q = q.join(pairs, [*keys, "qb"])
+        p = p.join(pairs, [*keys, "pb"])
     names = [*keys, "qb", "pb"]
     # The two sides may be one table; distinct column names keep their keys apart.
     p = p.select(*[F.col(n).alias(f"_{n}") for n in names], "p_id", "p_vec")
@@ -122,6 +122,18 @@ def knn(
     return top_per_group(partial, [*keys, "q_id"], [F.asc("dist"), F.asc("p_id")], k)
 
 
+def _block_pairs(q: DataFrame, p: DataFrame, keys: list[str], strictly_before: bool) -> DataFrame:
+    """The pairs of blocks that exist on both sides; the list of a group's blocks is tiny."""
+    q_blocks = q.select(*keys, "qb").distinct()
+    p_blocks = p.select(*keys, "pb").distinct()
+    if keys:
+        listed = q_blocks.join(p_blocks.groupBy(*keys).agg(F.collect_set("pb").alias("_pbs")), keys)
+    else:
+        listed = q_blocks.withColumn("_pbs", p_blocks.agg(F.collect_set("pb")).scalar())
+    pairs = listed.select(*keys, "qb", F.explode("_pbs").alias("pb"))
+    return pairs.where(F.col("pb") <= F.col("qb")) if strictly_before else pairs
+
+
 # Weather columns that carry each differential, in order of preference.
 DIFF_ALIASES = {
     "ghi": ("global_horizontal_irradiance", "ghi"),

@@ -120,12 +120,9 @@ def _rows(fx):
 
 @query("prompt_rows", "t_start:i node_idx:i style:s mode:s system_text:s user_text:s")
 def _(fx):
-    rows = _rows(fx)
-    out = None
-    for style, mode in (("vanilla", "absolute"), ("direct", "residual"), ("staged", "absolute")):
-        made = text.prompt_rows(rows, style, mode, 6).select("t_start", "node_idx", F.lit(style).alias("style"), F.lit(mode).alias("mode"), "system_text", "user_text")
-        out = made if out is None else out.unionByName(made)
-    return out
+    styles = [("vanilla", m) for m in ("absolute", "residual", "selective_residual", "chunk_offset")]
+    styles += [("direct", "absolute"), ("direct", "residual"), ("direct", "chunk_offset"), ("staged", "absolute")]
+    return text.prompt_rows(_rows(fx), styles, 6)
 
 
 @query(
@@ -140,9 +137,8 @@ def _(fx):
 
 @query("target_rows", "t_start:i node_idx:i kind:s target_text:s")
 def _(fx):
-    rows = _rows(fx)
-    plain = text.target_rows(rows, False, 6).select("t_start", "node_idx", F.lit("list").alias("kind"), "target_text")
-    return plain.unionByName(text.target_rows(rows, True, 6).select("t_start", "node_idx", F.lit("staged").alias("kind"), "target_text"))
+    kinds = [F.struct(F.lit(k).alias("kind"), text.target_text(staged, h).alias("target_text")) for k, staged, h in (("list", False, 6), ("staged", True, 6), ("short", True, 96))]
+    return _rows(fx).select("t_start", "node_idx", F.explode(F.array(*kinds)).alias("k")).select("t_start", "node_idx", "k.*")
 
 
 _GEN = f"""gen AS MATERIALIZED (SELECT variant, t_start, node_idx, CASE
