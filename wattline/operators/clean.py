@@ -18,7 +18,8 @@ def ts_coerce(text: Column, formats: Sequence[str] = TEXT_FORMATS) -> Column:
     """Text to timestamp: known layouts first, then spreadsheet serial days, to the second."""
     tries = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
     days = text.try_cast("double")
-    secs = F.round(days * 86400.0).cast("long")
+    in_calendar = days.between(-600_000.0, 2_900_000.0)  # also leaves out inf and NaN
+    secs = F.when(in_calendar, F.round(days * 86400.0)).cast("long")
     serial = F.lit(SERIAL_DAY_ZERO).cast("timestamp_ntz") + F.make_dt_interval(secs=secs)
     return F.date_trunc("second", F.coalesce(*tries, serial)).cast("timestamp_ntz")
 
