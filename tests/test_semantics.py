@@ -60,6 +60,9 @@ def test_knn_matches_brute_force_with_tiny_blocks(spark):
         got = retrieval.knn(df.drop("g"), df.drop("g"), 3, strictly_before=True, block=7, last_id=last).collect()
         found = {q: [r.p_id for r in sorted(got, key=lambda r: r["rank"]) if r.q_id == q] for q in range(60)}
         assert all(found[q] == brute(q, range(q)) for q in range(60))
+    strict = retrieval.knn(df.drop("g"), df.drop("g"), 3, strictly_before=True, block=7)
+    first = retrieval.fill_without_history(strict, df, df, 3).where("q_id = 0").orderBy("rank").collect()
+    assert [r.p_id for r in first] == [0, 1, 2] and [r.dist for r in first] == [None] * 3
     by_group = retrieval.knn(df, df, 3, group="g", block=8).collect()
     for q in range(60):
         assert [r.p_id for r in sorted(by_group, key=lambda r: r["rank"]) if r.q_id == q] == brute(q, [p for p in range(60) if p % 2 == q % 2])

@@ -122,6 +122,19 @@ def knn(
     return top_per_group(partial, [*keys, "q_id"], [F.asc("dist"), F.asc("p_id")], k)
 
 
+def fill_without_history(found: DataFrame, queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
+    """Give queries that have no earlier pool row the first ``k`` pool ids, without a distance.
+
+    ``knn`` leaves such queries out; this is the other convention.
+    """
+    heads = pool.orderBy("id").limit(k).agg(F.sort_array(F.collect_list("id"))).scalar()
+    empty = queries.select(F.col("id").cast("long").alias("q_id")).join(found.select("q_id"), "q_id", "left_anti")
+    rows = empty.withColumn("_h", heads).select("q_id", F.posexplode("_h").alias("_r", "p_id"))
+    return found.unionByName(
+        rows.select("q_id", F.col("p_id").cast("long"), F.lit(None).cast("double").alias("dist"), (F.col("_r") + 1).alias("rank"))
+    )
+
+
 def _block_pairs(q: DataFrame, p: DataFrame, keys: list[str], strictly_before: bool) -> DataFrame:
     """The pairs of blocks that exist on both sides; the list of a group's blocks is tiny."""
     q_blocks = q.select(*keys, "qb").distinct()

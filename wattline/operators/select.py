@@ -90,10 +90,10 @@ def trend_columns(x: Column) -> list[Column]:
 
 
 def retrieved_trends(windows: DataFrame, neighbours: DataFrame) -> DataFrame:
-    """Mean trend of the retrieved windows per (window, node)."""
-    base = windows.select("t_start", "node_idx", *trend_columns(F.col("x_hist")))
+    """Mean level and trend of the retrieved windows per (window, node)."""
+    base = windows.select("t_start", "node_idx", *trend_columns(F.col("x_hist")), amean(F.col("x_hist")).alias("mean"))
     past = neighbours.select("q_t", "p_t").join(base.withColumnRenamed("t_start", "p_t"), "p_t")
-    out = past.groupBy(F.col("q_t").alias("t_start"), "node_idx").agg(*[F.avg(c).alias(f"retrieved_{c}") for c in ("last_value", "short_slope", "medium_slope")])
+    out = past.groupBy(F.col("q_t").alias("t_start"), "node_idx").agg(*[F.avg(c).alias(f"retrieved_{c}") for c in ("last_value", "short_slope", "medium_slope", "mean")])
     return out.withColumn("retrieved_trend_label", trend_label(F.col("retrieved_short_slope"), F.col("retrieved_medium_slope")))
 
 

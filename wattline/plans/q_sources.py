@@ -56,7 +56,7 @@ def _(fx):
     rows = fx.stations.join(size, "station").withColumn("file", F.concat(F.lit("x (Nominal capacity-"), "mw", F.lit("MW)"))).drop("mw")
     path = sinks.scratch(fx.spark, "stations")
     both = rows.unionByName(rows.where("power > 1000000"))
-    both.repartition("station").write.partitionBy("station", "file").option("header", "true").csv(path)
+    both.write.partitionBy("station", "file").option("header", "true").csv(path)
     got = readers.scan_station_dir(fx.spark, path, "day", "power")
     return got.groupBy("station", "capacity").agg(F.count(F.lit(1)).alias("rows"), F.sum("power").alias("power"))
 

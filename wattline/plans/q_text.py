@@ -115,7 +115,7 @@ def _rows(fx):
     diffs = diffs.select("t_start", "node_idx", "diff_occ", text.diff_block(nd_fields()).alias("diff_text"))
     for extra in (text.retrieved_block(n, fx.windows), select.retrieved_trends(fx.windows, n), diffs):
         w = w.join(extra, ["t_start", "node_idx"], "left")
-    return w.withColumn("retrieved_mean", F.lit(None).cast("double"))
+    return w
 
 
 @query("prompt_rows", "t_start:i node_idx:i style:s mode:s system_text:s user_text:s")
