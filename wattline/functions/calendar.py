@@ -25,5 +25,16 @@ def weekday0(ts: Column) -> Column:
 
 
 def seconds(ts: Column) -> Column:
-    """Whole seconds since 1970 of a zone-less timestamp."""
-    return F.unix_seconds(ts.cast("timestamp"))
+    """Whole seconds since 1970 by the clock of the zone-less value, whatever the session's time zone."""
+    day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def micros(ts: Column) -> Column:
+    """The same in microseconds."""
+    part = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long") % 1_000_000
+    return seconds(ts) * 1_000_000 + part
+
+
+def from_seconds(sec: Column) -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=sec)

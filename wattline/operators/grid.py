@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.blocks import prev_row
-from wattline.functions.calendar import seconds
+from wattline.functions.calendar import from_seconds, seconds
 from wattline.functions.quantile import exact_quantiles
 
 
@@ -33,7 +33,7 @@ def infer_grid(df: DataFrame, keys: Sequence[str], pos: str, ts: str, accept: fl
     )
     match = placed.groupBy(*keys).agg(F.avg("_on").alias("match"))
     plan = frame.join(match, list(keys), "left")
-    expected = F.timestamp_seconds(F.col("_start") + F.col("step_s") * F.col(pos)).cast("timestamp_ntz")
+    expected = from_seconds(F.col("_start") + F.col("step_s") * F.col(pos))
     return (
         df.join(plan, list(keys), "left")
         .withColumn("filled_ts", F.when((F.col("match") >= accept) & (F.col("step_s") > 0), F.coalesce(F.col(ts), expected)).otherwise(F.col(ts)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.blocks import carry, row_index
+from wattline.functions.calendar import micros
 
 
 def asof_join(
@@ -19,10 +20,10 @@ def asof_join(
     Both time axes are laid into one table and the right values are carried
     along it: one shuffle on (keys, time block), no range join.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    at = micros(F.col(ts))
     rest = [c for c in left.columns if c not in keys and c != ts]
-    a = left.select(*keys, (micros * 2 + 1).alias("_pos"), F.struct(ts, *rest).alias("_left"))
-    b = right.select(*keys, (micros * 2).alias("_pos"), F.struct(*columns).alias("_right"))
+    a = left.select(*keys, (at * 2 + 1).alias("_pos"), F.struct(ts, *rest).alias("_left"))
+    b = right.select(*keys, (at * 2).alias("_pos"), F.struct(*columns).alias("_right"))
     both = a.unionByName(b, allowMissingColumns=True)
     seen = carry(both, keys, "_pos", {"_r": F.col("_right")}, width=width_s * 2_000_000, backward=later_fallback)
     value = F.coalesce("_r_prev", "_r_next") if later_fallback else F.col("_r_prev")
