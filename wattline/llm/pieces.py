@@ -106,28 +106,33 @@ class Pieces:
         The prefix table holds each prefix's unique last token: among the automaton's matches that end there, the one
         that is compatible with the last token of the prefix before it. Ids are then read off backwards.
         """
-        last: list[tuple] = [(FREE, 0)]
-        q = 0
+        goto, matches, pairs, heads = self.goto, self.matches, self._pairs, self.children[0]
+        last, lengths, q = [FREE], [0], 0
         for i, c in enumerate(word, 1):
-            if c not in self.children[0]:
-                last.append((FREE, 1))
+            if c not in heads:
+                last.append(FREE)
+                lengths.append(1)
                 q = 0
                 continue
-            q = self.step(q, c)
-            for token, length in self.matches[q]:
-                if self.compatible(last[i - length][0], token):
-                    last.append((token, length))
+            nxt = goto[q].get(c)
+            q = self.step(q, c) if nxt is None else nxt
+            for token, length in matches[q]:
+                before = last[i - length]
+                fits = before == FREE or pairs.get(before << 20 | token)
+                if fits or (fits is None and self.compatible(before, token)):
+                    last.append(token)
+                    lengths.append(length)
                     break
             else:
                 raise AssertionError(f"no last token for a prefix of {word!r}")
         ids, i = [], len(word)
         while i:
-            token, length = last[i]
+            token = last[i]
             if token == FREE:
                 ids.extend(self.byte_ids[b] for b in reversed(word[i - 1].encode("utf-8", "surrogatepass")))
             else:
                 ids.append(token)
-            i -= length
+            i -= lengths[i]
         ids.reverse()
         return ids
 
