@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattline.llm import counting, encoding, sharding  # noqa: F401
+from wattline.llm import counting, encoding, language, sharding  # noqa: F401
 from wattline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
