@@ -99,6 +99,7 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
         e = stash(_edges(e), "edges")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            hung = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
         before = state
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")
