@@ -32,6 +32,9 @@ from wattline.llm.registry import register, table
 #: Distinct sets per row block, and columns per tile of a product.
 ROW_BLOCK = 256
 COLUMN_TILE = 4096
+#: Hash values of ids that travel to all tasks to leave out texts no product needs (8 bytes each, so many at most). Where
+#: most values are taken it leaves out none; the join that follows decides.
+ID_HASHES = 1 << 20
 #: Column blocks may be empty in small sets; so many agreeing blocks are asked for that one holds n-grams.
 SPARE = 1
 
@@ -59,6 +62,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    d = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+
+
 def budget(total: int, percent: int) -> int:
     """The largest symmetric difference of two linked sets whose sizes add up to ``total``."""
     return (100 - percent) * total // (100 + percent)
@@ -207,9 +216,8 @@ def _ties(keyed: DataFrame) -> DataFrame:
 
 
 def _row_block_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that span the linked sets of each family. ``sets``: (family, doc, shingles), distinct per family."""
-    n = sets.groupBy("family").agg(F.ceil(F.count("*") / F.lit(ROW_BLOCK)).cast("int").alias("blocks"))
-    rows = attach(sets, n, ["family"], F.col("doc"), "inner").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    """Links (u, v) that span the linked sets of each family. ``sets``: (family, blocks, doc, shingles); ``blocks``: row blocks of the family."""
+    rows = sets.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
     parts = rows.select("family", "low", "high", "own", "doc", "shingles").repartition("family", "low", "high").sortWithinPartitions("family", "low", "high", "own", "doc")
@@ -244,41 +252,43 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     """(id, n_shingles, component_id) for every row: the size of its n-gram set and the smallest id reachable by links.
 
     ``id_col`` must be a whole number. Texts without words, and null texts, have an empty set and link with nothing.
-    Rows that share an id are one document in the link graph, with the larger set for their links if they differ; each row is
-    returned with its own set size. A row without an id links with nothing and has a null component. An empty table gives no
+    Rows that share an id are one document in the link graph, with the links of all their texts; each row is returned with
+    its own set size. A row without an id links with nothing and has a null component. An empty table gives no
     rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames, "text", 4_000_000):
-            size, keys = [], []
+            size, keys, digests = [], [], []
             for t in frame["text"]:
                 s = shingle_set(t, width)
                 size.append(len(s))
+                digests.append(set_digest(s))
                 keys.append(block_digests(s, percent) if len(s) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "keys": keys})
-
-    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, keys array<long>"), "blocks")
-    families = components(_ties(keyed.where(F.col("doc").isNotNull())), "u", "v").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], "keys": keys})
+
+    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, keys array<long>"), "blocks")
+    known = keyed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
+    families = components(_ties(known), "u", "v").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    # one row per distinct set of a family; texts are read again only where a family has several
+    member = stash(known.select("doc", "d1", "d2").join(families, "doc"), "members")
+    heads = stash(member.groupBy("family", "d1", "d2").agg(F.min("doc").alias("head")), "heads")
+    same = attach(member, heads, ["family", "d1", "d2"], F.col("doc"), "inner").select(F.col("doc").alias("u"), F.col("head").alias("v"))
+    several = heads.groupBy("family").agg(F.count("*").alias("c")).where("c > 1").select("family", F.ceil(F.col("c") / ROW_BLOCK).cast("int").alias("blocks"))
+    wanted = stash(attach(heads, several, ["family"], F.col("head"), "inner").withColumnRenamed("head", "doc"), "wanted")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames, "text", 4_000_000):
             found = [shingle_set(t, width) for t in frame["text"]]
-            raw = [s.tobytes() for s in found]
-            digest = [xxhash.xxh3_128_intdigest(b) for b in raw]
-            signed = [[(d >> s & (1 << 64) - 1) - (1 << 63) for d in digest] for s in (0, 64)]
-            yield pd.DataFrame({"family": frame["family"], "doc": frame["doc"], "d1": signed[0], "d2": signed[1], "n": [len(s) for s in found], "shingles": raw})
-
-    tied = rows.join(families, "doc").mapInPandas(sets, "family long, doc long, d1 long, d2 long, n long, shingles binary")
-    tied = stash(tied.where("n > 0"), "sets")
-    # one row per distinct set of a family
-    heads = stash(tied.groupBy("family", "d1", "d2").agg(F.min("doc").alias("head")), "heads")
-    same = attach(tied.select("family", "d1", "d2", "doc"), heads, ["family", "d1", "d2"], F.col("doc"), "inner").select(F.col("doc").alias("u"), F.col("head").alias("v"))
-    several = heads.groupBy("family").agg(F.count("*").alias("c")).where("c > 1").select("family")
-    open_heads = heads.join(several, "family").select("family", "d1", "d2", F.col("head").alias("doc"))
-    distinct = tied.join(open_heads, ["family", "d1", "d2", "doc"]).groupBy("family", "d1", "d2", "doc").agg(F.first("shingles").alias("shingles"))
-    links = _row_block_links(distinct.select("family", "doc", "shingles"), percent)
+            meant = [set_digest(s) == d for s, d in zip(found, zip(frame["d1"], frame["d2"], strict=True), strict=True)]
+            out = frame[["family", "blocks", "doc"]].assign(shingles=[s.tobytes() for s in found])
+            yield out[meant]
+
+    id_hash = F.pmod(F.xxhash64("doc"), F.lit(ID_HASHES)).alias("h")
+    near = rows.withColumn("h", id_hash).join(F.broadcast(wanted.select(id_hash).distinct()), "h", "left_semi").drop("h")
+    texts = near.join(wanted, "doc").select("family", "blocks", "doc", "d1", "d2", "text")
+    links = _row_block_links(texts.mapInPandas(sets, "family long, blocks int, doc long, shingles binary"), percent)
     found = components(same.unionByName(links), "u", "v")
     out = keyed.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(docs.schema[id_col].dataType).alias("component_id"))
