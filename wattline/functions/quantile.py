@@ -23,17 +23,18 @@ def order_bin(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (linear interpolation).
 
-    NULL values are left out, and so are groups that hold no value.
+    NULL values are left out, and so are groups that hold no value. ``weight`` names a column that says how often a row
+    counts, so that counted values can be used again.
     """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
         .withColumn("_bin", order_bin(F.col("_v")))
     )
     per_bin = counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_n"))

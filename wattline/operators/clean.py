@@ -9,14 +9,32 @@ from pyspark.sql import functions as F
 
 from wattline.functions.blocks import BLOCK, carry
 
-TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyyMMddHHmmss", "yyyy-MM-dd"]
+# Year-first and month-first dates with an optional time of day, and digits without separators. Each gives, in order:
+# year, month, day, hour, minute, second, fraction (absent parts count as zero).
+_CLOCK = r"(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?)?\s*Z?\s*$"
+TEXT_LAYOUTS = (
+    (r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK, (1, 2, 3, 4, 5, 6, 7)),
+    (r"^\s*(\d{4})年(\d{1,2})月(\d{1,2})日" + _CLOCK.replace("[T ]+", "[T ]*"), (1, 2, 3, 4, 5, 6, 7)),
+    (r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4})" + _CLOCK, (3, 1, 2, 4, 5, 6, 7)),
+    (r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(?:(\d{2})(\.\d+)?)?)?\s*Z?\s*$", (1, 2, 3, 4, 5, 6, 7)),
+)
 SERIAL_DAY_ZERO = "1899-12-30"
 
 
 # --- coercion ---
-def ts_coerce(text: Column, formats: Sequence[str] = TEXT_FORMATS) -> Column:
-    """Text to timestamp: known layouts first, then spreadsheet serial days, to the second."""
-    tries = [F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz") for fmt in formats]
+def ts_coerce(text: Column, layouts: Sequence[tuple[str, Sequence[int]]] = TEXT_LAYOUTS) -> Column:
+    """Text to timestamp: mixed layouts first, then spreadsheet serial days, rounded to the second.
+
+    Accepted: ``-``, ``/``, ``.`` or year-month-day signs between the parts, one or two digits each, a blank or ``T``
+    before the time, hours and minutes with or without seconds and fractions, a ``Z`` at the end, month-first dates, and
+    8, 12 or 14 digits without separators. Anything else, and dates that do not exist, become NULL (see ``ts_rejects``).
+    """
+    tries = []
+    for pattern, places in layouts:
+        part = [F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in places]
+        numbers = [F.coalesce(p.try_cast("int"), F.lit(0)) for p in part[:6]]
+        up = F.when(F.coalesce(part[6].try_cast("double"), F.lit(0.0)) > 0.5, 1).otherwise(0)
+        tries.append(F.when(text.rlike(pattern), F.try_make_timestamp_ntz(*numbers) + F.make_dt_interval(secs=up)))
     days = text.try_cast("double")
     in_calendar = days.between(-600_000.0, 2_900_000.0)  # also leaves out inf and NaN
     secs = F.when(in_calendar, F.round(days * 86400.0)).cast("long")
@@ -24,6 +42,13 @@ def ts_coerce(text: Column, formats: Sequence[str] = TEXT_FORMATS) -> Column:
     return F.date_trunc("second", F.coalesce(*tries, serial)).cast("timestamp_ntz")
 
 
+def ts_rejects(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per group, how many hold no time text, and how many hold one that ``ts_coerce`` cannot read."""
+    blank = F.col(column).isNull() | (F.trim(F.col(column)) == "")
+    bad = ~blank & ts_coerce(F.col(column)).isNull()
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank"), F.count_if(bad).alias("rejected"))
+
+
 def num_coerce(text: Column) -> Column:
     """Text to double; anything that is not a finite number becomes NULL."""
     v = text.try_cast("double")

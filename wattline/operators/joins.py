@@ -48,11 +48,14 @@ def lookup_history_end(windows: DataFrame, frame: DataFrame, columns: Sequence[s
     last = numbered.agg(F.max("_row")).scalar()
     exact = numbered.select(F.col("ts").alias(ts), F.struct(*columns).alias("_hit"))
     at = numbered.select(F.col("_row").alias("_at"), F.struct(*columns).alias("_near"))
-    out = windows.join(exact, ts, "left").withColumn(
-        "_at", F.when(F.col("_hit").isNull(), F.least(F.greatest(F.col("t_start") - 1, F.lit(0)), last))
-    )
-    out = out.join(at, "_at", "left").withColumn("_row", F.coalesce("_hit", "_near"))
-    return out.select(*windows.columns, *[F.col("_row")[c].alias(c) for c in columns])
+    tried = windows.join(exact, ts, "left")
+    hits = tried.where(F.col("_hit").isNotNull()).withColumnRenamed("_hit", "_row")
+    # only windows without a hit go into the second join; many of them may fall on one row, so the rows are repeated and the windows spread
+    misses = tried.where(F.col("_hit").isNull()).drop("_hit").withColumn("_at", F.least(F.greatest(F.col("t_start") - 1, F.lit(0)), last))
+    misses = misses.withColumn("_salt", F.pmod(F.xxhash64(*windows.columns), F.lit(8)).cast("int"))
+    at = at.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    missed = misses.join(at, ["_at", "_salt"], "left").drop("_at", "_salt").withColumnRenamed("_near", "_row")
+    return hits.unionByName(missed).select(*windows.columns, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def price_history_end(windows: DataFrame, price: DataFrame, ts: str = "history_end_ts") -> DataFrame:

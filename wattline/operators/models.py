@@ -22,7 +22,8 @@ def _best(make, train: DataFrame, val: DataFrame, depths: Sequence[int], leaves:
         for leaf in leaves:
             model = make(depth, leaf).fit(train)
             score = model.transform(val).agg(loss).first()[0]
-            if score < best_loss:
+            score = float("inf") if score is None else score  # no validation rows: the first point of the grid stays
+            if best is None or score < best_loss:
                 best, best_loss, point = model, score, (depth, leaf)
     return best, best_loss, point
 

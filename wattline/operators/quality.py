@@ -14,13 +14,13 @@ from wattline.functions.quantile import exact_quantiles
 def robust_z(long: DataFrame, feature: str, value: str, baseline: Column, target: Column) -> DataFrame:
     """``0.6745 * (x - median) / MAD`` of target rows against the baseline rows of the same feature.
 
-    Both medians are exact and found without bringing a feature into one task.
-    A MAD of zero gives NULL.
+    Both medians are exact and found without bringing a feature into one task: values are counted once, and the median
+    and the spread around it come from the counts. A MAD of zero gives NULL.
     """
-    base = long.where(baseline)
-    mid = exact_quantiles(base, [feature], value, {"_mid": 0.5})
-    spread = base.join(mid, feature).withColumn("_dev", F.abs(F.col(value) - F.col("_mid")))
-    mad = exact_quantiles(spread, [feature], "_dev", {"_mad": 0.5})
+    counted = long.where(baseline & F.col(value).isNotNull()).groupBy(feature, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_times"))
+    mid = exact_quantiles(counted, [feature], "_value", {"_mid": 0.5}, "_times")
+    spread = counted.join(mid, feature).withColumn("_dev", F.abs(F.col("_value") - F.col("_mid")))
+    mad = exact_quantiles(spread, [feature], "_dev", {"_mad": 0.5}, "_times")
     stats = mid.join(mad, feature)
     z = F.lit(0.6745) * (F.col(value) - F.col("_mid")) / F.col("_mad")
     return long.where(target).join(stats, feature, "left").withColumn("robust_z", F.when(F.col("_mad") != 0, z)).drop("_mid", "_mad")
@@ -35,8 +35,7 @@ def with_jump(long: DataFrame, keys: Sequence[str], pos: str, value: str, width:
 def anomaly_union(values: DataFrame, jumps: DataFrame, z_value: float, z_jump: float) -> DataFrame:
     a = values.where(F.abs("robust_z") >= z_value).withColumn("check_name", F.lit("value_vs_baseline"))
     b = jumps.where(F.abs("robust_z") >= z_jump).withColumn("check_name", F.lit("jump_vs_baseline"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.orderBy("check_name", "feature", F.abs("robust_z"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def missing_ranges(long: DataFrame, keys: Sequence[str], pos: str, ts: str, value: str, width: int = BLOCK) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.arrays import afirst, alast, amean, astd, clamped_delta, clip
@@ -39,9 +39,13 @@ def keep_best(scored: DataFrame, arrival: Sequence[str], ratio: float, most: int
     """
     order = [F.desc("score"), *[F.asc(c) for c in arrival]]
     if most > 0:
-        return scored.orderBy(*order).limit(most)
+        # a list of a given length: the top-k is found per partition before one task numbers it
+        top = scored.orderBy(*order).limit(most)
+        return top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
     total = scored.agg(F.count(F.lit(1))).scalar()
-    return count_then_limit(scored, order, F.greatest(F.lit(1), F.ceil(total * F.lit(ratio))), -order_bin(F.col("score")))
+    # equal scores are common; the arrival breaks them up into bins that one task can hold
+    bucket = F.struct((-order_bin(F.col("score"))).alias("a"), (-F.col("score")).alias("b"), F.col(arrival[0]).alias("c"))
+    return count_then_limit(scored, order, F.greatest(F.lit(1), F.ceil(total * F.lit(ratio))), bucket)
 
 
 SCENARIOS = ("low_valley", "rapid_rise", "peak_plateau", "rapid_drop", "high_volatility", "weather_shift")

@@ -92,20 +92,29 @@ def rolling_origins(series: DataFrame, keys: Sequence[str], pos: str, context: i
 
 
 def tag_nodes(
-    starts: DataFrame, node_count: Column, cap: int | None = None, seed: int | None = None
+    starts: DataFrame, nodes: DataFrame, node: str = "node_idx", cap: int | None = None, seed: int | None = None
 ) -> DataFrame:
-    """Every (window, node) item in window-major order, or in seeded order, up to ``cap``.
+    """Every (window, node) item in window-major order, or in seeded order, up to ``cap`` (all without one).
 
-    ``starts`` holds ``win`` (dense, from 0). Item numbers are arithmetic, so
-    the head of the list needs no sort; the seeded head is a top-k.
+    ``starts`` holds ``win`` (dense, from 0); ``nodes`` one row per node, whose ids may have holes: nodes are numbered in
+    the order of their ids. Each task expands the windows of its own nodes. With a cap only the windows that it reaches
+    are expanded; the seeded head is a top-k.
     """
+    from wattline.functions.blocks import row_index
     from wattline.functions.ranking import seeded_order
 
-    items = starts.withColumn("node_idx", F.explode(F.sequence(F.lit(0).cast("long"), (node_count - 1).cast("long"))))
-    items = items.withColumn("item", F.col("win") * node_count + F.col("node_idx"))
+    ids = nodes.select(node).distinct()
+    size, last = ids.count(), starts.agg(F.max("win")).first()[0]
+    if not size or last is None:
+        return starts.withColumn(node, F.lit(None).cast(nodes.schema[node].dataType)).withColumn("item", F.lit(None).cast("long")).where("false")
+    if seed is None and cap is not None:
+        last = min(last, (cap - 1) // size)
+    numbered = row_index(ids, [], [node], F.floor(F.col(node) / 4096) if dict(nodes.dtypes)[node] in ("int", "bigint") else F.substring(F.col(node), 1, 4), "_n")
+    grid = numbered.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    items = grid.join(starts, "win").withColumn("item", F.col("win") * size + F.col("_n")).drop("_n")
     if seed is None:
         return items if cap is None else items.where(F.col("item") < cap)
-    key = seeded_order(seed, "win", "node_idx")
+    key = seeded_order(seed, "win", node)
     return items.orderBy(key) if cap is None else items.orderBy(key).limit(cap)
 
 

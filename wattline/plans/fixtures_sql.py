@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from wattline.sources.fixtures import EVENT_CURVES
+from wattline.sources.fixtures import EVENT_CURVES, MARKET_COLUMNS
 
 FIXTURES: dict[str, str] = {}
 
@@ -60,10 +60,8 @@ FIXTURES["price_days"] = """
 SELECT series, day, row_number() OVER (PARTITION BY series ORDER BY day) - 1 AS day_idx
 FROM (SELECT DISTINCT series, day FROM market)"""
 FIXTURES["pred_both"] = """
-SELECT m.series, m.day, date_diff('day', lo, m.day) AS day_idx, m.slot, m.price AS target, a.price AS lag_a, b.price AS lag_b
-FROM market m CROSS JOIN ev_days
-LEFT JOIN market a ON a.series = m.series AND a.pos = m.pos - 96
-LEFT JOIN market b ON b.series = m.series AND b.pos = m.pos - 672"""
+SELECT series, day, date_diff('day', lo, day) AS day_idx, slot, price AS target, lag(price, 1) OVER w AS lag_a, lag(price, 7) OVER w AS lag_b
+FROM market CROSS JOIN ev_days WINDOW w AS (PARTITION BY series, slot ORDER BY day)"""
 FIXTURES["pred_a"] = "SELECT series, day, day_idx, slot, lag_a AS prediction, target FROM pred_both WHERE day_idx >= 7"
 FIXTURES["pred_b"] = "SELECT series, day, day_idx, slot, lag_b AS prediction, target FROM pred_both WHERE day_idx >= 7"
 FIXTURES["candidate"] = "SELECT series, day, slot, prediction / 500.0 AS prediction FROM pred_a"
@@ -178,9 +176,7 @@ SELECT a.t_start, a.node_idx, a.domain, avg(abs(a.p - b.p)) AS variant_gap_mae,
        avg(abs(b.p - b.t)) - avg(abs(a.p - a.t)) AS full_advantage
 FROM record_steps a JOIN record_steps b ON b.variant = 'mean' AND b.t_start = a.t_start AND b.node_idx = a.node_idx AND b.h = a.h
 WHERE a.variant = 'seasonal' GROUP BY a.t_start, a.node_idx, a.domain"""
-FIXTURES["market_long"] = """
-SELECT series, pos, day, ts, 'price' AS feature, price AS value FROM market UNION ALL SELECT series, pos, day, ts, 'tie', tie FROM market
-UNION ALL SELECT series, pos, day, ts, 'load', load FROM market"""
+FIXTURES["market_long"] = " UNION ALL ".join(f"SELECT series, pos, day, ts, '{c}' AS feature, {c} AS value FROM market" for c in MARKET_COLUMNS)
 FIXTURES["pair_table"] = "SELECT series, day, day_idx, slot, lag_a AS prediction_base, lag_b AS prediction_seq, target FROM pred_both WHERE day_idx >= 7"
 
 

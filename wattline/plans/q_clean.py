@@ -19,32 +19,29 @@ PI2 = "(2 * pi())"
     "ts_coerce",
     "event_id:i parsed:t",
     f"""
-SELECT event_id, coalesce(try_strptime(txt, '%Y-%m-%d %H:%M:%S'), try_strptime(txt, '%Y/%m/%d %H:%M'), try_strptime(txt, '%Y%m%d%H%M%S'),
-       try_strptime(txt, '%Y-%m-%d'),
-       TIMESTAMP '1899-12-30' + to_seconds(CAST(round(TRY_CAST(txt AS DOUBLE) * 86400) AS BIGINT))) AS parsed
-FROM (SELECT event_id, CASE event_type
-        WHEN 'click' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 'view' THEN strftime(ts, '%Y/%m/%d %H:%M')
-        WHEN 'signup' THEN strftime(ts, '%Y%m%d%H%M%S')
-        WHEN 'purchase' THEN CAST(sec // 86400 AS VARCHAR) || '.' || lpad(CAST((sec % 86400) * 1000000 // 86400 AS VARCHAR), 6, '0')
-        ELSE 'n/a' END AS txt
-      FROM (SELECT *, date_diff('second', TIMESTAMP '1899-12-30', date_trunc('second', ts)) AS sec FROM events))""",
+SELECT event_id, CASE event_id % 14
+         WHEN 1 THEN date_trunc('minute', s) WHEN 3 THEN date_trunc('minute', s) WHEN 6 THEN date_trunc('minute', s) WHEN 9 THEN date_trunc('minute', s)
+         WHEN 10 THEN date_trunc('day', s) WHEN 11 THEN date_trunc('day', s) WHEN 12 THEN NULL
+         WHEN 8 THEN s + INTERVAL 1 SECOND
+         WHEN 13 THEN TIMESTAMP '1899-12-30' + to_seconds(CAST(round((sec // 86400 + (sec % 86400 * 1000000 // 86400) / 1000000.0) * 86400) AS BIGINT)) ELSE s END AS parsed
+FROM (SELECT *, date_trunc('second', ts) AS s, date_diff('second', TIMESTAMP '1899-12-30', date_trunc('second', ts)) AS sec FROM events)""",
 )
 def _(fx):
     sec = F.expr("timestampdiff(SECOND, timestamp_ntz'1899-12-30', date_trunc('second', ts))")
     micro = F.floor((sec % 86400) * 1000000 / 86400).cast("long")
-    kind = F.col("event_type")
-    text = (
-        F.when(kind == "click", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-        .when(kind == "view", F.date_format("ts", "yyyy/MM/dd HH:mm"))
-        .when(kind == "signup", F.date_format("ts", "yyyyMMddHHmmss"))
-        .when(kind == "purchase", F.concat(F.floor(sec / 86400).cast("string"), F.lit("."), F.lpad(micro.cast("string"), 6, "0")))
-        .otherwise("n/a")
-    )
+    layouts = {
+        0: "yyyy-MM-dd HH:mm:ss", 1: "yyyy/MM/dd HH:mm", 2: "yyyyMMddHHmmss", 3: "yyyy-MM-dd HH:mm", 4: "yyyy-MM-dd'T'HH:mm:ss", 5: "yyyy/MM/dd HH:mm:ss",
+        6: "yyyy/M/d H:mm", 7: "yyyy-MM-dd HH:mm:ss'.4'", 8: "yyyy-MM-dd'T'HH:mm:ss'.75Z'", 9: "MM/dd/yyyy HH:mm", 10: "yyyy-MM-dd", 11: "yyyyMMdd",
+    }
+    turn, text = F.col("event_id") % 14, F.concat(F.floor(sec / 86400).cast("string"), F.lit("."), F.lpad(micro.cast("string"), 6, "0"))
+    text = F.when(turn == 12, F.when(F.col("event_id") % 28 == 12, "n/a").otherwise("2024-02-30 10:00")).otherwise(text)
+    for k, layout in layouts.items():
+        text = F.when(turn == k, F.date_format("ts", layout)).otherwise(text)
     return fx.table("events").select("event_id", clean.ts_coerce(text).alias("parsed"))
 
 
 # A quarter-hour axis with holes where no price was seen; some series also sit off the grid.
-OFF_GRID = "series < 'F' AND price > 300"
+OFF_GRID = "series LIKE '%1' AND price > 300"
 
 
 @query(

@@ -8,7 +8,7 @@ from wattline.functions.arrays import clip
 from wattline.operators import metrics, quality
 from wattline.plans.fixtures_sql import day_metrics_sql
 from wattline.plans.registry import query
-from wattline.sources.fixtures import PRICE_CAP, PRICE_FLOOR
+from wattline.sources.fixtures import MARKET_COLUMNS, PRICE_CAP, PRICE_FLOOR
 
 
 @query(
@@ -272,21 +272,21 @@ def _(fx):
     "missing_ranges",
     "series:s feature:s n_missing:i row_start:i row_end:i ts_start:t ts_end:t",
     f"""
-WITH l AS (SELECT series, pos, ts, 'price' AS feature FROM market_raw WHERE price IS NULL AND day >= DATE '{_CUT}' UNION ALL SELECT series, pos, ts, 'tie' FROM market_raw WHERE tie IS NULL AND day >= DATE '{_CUT}')
+WITH l AS ({" UNION ALL ".join(f"SELECT series, pos, ts, '{c}' AS feature FROM market_raw WHERE {c} IS NULL AND day >= DATE '{_CUT}'" for c in MARKET_COLUMNS)})
 SELECT series, feature, count(*) AS n_missing, min(pos) AS row_start, max(pos) AS row_end, min(ts) AS ts_start, max(ts) AS ts_end
 FROM (SELECT *, pos - row_number() OVER (PARTITION BY series, feature ORDER BY pos) AS run FROM l) GROUP BY series, feature, run""",
 )
 def _(fx):
     late = fx.market_raw.where(F.col("day") >= F.lit(_CUT).cast("date"))
-    long = late.unpivot(["series", "pos", "ts"], ["price", "tie"], "feature", "value")
+    long = late.unpivot(["series", "pos", "ts"], MARKET_COLUMNS, "feature", "value")
     return quality.missing_ranges(long, ["series", "feature"], "pos", "ts", "value")
 
 
 @query(
     "daily_completeness",
     "series:s day:d feature:s missing:i",
-    """
-SELECT * FROM (SELECT series, day, unnest(['price', 'load']) AS feature, unnest([count(*) - count(price), count(*) - count(load)]) AS missing FROM market_raw GROUP BY series, day) WHERE missing > 0""",
+    f"""
+SELECT * FROM (SELECT series, day, unnest({MARKET_COLUMNS}) AS feature, unnest([{", ".join(f"count(*) - count({c})" for c in MARKET_COLUMNS)}]) AS missing FROM market_raw GROUP BY series, day) WHERE missing > 0""",
 )
 def _(fx):
-    return quality.daily_completeness(fx.market_raw, ["series"], "day", ["price", "load"])
+    return quality.daily_completeness(fx.market_raw, ["series"], "day", MARKET_COLUMNS)

@@ -29,9 +29,10 @@ def _(fx):
     "SELECT series AS node_id, ts, price + CASE WHEN slot % 2 = 0 THEN 1 ELSE 0 END AS value FROM market",
 )
 def _(fx):
-    names = [f"NATION_{i}" for i in range(25)]
-    wide = fx.market.groupBy("ts", "slot").pivot("series", names).agg(F.first("price"))
-    text = wide.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    wide = fx.market.groupBy("ts", "slot").pivot("series").agg(F.first("price"))
+    names = [c for c in wide.columns if c not in ("ts", "slot")]
+    slash = F.date_format("ts", "yyyy/M/d H:mm")
+    text = wide.withColumn("ts", F.when(F.col("slot") % 3 == 0, slash).when(F.col("slot") % 3 == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     again = text.where("slot % 2 = 0").select("ts", "slot", *[(F.col(n) + 2).alias(n) for n in names])
     broken = text.where("slot = 0").withColumn("ts", F.lit("n/a"))
     path = sinks.scratch(fx.spark, "wide")
@@ -117,7 +118,8 @@ def _(fx):
     cbd = fx.user_nodes.where("zone_type = 'CBD'").select(F.col("node_idx").alias("node_id"))
     nation = fx.table("nation").select("n_nationkey", F.col("n_name").alias("node_id"))
     flow = fx.table("orders").join(fx.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    square = flow.withColumn("to", F.concat(F.lit("NATION_"), F.col("o_orderkey") % 25)).groupBy("node_id").pivot("to", [f"NATION_{i}" for i in range(25)]).count()
+    to = nation.select((F.col("n_nationkey")).alias("_to"), F.col("node_id").alias("to"))
+    square = flow.withColumn("_to", F.col("o_orderkey") % 25).join(to, "_to").groupBy("node_id").pivot("to").count()
     forms = {"list": graph.scan_adjacency(cbd, edge_list=fx.user_edges), "square": graph.scan_adjacency(nation, square=square), "identity": graph.scan_adjacency(nation)}
     out = None
     for form, edges in forms.items():
@@ -149,8 +151,9 @@ def _(fx):
   round(power(list_distance(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 2), 6) AS dist FROM embeddings q JOIN embeddings p ON p.vec_id < q.vec_id)) WHERE rank <= 2""")
 def _(fx):
     path = sinks.scratch(fx.spark, "retrieval")
-    sinks.sink_retrieval(retrieval.knn(fx.vectors, fx.vectors, 2, strictly_before=True), path, per_file=200)
-    return fx.spark.read.parquet(path)
+    made = {"k": 2, "strictly_before": True}
+    sinks.sink_retrieval(retrieval.knn(fx.vectors, fx.vectors, 2, strictly_before=True), path, per_file=200, parameters=made)
+    return sinks.scan_retrieval(fx.spark, path, made)
 
 
 @query(

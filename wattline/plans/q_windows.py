@@ -125,33 +125,37 @@ _STARTS = "SELECT t_idx AS t_start, t_idx - 12 AS win FROM (SELECT DISTINCT t_id
 
 
 def _starts(fx):
-    lo, hi = F.lit(12).cast("long"), (fx.n_steps - 6).cast("long")
-    one = fx.users.agg(F.count(F.lit(1)).alias("n_nodes"))
-    return one.select(F.explode(F.sequence(lo, hi)).alias("t_start")).withColumn("win", F.col("t_start") - 12)
+    return fx.spark.range(12, max(12, fx.days * 4 - 5)).select(F.col("id").alias("t_start"), (F.col("id") - 12).alias("win"))
 
 
-def _node_count(fx):
-    return fx.users.agg(F.count(F.lit(1))).scalar()
+# Node ids with holes: two numbers between any two nodes belong to none.
+_SPARSE = "(SELECT node_idx * 3 + 1 AS node_idx, row_number() OVER (ORDER BY node_idx) - 1 AS n FROM users)"
 
 
-@query(
-    "tag_nodes",
-    "win:i t_start:i node_idx:i item:i",
-    f"""
-SELECT win, t_start, node_idx, win * cnt + node_idx AS item FROM ({_STARTS}) CROSS JOIN users CROSS JOIN (SELECT count(*) AS cnt FROM users)
-WHERE win * cnt + node_idx < 5000""",
-)
+def _nodes(fx):
+    return fx.users.select((F.col("node_idx") * 3 + 1).alias("node_idx"))
+
+
+_ITEMS = f"SELECT win, t_start, node_idx, win * (SELECT count(*) FROM users) + n AS item FROM ({_STARTS}) CROSS JOIN {_SPARSE}"
+
+
+@query("tag_nodes", "win:i t_start:i node_idx:i item:i", _ITEMS)
+def _(fx):
+    return windows.tag_nodes(_starts(fx), _nodes(fx))
+
+
+@query("tag_nodes_capped", "win:i t_start:i node_idx:i item:i", f"SELECT * FROM ({_ITEMS}) WHERE item < 5000")
 def _(fx):
-    return windows.tag_nodes(_starts(fx), _node_count(fx), cap=5000)
+    return windows.tag_nodes(_starts(fx), _nodes(fx), cap=5000)
 
 
 @query(
     "tag_nodes_shuffled",
     "win:i t_start:i node_idx:i",
-    f"SELECT win, t_start, node_idx FROM ({_STARTS}) CROSS JOIN users ORDER BY md5('42:' || win || ':' || node_idx) LIMIT 2000",
+    f"SELECT win, t_start, node_idx FROM ({_STARTS}) CROSS JOIN {_SPARSE} ORDER BY md5('42:' || win || ':' || node_idx) LIMIT 2000",
 )
 def _(fx):
-    return windows.tag_nodes(_starts(fx), _node_count(fx), cap=2000, seed=42)
+    return windows.tag_nodes(_starts(fx), _nodes(fx), cap=2000, seed=42)
 
 
 _SLOTS = range(96)

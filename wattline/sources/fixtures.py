@@ -7,6 +7,7 @@ line one node per user (6-hour steps), the graph matrix one node per nation
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from wattline.operators import clean, windows
 
 EVENT_CURVES = {"gen": "click", "bid": "purchase", "load": "view", "pump": "signup", "renew": "error"}
 EXOG = [*EVENT_CURVES, "tie"]
+MARKET_COLUMNS = ["price", *EXOG]
 PRICE_FLOOR = 5.0
 PRICE_CAP = 200.0
 
@@ -37,21 +39,26 @@ class Fixtures:
         return self._tables[name]
 
     # --- calendar bounds of the event stream ---
+    def _bounds(self, name: str, column: str) -> tuple[date | None, date | None]:
+        """First and last day of a table: one small aggregate, read once, so that plans hold plain dates."""
+        return tuple(self.table(name).agg(F.to_date(F.min(column)), F.to_date(F.max(column))).first())
+
     @cached_property
-    def _day_bounds(self) -> Column:
-        return (
-            self.table("events")
-            .agg(F.struct(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi")).alias("b"))
-            .scalar()
-        )
+    def _day_bounds(self) -> tuple[date | None, date | None]:
+        return self._bounds("events", "ts")
 
     @property
     def day_lo(self) -> Column:
-        return self._day_bounds["lo"]
+        return F.lit(self._day_bounds[0]).cast("date")
+
+    @property
+    def days(self) -> int:
+        lo, hi = self._day_bounds
+        return 0 if lo is None else (hi - lo).days + 1
 
     @property
     def n_days(self) -> Column:
-        return F.datediff(self._day_bounds["hi"], self._day_bounds["lo"]) + 1
+        return F.lit(self.days)
 
     # --- price line ---
     @cached_property
@@ -289,11 +296,7 @@ class Fixtures:
     # --- graph matrix, stations, weather feeds ---
     @cached_property
     def daily_raw(self) -> DataFrame:
-        bounds = (
-            self.table("orders")
-            .agg(F.struct(F.to_date(F.min("o_orderdate")).alias("lo"), F.to_date(F.max("o_orderdate")).alias("hi")).alias("b"))
-            .scalar()
-        )
+        lo, hi = (F.lit(d).cast("date") for d in self._bounds("orders", "o_orderdate"))
         nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("node_id"))
         seen = (
             self.table("orders")
@@ -301,11 +304,11 @@ class Fixtures:
             .groupBy("c_nationkey", F.to_date("o_orderdate").alias("day"))
             .agg(F.sum("o_totalprice").alias("value"))
         )
-        grid = nation.withColumn("day", F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr("interval 1 day"))))
+        grid = nation.withColumn("day", F.explode(F.sequence(lo, hi, F.expr("interval 1 day"))))
         return (
             grid.withColumnRenamed("n_nationkey", "c_nationkey")
             .join(seen, ["c_nationkey", "day"], "left")
-            .select("node_id", "day", F.datediff("day", bounds["lo"]).cast("long").alias("t_idx"), "value")
+            .select("node_id", "day", F.datediff("day", lo).cast("long").alias("t_idx"), "value")
         )
 
     @cached_property
@@ -368,7 +371,8 @@ class Fixtures:
 
     @cached_property
     def axis_weather(self) -> DataFrame:
-        axis = self.load_raw.select("t_idx", "ts").distinct()
+        steps = self.spark.range(self.days * 4).withColumnRenamed("id", "t_idx")
+        axis = steps.select("t_idx", (self.day_lo.cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("t_idx") * 6).cast("int"))).alias("ts"))
         joined = axis.join(self.weather.select("ts", "temperature", "humidity"), "ts", "left")
         return clean.interp_pos(joined, [], "t_idx", ["temperature", "humidity"])
 
@@ -398,7 +402,7 @@ class Fixtures:
 
     @cached_property
     def market_long(self) -> DataFrame:
-        return self.market.unpivot(["series", "pos", "day", "ts"], ["price", "tie", "load"], "feature", "value")
+        return self.market.unpivot(["series", "pos", "day", "ts"], MARKET_COLUMNS, "feature", "value")
 
     @cached_property
     def pair_table(self) -> DataFrame:

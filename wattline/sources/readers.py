@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,22 +16,34 @@ ENCODINGS = ("UTF-8", "GB18030", "GBK")
 
 
 def scan_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, schema: str | None = None) -> DataFrame:
-    """CSV with a header, read with the first encoding that decodes every line.
+    """CSV with a header; each file is read with the first encoding that decodes all of its lines.
 
-    A wrong encoding leaves replacement characters; the test stops at the first
-    line that has one. Headers lose byte-order marks and blanks.
+    A wrong encoding leaves replacement characters. The files are tried together, and only those that an encoding does
+    not fit go on to the next; what the driver reads is one row per file. A file that none fits is an error. Files of
+    different encodings must share their columns. Headers lose byte-order marks and blanks.
     """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # lets the reader use the GB charsets
-    chosen = encodings[-1]
+    fits: dict[str, list[str]] = {}
+    open_files: list[str] | str = path
     for encoding in encodings:
-        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").csv(path)
-        broken = lines.where(F.col(lines.columns[0]).contains("�")).limit(1)
-        if broken.isEmpty():
-            chosen = encoding
+        lines = spark.read.option("encoding", encoding).option("sep", "\u0001").schema("line string").csv(open_files)
+        broken = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(F.col("line").contains("�")).alias("broken")).collect()
+        fits[encoding] = sorted(r["file"] for r in broken if not r["broken"])
+        open_files = sorted(r["file"] for r in broken if r["broken"])
+        if not open_files:
             break
-    reader = spark.read.option("header", "true").option("encoding", chosen)
-    df = (reader.schema(schema) if schema else reader).csv(path)
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    if open_files:
+        raise ValueError(f"none of {tuple(encodings)} decodes {open_files[:3]}")
+    parts = []
+    for encoding, files in fits.items():
+        if files:
+            reader = spark.read.option("header", "true").option("encoding", encoding)
+            df = (reader.schema(schema) if schema else reader).csv(files)
+            parts.append(df.toDF(*[c.lstrip("﻿").strip() for c in df.columns]))
+    if not parts:
+        reader = spark.read.option("header", "true")
+        return (reader.schema(schema) if schema else reader).csv(path)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:

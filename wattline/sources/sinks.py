@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, in the cluster's shared checkpoint folder where one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder for intermediate tables in the folder that the whole cluster shares (``spark.checkpoint.dir``).
+
+    Without that setting a session that runs in one process gets a folder of its own; a cluster stops, since its
+    executors would write where no other one can read.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/wattline-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -49,23 +60,46 @@ def write_time_parts(axis: DataFrame, ts: str, path: str, files: int = 1) -> Non
 def load_or_build(spark: SparkSession, path: str, parameters: Mapping[str, object], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """The stored table if every parameter matches, else a rebuilt one; the flag says it was reused.
 
-    The parameter row is written last, so a table whose build was cut short is never reused.
+    Table and parameter row lie under the digest of the parameters, so a build with others never touches them, and the
+    parameter row is written last, so a table whose build was cut short is never reused.
     """
     wanted = json.dumps(dict(sorted(parameters.items())), sort_keys=True)
+    own = f"{path}/{hashlib.sha256(wanted.encode()).hexdigest()[:16]}"
+    if stored_parameters(spark, own) == wanted:
+        return spark.read.parquet(f"{own}/table"), True
+    build().write.mode("overwrite").parquet(f"{own}/table")
+    spark.range(1).select(F.lit(wanted).alias("value")).write.mode("overwrite").text(f"{own}/parameters")
+    return spark.read.parquet(f"{own}/table"), False
+
+
+def stored_parameters(spark: SparkSession, path: str) -> str | None:
+    """The parameter row under ``path``, or None if nothing is stored there; other read errors are raised."""
     try:
-        stored = spark.read.text(f"{path}/parameters").first()[0]
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        stored = None
-    if stored == wanted:
-        return spark.read.parquet(f"{path}/table"), True
-    build().write.mode("overwrite").parquet(f"{path}/table")
-    spark.range(1).select(F.lit(wanted).alias("value")).write.mode("overwrite").text(f"{path}/parameters")
-    return spark.read.parquet(f"{path}/table"), False
-
-
-def sink_retrieval(entries: DataFrame, path: str, per_file: int = 25_000) -> None:
-    """Entries in files of at most ``per_file`` rows."""
-    entries.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
+        row = spark.read.text(f"{path}/parameters").first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row[0] if row else None
+
+
+def sink_retrieval(entries: DataFrame, path: str, per_file: int = 25_000, parameters: Mapping[str, object] | None = None) -> None:
+    """Entries in files of at most ``per_file`` rows, and then the parameters they were made with."""
+    entries.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{path}/entries")
+    row = json.dumps(dict(sorted((parameters or {}).items())), sort_keys=True)
+    entries.sparkSession.range(1).select(F.lit(row).alias("value")).write.mode("overwrite").text(f"{path}/parameters")
+
+
+def scan_retrieval(spark: SparkSession, path: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
+    """The stored entries; an error names the first parameter that differs from the wanted ones."""
+    stored = stored_parameters(spark, path)
+    if stored is None:
+        raise ValueError(f"no finished retrieval store under {path}")
+    held = json.loads(stored)
+    for name, value in sorted((parameters or {}).items()):
+        if held.get(name) != value:
+            raise ValueError(f"retrieval store was made with {name}={held.get(name)!r}, wanted {value!r}")
+    return spark.read.parquet(f"{path}/entries")
 
 
 def sink_report(df: DataFrame, path: str) -> None:
