@@ -32,8 +32,8 @@ FREQUENT, WORD_CLASSES = 2048, 48
 #: Classes of all other words, by their last two bytes. A power of two: the low bits of a key.
 ENDINGS = 64
 CLASSES = WORD_CLASSES + ENDINGS
-#: Counts that travel to all tasks: those of the most frequent words (16 bytes each). Others are joined.
-TRAVELLING = 1 << 19
+#: Counts that travel to all tasks: those of the most frequent words, at most so many (16 bytes each). Others are joined.
+TRAVELLING = 1 << 18
 LANES, WINDOW = 512, 16
 #: Share of the positions of a training window whose output enters the loss, drawn anew each time; all are read.
 LOSS_SHARE = 0.25
@@ -149,9 +149,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
     sums = {r["e"]: (r["n"], r["v"]) for r in counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     if not sums:
         return None
-    top = counts.orderBy(F.desc("c"), "key").limit(TRAVELLING).toPandas()
-    if END not in set(top["key"]):
-        top = pd.concat([top.iloc[:-1], counts.where(F.col("key") == int(END)).toPandas()], ignore_index=True)
+    # the lowest count that travels, from a histogram of counts in sixteenths of an octave
+    octave = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(octave.alias("o")).agg(F.count("*").alias("v")).collect(), reverse=True):
+        if held + r["v"] > TRAVELLING - 1:
+            break
+        least, held = r["o"], held + r["v"]
+    chosen = F.col("key") == int(END)
+    top = counts.where(chosen if least is None else chosen | (octave >= least)).toPandas().sort_values(["c", "key"], ascending=[False, True])
     keys, c = top["key"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     rank = np.flatnonzero((np.arange(len(keys)) < FREQUENT - 1) | (keys == END))
     symbol = np.full(len(keys), -1, np.int32)
@@ -175,6 +181,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_softmax_at(logit: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of (logit + bias) in column ``at`` of each row; ``logit`` is used up."""
+    logit += bias - bias.max()
+    if logit.size and (logit.max() > 60 or np.abs(logit[:, int(np.argmax(bias))]).max() > 60):
+        logit -= logit.max(axis=1, keepdims=True)  # else no row's sum leaves the range of float32
+    picked = logit[np.arange(len(at)), at].astype(np.float64)
+    np.exp(logit, out=logit)
+    return picked - np.log(logit.sum(axis=1))
+
+
 class Model:
     """Gated recurrent unit with a class-factored softmax; all parameters in float32 arrays by name."""
 
@@ -220,14 +236,10 @@ class Model:
     def log10_output(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol's class, and for frequent words also of the word in it."""
         cls = self.targets(symbols)
-        logit = states @ self.p["wc"] + self.p["bc"]
-        logit -= logit.max(axis=1, keepdims=True)
-        out = (logit[np.arange(len(cls)), cls] - np.log(np.exp(logit).sum(axis=1))).astype(np.float64)
+        out = _log_softmax_at(states @ self.p["wc"], self.p["bc"], cls)
         for rows, members in self._by_class(symbols, cls):
-            logit = states[rows] @ self.p["ww"][members].T + self.p["bw"][members]
-            logit -= logit.max(axis=1, keepdims=True)
             at = np.searchsorted(members, symbols[rows])
-            out[rows] += logit[np.arange(len(rows)), at] - np.log(np.exp(logit).sum(axis=1))
+            out[rows] += _log_softmax_at(states[rows] @ self.p["ww"][members].T, self.p["bw"][members], at)
         return out / np.log(10)
 
     def _by_class(self, symbols: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
