@@ -63,7 +63,7 @@ def _(fx):
     w = text.with_trends(_context(fx)).join(fx.user_nodes.select("node_idx", "node_id", "zone_type", F.col("balance").alias("capacity")), "node_idx")
     return w.select(
         "t_start", "node_idx", text.trend_block().alias("trend_text"), text.long_history_block(F.col("x_context"), "occupancy").alias("long_text"),
-        text.aux_block(["temperature", "humidity"]).alias("aux_text"), text.static_block(["node_id", "zone_type", "capacity"]).alias("static_text"),
+        text.aux_block(["temperature", "humidity"]).alias("aux_text"), text.static_block(["node_id", "zone_type", "capacity"], dict(w.dtypes)).alias("static_text"),
     )
 
 
@@ -106,8 +106,8 @@ def _rows(fx):
     """Everything a prompt can show, one row per (window, node)."""
     nodes = fx.user_nodes.select("node_idx", "node_id", "zone_type", F.col("balance").alias("capacity"))
     w = text.with_trends(_context(fx)).join(nodes, "node_idx").withColumn("profile", _profile())
-    w = w.withColumn("static_text", text.static_block(["node_id", "zone_type", "capacity"]))
-    w = w.withColumn("aux_text", text.aux_block(["temperature", "humidity"])).withColumn("long_text", text.long_history_block(F.col("x_context"), F.col("profile.series_label")))
+    w = w.withColumn("static_text", text.static_block(["node_id", "zone_type", "capacity", "profile"], dict(w.dtypes)))
+    w = w.withColumn("aux_text", text.aux_block(["temperature", "humidity"])).withColumn("long_text", text.long_history_block(F.col("x_context"), F.col("profile.series_label"), recent=F.col("x_hist")))
     nbr = graph.neighbour_mean(graph.topk_neighbours(fx.user_edges, 7), fx.load_norm, "node_idx", "t_idx", "value")
     w = w.join(nbr.select("node_idx", (F.col("t_idx") + 1).alias("t_start"), "nbr"), ["node_idx", "t_start"], "left")
     n = fx.neighbours
@@ -121,7 +121,7 @@ def _rows(fx):
 @query("prompt_rows", "t_start:i node_idx:i style:s mode:s system_text:s user_text:s")
 def _(fx):
     styles = [("vanilla", m) for m in ("absolute", "residual", "selective_residual", "chunk_offset")]
-    styles += [("direct", "absolute"), ("direct", "residual"), ("direct", "chunk_offset"), ("staged", "absolute")]
+    styles += [("direct", "absolute"), ("direct", "residual"), ("direct", "selective_residual"), ("direct", "chunk_offset"), ("staged", "absolute")]
     return text.prompt_rows(_rows(fx), styles, 6)
 
 
