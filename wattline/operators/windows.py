@@ -197,10 +197,13 @@ def day_point_features(
 
 def day_sequence_features(
     market: DataFrame, exog: Sequence[str], price_floor: float, price_cap: float, origin: Column,
-    train: Column, low: float, high: float,
+    train: Column, low: float, high: float, slow: DataFrame | None = None,
 ) -> DataFrame:
     """The 96-step frame of every origin, one row per (series, origin, step).
 
+    ``slow`` holds daily features by ``day``; each is scaled to its own range and shown, as ``slow_{name}``, for the day
+    that a frame begins (0 for days it does not list).
+
     ``origin`` says which positions start a frame (any expression over ``pos``);
     672 rows of history and 96 rows ahead are needed. One join on position
     brings every step its lags; per-origin statistics are one aggregate.
@@ -246,11 +249,20 @@ def day_sequence_features(
     for name, x, period in (("slot", slot, 96.0), ("dow", dow, 7.0), ("month", month, 12.0)):
         s, c = cyclic(x, period)
         cyc += [s.alias(f"{name}_sin"), c.alias(f"{name}_cos")]
-    return out.join(stats, ["series", "origin"]).select(
+    out = out.join(stats, ["series", "origin"]).select(
         "*", *cyc, *[(F.col(f"{c}_future") - F.col(f"{c}_prev")).alias(f"{c}_delta") for c in exog],
         (F.col("target_price") <= low).cast("int").alias("target_floor"),
         (F.col("target_price") >= high).cast("int").alias("target_peak"),
     )
+    if slow is None:
+        return out
+    names = [c for c in slow.columns if c != "day"]
+    ends = slow.agg(*[F.min(c).alias(f"{c}_lo") for c in names], *[F.max(c).alias(f"{c}_hi") for c in names]).first()
+    lo, hi = ([0.0 if ends[f"{c}_{side}"] is None else float(ends[f"{c}_{side}"]) for c in names] for side in ("lo", "hi"))
+    scaled = slow.select("day", *[((F.col(c) - a) / (b - a + 1e-6)).alias(f"slow_{c}") for c, a, b in zip(names, lo, hi, strict=True)])
+    first = F.to_date(F.col("ts") - F.make_dt_interval(mins=F.col("step") * 15))
+    shown = out.withColumn("day", first).join(scaled, "day", "left")
+    return shown.select(*out.columns, *[F.coalesce(f"slow_{c}", F.lit(0.0)).alias(f"slow_{c}") for c in names])
 
 
 def slow_features(timeline: DataFrame, policy: DataFrame, year: int, key: str = "day") -> DataFrame:

@@ -211,37 +211,40 @@ _ORIGIN = f"(day <= DATE '{_TRAIN_END}' AND (pos - 672) % 8 = 0) OR (day > DATE
 _SCALE = PRICE_CAP - PRICE_FLOOR
 
 
+_SLOW = ("orders_seen", "order_value", "errors")
+_CURVE_COLUMNS = " ".join(f"{c}_future:f {c}_prev:f {c}_delta:f {c}_day_mean:f {c}_day_std:f {c}_prev_mean:f" for c in EXOG)
+_SLOW_COLUMNS = " ".join(f"slow_{c}:f" for c in _SLOW)
+
+
+def _each(template: str, names=EXOG) -> str:
+    return ", ".join(template.replace("@", c) for c in names)
+
+
 @query(
     "day_sequence_features",
-    "series:s origin:i step:i hist_price:f prev2_price:f prev7_price:f load_future:f load_prev:f load_delta:f load_day_mean:f load_day_std:f load_prev_mean:f tie_future:f "
-    "hist_mean:f hist_std:f hist_max:f hist_min:f prev2_mean:f prev7_mean:f floor_share:f peak_share:f slot_sin:f dow_cos:f month_sin:f slow_errors:f base_price:f target_price:f target_floor:i target_peak:i",
+    f"series:s origin:i step:i hist_price:f prev2_price:f prev7_price:f {_CURVE_COLUMNS} hist_mean:f hist_std:f hist_max:f hist_min:f prev2_mean:f prev7_mean:f "
+    f"floor_share:f peak_share:f slot_sin:f dow_cos:f month_sin:f {_SLOW_COLUMNS} base_price:f target_price:f target_floor:i target_peak:i",
     f"""
-WITH b AS (SELECT min(load) AS llo, max(load) AS lhi, min(tie) AS tlo, max(tie) AS thi FROM market WHERE day <= DATE '{_TRAIN_END}'),
-nm AS MATERIALIZED (SELECT *, lag(p, 96) OVER w AS hist_price, lag(price, 96) OVER w AS base_price, lag(l, 96) OVER w AS load_prev, lag(p, 192) OVER w AS prev2_price, lag(p, 672) OVER w AS prev7_price FROM (
-  SELECT series, pos, ts, price, (price - {PRICE_FLOOR}) / {_SCALE} AS p, (load - llo) / (lhi - llo + 1e-6) AS l, (tie - tlo) / (thi - tlo + 1e-6) AS t FROM market CROSS JOIN b)
+WITH b AS (SELECT {_each("min(@) AS @_lo, max(@) AS @_hi")} FROM market WHERE day <= DATE '{_TRAIN_END}'),
+nm AS MATERIALIZED (SELECT *, lag(p, 96) OVER w AS hist_price, lag(price, 96) OVER w AS base_price, lag(p, 192) OVER w AS prev2_price, lag(p, 672) OVER w AS prev7_price,
+  {_each("lag(@_future, 96) OVER w AS @_prev")} FROM (
+  SELECT series, pos, ts, price, (price - {PRICE_FLOOR}) / {_SCALE} AS p, {_each("(@ - @_lo) / (@_hi - @_lo + 1e-6) AS @_future")} FROM market CROSS JOIN b)
   WINDOW w AS (PARTITION BY series ORDER BY pos)),
 og AS MATERIALIZED (SELECT series, pos AS origin FROM market CROSS JOIN ev_days WHERE pos >= 672 AND pos + 96 <= n * 96 AND ({_ORIGIN})),
 st AS MATERIALIZED (SELECT series, origin, step, origin + step AS at FROM (SELECT series, origin, unnest(range(96)) AS step FROM og)),
-f AS MATERIALIZED (SELECT st.series, origin, step, ts, price AS target_price, l AS load_future, t AS tie_future, hist_price, base_price, load_prev, prev2_price, prev7_price
-  FROM st JOIN nm ON nm.series = st.series AND nm.pos = st.at),
+f AS MATERIALIZED (SELECT origin, step, nm.* EXCLUDE (price), price AS target_price FROM st JOIN nm ON nm.series = st.series AND nm.pos = st.at),
 g AS (SELECT series, origin, avg(hist_price) AS hist_mean, stddev_pop(hist_price) AS hist_std, max(hist_price) AS hist_max, min(hist_price) AS hist_min, avg(prev2_price) AS prev2_mean,
   avg(prev7_price) AS prev7_mean, avg(CAST(base_price <= {_LOW} AS DOUBLE)) AS floor_share, avg(CAST(base_price >= {_HIGH} AS DOUBLE)) AS peak_share,
-  avg(load_future) AS load_day_mean, stddev_pop(load_future) AS load_day_std, avg(load_prev) AS load_prev_mean, min(ts)::DATE AS day FROM f GROUP BY ALL),
-s AS (SELECT day, (errors - min(errors) OVER ()) / (max(errors) OVER () - min(errors) OVER () + 1e-6) AS slow_errors FROM slow_days)
-SELECT f.*, f.load_future - f.load_prev AS load_delta, g.* EXCLUDE (series, origin, day), sin(2 * pi() * (hour(f.ts) * 4 + minute(f.ts) // 15) / 96) AS slot_sin,
-       cos(2 * pi() * (isodow(f.ts) - 1) / 7) AS dow_cos, sin(2 * pi() * month(f.ts) / 12) AS month_sin, coalesce(s.slow_errors, 0) AS slow_errors,
+  {_each("avg(@_future) AS @_day_mean, stddev_pop(@_future) AS @_day_std, avg(@_prev) AS @_prev_mean")}, min(ts)::DATE AS day FROM f GROUP BY ALL),
+s AS (SELECT day, {_each("(@ - min(@) OVER ()) / (max(@) OVER () - min(@) OVER () + 1e-6) AS slow_@", _SLOW)} FROM slow_days)
+SELECT f.*, {_each("f.@_future - f.@_prev AS @_delta")}, g.* EXCLUDE (series, origin, day), sin(2 * pi() * (hour(f.ts) * 4 + minute(f.ts) // 15) / 96) AS slot_sin,
+       cos(2 * pi() * (isodow(f.ts) - 1) / 7) AS dow_cos, sin(2 * pi() * month(f.ts) / 12) AS month_sin, {_each("coalesce(s.slow_@, 0) AS slow_@", _SLOW)},
        CAST(target_price <= {_LOW} AS INT) AS target_floor, CAST(target_price >= {_HIGH} AS INT) AS target_peak
 FROM f JOIN g USING (series, origin) LEFT JOIN s USING (day)""",
 )
 def _(fx):
-    out = windows.day_sequence_features(
-        fx.market, EXOG, PRICE_FLOOR, PRICE_CAP, F.expr(_ORIGIN), F.col("day") <= F.lit(_TRAIN_END).cast("date"), _LOW, _HIGH
-    )
-    slow = fx.slow_days
-    lo_hi = slow.agg(F.struct(F.min("errors").alias("lo"), F.max("errors").alias("hi")).alias("b")).scalar()
-    scaled = slow.select("day", ((F.col("errors") - lo_hi["lo"]) / (lo_hi["hi"] - lo_hi["lo"] + 1e-6)).alias("slow_errors"))
-    day = F.date_add(fx.day_lo, F.floor(F.col("origin") / 96).cast("int"))
-    return out.withColumn("day", day).join(scaled, "day", "left").withColumn("slow_errors", F.coalesce("slow_errors", F.lit(0.0)))
+    train = F.col("day") <= F.lit(_TRAIN_END).cast("date")
+    return windows.day_sequence_features(fx.market, EXOG, PRICE_FLOOR, PRICE_CAP, F.expr(_ORIGIN), train, _LOW, _HIGH, fx.slow_days.select("day", *_SLOW))
 
 
 @query(
@@ -253,16 +256,20 @@ def _(fx):
     return fx.slow_days.withColumn("month", F.month("day")).join(fx.monthly, "month")
 
 
+_OFFSET_COLUMNS = " ".join(f"{c}_mean:f {c}_std:f {c}_max:f" for c in EXOG)
+_OFFSET_SQL = ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std, max({c}) AS {c}_max" for c in EXOG)
+
+
 @query(
     "day_offset_rows",
-    "series:s day:d candidate_mean:f candidate_min:f candidate_max:f prev_mean:f prev7_mean:f load_mean:f load_std:f load_max:f tie_mean:f tie_std:f tie_max:f day_offset:f",
-    """
+    f"series:s day:d candidate_mean:f candidate_min:f candidate_max:f prev_mean:f prev7_mean:f {_OFFSET_COLUMNS} day_offset:f",
+    f"""
 WITH d AS (SELECT *, lag(truth, 1) OVER w AS l1, coalesce(lag(truth, 7) OVER w, first_value(truth) OVER w) AS prev7_mean FROM (
-  SELECT series, day, avg(price) / 500.0 AS truth, avg(load) AS load_mean, stddev_pop(load) AS load_std, max(load) AS load_max, avg(tie) AS tie_mean, stddev_pop(tie) AS tie_std, max(tie) AS tie_max
+  SELECT series, day, avg(price) / 500.0 AS truth, {_OFFSET_SQL}
   FROM market GROUP BY ALL) WINDOW w AS (PARTITION BY series ORDER BY day)),
 c AS (SELECT series, day, avg(prediction) AS candidate_mean, min(prediction) AS candidate_min, max(prediction) AS candidate_max FROM candidate GROUP BY ALL)
 SELECT d.*, c.candidate_mean, candidate_min, candidate_max, coalesce(l1, candidate_mean) AS prev_mean,
        least(greatest(truth - candidate_mean, -0.2), 0.2) AS day_offset FROM d JOIN c USING (series, day)""",
 )
 def _(fx):
-    return windows.day_offset_rows(fx.market, fx.candidate, ["load", "tie"], 500.0)
+    return windows.day_offset_rows(fx.market, fx.candidate, EXOG, 500.0)
