@@ -87,7 +87,8 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
 
     ``edges`` may be empty, repeat links and hold self-links; rows with a null end are ignored. Nodes without a
     link to another one do not appear. Large-star and small-star steps alternate until every node hangs on its
-    smallest (a forest of stars); each round is written to the shared folder. A hub is spread by ``attach``.
+    smallest (a forest of stars); each round is written to the shared folder. The minima are written too, so that both sides
+    of each join are dealt by plain shuffles, and Spark splits a hub's partition when it runs.
     """
     e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull())
     e = stash(_edges(e), "edges")
@@ -97,12 +98,12 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
             return hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
         # large star: of each node, the larger neighbours are hung on the smallest one
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = attach(both.where(F.col("v") > F.col("u")), least, ["u"], F.col("v"), "inner")
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        big = both.where(F.col("v") > F.col("u")).join(least, "u")
         e = _edges(big.select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: the smaller neighbours, and the node, are hung on the smallest one
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = attach(e, least, ["u"], F.col("v"), "inner")
+        least = stash(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = e.join(least, "u")
         e = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
         e = stash(_edges(e), "edges")
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

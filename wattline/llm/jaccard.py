@@ -30,8 +30,8 @@ from wattline.llm.common import attach, components, in_batches, stash, words
 from wattline.llm.registry import register, table
 
 #: Distinct sets per row block, and columns per tile of a product.
-ROW_BLOCK = 256
-COLUMN_TILE = 4096
+ROW_BLOCK = 1024
+COLUMN_TILE = 2048
 #: Hash values of ids that travel to all tasks to leave out texts no product needs (8 bytes each, so many at most). Where
 #: most values are taken it leaves out none; the join that follows decides.
 ID_HASHES = 1 << 20
