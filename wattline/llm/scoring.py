@@ -39,7 +39,7 @@ LANES, WINDOW = 512, 16
 LOSS_SHARE = 0.25
 #: Documents that set the common start: about so many.
 START_DOCUMENTS = 1500
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Bytes that are hashed at once (more only for a longer word).
 HASH_BYTES = 1 << 20
 
