@@ -85,6 +85,15 @@ def test_gradients_by_differences(model):
         assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-5
 
 
+def test_every_token_is_a_target(model, monkeypatch):
+    """One pass takes each token of the stream into the loss once."""
+    symbols = np.random.default_rng(2).integers(0, len(model.vocab.class_of), 5000).astype(np.int32)
+    met, gradient = [], scoring.Model._output_gradient
+    monkeypatch.setattr(scoring.Model, "_output_gradient", lambda self, states, y: met.append(y) or gradient(self, states, y))
+    model.copy().train(symbols, memory={}, rate=0.001)
+    assert np.bincount(np.concatenate(met)).tolist() == np.bincount(symbols).tolist()
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     learns = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
     got = scoring.score(odd_docs.withColumn("score", F.lit("clash")).withColumn("key", F.lit(1)), id_remainder("doc_id", 10) != 0).collect()

@@ -35,8 +35,6 @@ CLASSES = WORD_CLASSES + ENDINGS
 #: Counts that travel to all tasks: those of the most frequent words, at most so many (16 bytes each). Others are joined.
 TRAVELLING = 1 << 18
 LANES, WINDOW = 512, 16
-#: Share of the positions of a training window whose output enters the loss, drawn anew each time; all are read.
-LOSS_SHARE = 0.25
 #: Documents that set the common start: about so many.
 START_DOCUMENTS = 1500
 CHUNK_CHARS = 4_000_000
@@ -290,8 +288,11 @@ class Model:
             out[at] = self.log10_output(np.concatenate(states), symbols[at])
         return out
 
-    def train(self, symbols: np.ndarray, memory: dict, rate: float, rng: np.random.Generator) -> None:
-        """One pass of truncated back-propagation over a stream of documents, cut into lanes; each update reads one window."""
+    def train(self, symbols: np.ndarray, memory: dict, rate: float) -> None:
+        """One pass of truncated back-propagation over a stream of documents, cut into lanes; each update reads one window.
+
+        Every token is a target once: all positions of a window enter its loss.
+        """
         n, width, end = HIDDEN, max(1, min(LANES, len(symbols) // 64)), self.vocab.end_symbol
         steps = -(-len(symbols) // width)
         stream = np.append(symbols, np.full(steps * width - len(symbols), -1, symbols.dtype)).reshape(width, steps).T
@@ -310,12 +311,10 @@ class Model:
             last = np.where(y[-1] < 0, end, y[-1]).astype(np.int32)
             every = np.concatenate(kept)
             flat = y.reshape(-1)
-            drawn = np.flatnonzero((flat >= 0) & (rng.random(len(flat)) < LOSS_SHARE))
-            if not drawn.size:
-                continue
-            grads, d_drawn = self._output_gradient(every[drawn], flat[drawn])
+            given = np.flatnonzero(flat >= 0)  # all but the fill of the last lane
+            grads, d_given = self._output_gradient(every[given], flat[given])
             d_all = np.zeros_like(every)
-            d_all[drawn] = d_drawn
+            d_all[given] = d_given
             d_all = d_all.reshape(len(y), width, n)
             d_gate, du, dh = np.zeros((len(y), width, 3 * n), np.float32), np.zeros_like(self.p["u"]), np.zeros((width, n), np.float32)
             for t in range(len(y) - 1, -1, -1):
@@ -338,7 +337,7 @@ class Model:
                 self._update(k, g, memory, rate)
 
     def _output_gradient(self, states: np.ndarray, symbols: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the mean loss over the drawn positions."""
+        """Gradients of the mean loss over the given positions."""
         scale = np.float32(1 / len(symbols))
         cls = self.targets(symbols)
         logit = states @ self.p["wc"] + self.p["bc"]
@@ -379,12 +378,12 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: st
 
     def learn(shared, passes: int, rate: float):
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own, memory, rng, read = shared.value, {}, np.random.default_rng(0), 0
+            own, memory, read = shared.value, {}, 0
             own = own.copy()
             for frame in in_batches(frames, text_col, CHUNK_CHARS):
                 symbols = own.vocab.look_up(token_keys(frame[text_col].tolist())[0])[0]
                 for _ in range(passes):
-                    own.train(symbols, memory, rate, rng)
+                    own.train(symbols, memory, rate)
                 read += len(symbols)
             if read:
                 yield pd.DataFrame({"name": names, "tokens": read, "values": [own.p[k].astype(np.float64).ravel() for k in names]})
