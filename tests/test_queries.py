@@ -38,3 +38,19 @@ def test_entry_has_rows(spark):
 
     assert driver.entry(spark).count() > 0
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_regime_gbt_fits_the_whole_grid(spark, monkeypatch):
+    """The registered query leaves grid and rounds at the operator's defaults."""
+    from wattline.operators import models
+
+    class Seen(Exception):
+        pass
+
+    def seen(features, columns, low, high, **options):
+        raise Seen(options)
+
+    monkeypatch.setattr(models, "regime_gbt", seen)
+    with pytest.raises(Seen) as got:
+        REGISTRY["regime_gbt"].run(spark, SMALL)
+    assert got.value.args == ({},)

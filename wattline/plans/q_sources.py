@@ -185,7 +185,7 @@ def _(fx):
     days = splits.split_days(rows.select("series", "day").distinct(), ["series"], "day", 0.7, 0.15)
     rows = rows.join(days, ["series", "day"]).withColumn("regime", calibrate.regime_tag(F.col("slot")))
     columns = [c for c in rows.columns if c not in ("series", "day", "regime", "split", "target_price")]
-    out, _ = models.regime_gbt(rows, columns, 50.0, 150.0, depths=(3,), leaves=(20,), rounds=3)
+    out, _ = models.regime_gbt(rows, columns, 50.0, 150.0)
     final = calibrate.two_stage(F.col("prediction"), F.col("floor_p"), F.col("peak_p"), 0.5, 0.5, PRICE_FLOOR, PRICE_CAP)
     return out.withColumn("final", final)
 
