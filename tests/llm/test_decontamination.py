@@ -59,6 +59,18 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs, block):
     assert contaminated(no_docs, items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [10**6, 60])
+def test_items_of_one_id_and_of_none(spark, block):
+    """Every text of a repeated or null item id is searched, whatever the block size; the id gives one row, the best."""
+    one, two, three = "the quick brown fox jumps over the lazy dog", "a second passage about rivers and their banks", "some unnamed passage that is in the benchmark"
+    texts = [one, two, f"{one.replace('lazy', 'lasy')} and {two}", three, "nothing of them at all", two]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)] + [(5, two, None, None, 0)], DOCS)
+    items = spark.createDataFrame([(1, one), (1, two), (None, three), (None, "another one without any id at all"), (2**60 + 1, one)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.distance) for r in contaminated(docs, items, block_chars=block, unnamed=True).collect())
+    assert got == [(0, 1, 0), (0, 2**60 + 1, 0), (1, 1, 0), (2, 1, 0), (2, 2**60 + 1, 1), (3, 0, 0), (5, 1, 0), (5, 1, 0)]
+    assert [r.doc_id for r in decontaminate(docs, items, block_chars=block).collect()] == [4]
+
+
 def test_query_against_all_items(spark):
     items = {r.item_id: normalise(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     texts = {r.doc_id: normalise(r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}

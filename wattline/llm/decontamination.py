@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import in_batches
+from wattline.llm.common import in_batches, stash
 from wattline.llm.registry import register, table
 
 #: Edits allowed per character of an item.
@@ -72,16 +72,17 @@ def myers(item: str, text: str, budget: int) -> tuple[int, int] | None:
 
 
 class Finder:
-    """The pieces of some items in one automaton."""
+    """The pieces of some items in one automaton; items are told apart by their place, so ids may repeat or be null."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE):
+    def __init__(self, items: list[tuple[int | None, str]], share: float = EDIT_SHARE):
         import ahocorasick
 
-        self.items, self.budget = dict(items), {i: edit_budget(len(t), share) for i, t in items}
+        self.ids, self.items = [i for i, _ in items], [t for _, t in items]
+        self.budget = [edit_budget(len(t), share) for t in self.items]
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, t in items:
-            for offset, piece in cut(t, self.budget[i]):
-                found.setdefault(piece, []).append((i, offset))
+        for at, t in enumerate(self.items):
+            for offset, piece in cut(t, self.budget[at]):
+                found.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, places in found.items():
             self.automaton.add_word(piece, (len(piece), places))
@@ -89,15 +90,15 @@ class Finder:
         if self.any:
             self.automaton.make_automaton()
 
-    def matches(self, text: str) -> list[tuple[int, int, int]]:
-        """(item, distance, end of the match in the normalised text) for every item that the text holds; the best place of each."""
+    def matches(self, text: str) -> list[tuple[int | None, int, int]]:
+        """(id, distance, end of the match in the normalised text) for every item id that the text holds; the best place of each."""
         if not self.any:
             return []
         hits: dict[int, set[int]] = {}
         for end, (length, places) in self.automaton.iter(text):
             for item, offset in places:
                 hits.setdefault(item, set()).add(end + 1 - length - offset)
-        out = []
+        out: dict[int | None, tuple[int, int]] = {}
         for item, starts in hits.items():
             pattern, k = self.items[item], self.budget[item]
             best, done = None, -1
@@ -116,14 +117,14 @@ class Finder:
                 if got and (best is None or got < best):
                     best = got
             if best:
-                out.append((item, *best))
-        return out
+                out[self.ids[item]] = min(best, out.get(self.ids[item], best))
+        return [(i, *m) for i, m in out.items()]
 
 
-def blocks_of(items: DataFrame, id_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(items: DataFrame, id_col: str, text_col: str, most_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The normalised items, read to the driver block by block; each block holds about ``most_chars`` characters."""
     held, size = [], 0
-    for row in items.select(id_col, text_col).where(F.col(id_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
+    for row in items.select(id_col, text_col).orderBy(id_col, text_col).toLocalIterator():
         t = normalise(row[1])
         if not t:
             continue
@@ -136,39 +137,58 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, most_chars: int) ->
         yield held
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
     """(id, item_id, distance, match_end) for each document and each item it holds within the edit budget.
 
-    Whole texts are searched. Null or empty texts and items match nothing; an item without an id is left out, one whose
-    id repeats counts with its last text in a block; repeated documents each give their rows. ``match_end`` counts
-    characters of the normalised text. The benchmark is the query set: it is taken in blocks of bounded size, each sent
+    Whole texts are searched. Null or empty texts and items match nothing. All texts of a repeated item id are searched;
+    the id gives one row per document, that of the smallest distance, then end. ``unnamed``: items without an id are searched
+    too, together as the item id null; otherwise they are left out. Repeated documents each give their rows.
+    ``match_end`` counts characters of the normalised text. The benchmark is the query set: it is taken in blocks of bounded size, each sent
     to all tasks, and every block passes over all documents.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col(text_col).isNotNull())
+    items = items if unnamed else items.where(F.col(item_id).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
     kept = items.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {kept}, distance int, match_end long"
+    blocks = list(blocks_of(items, item_id, item_text, block_chars))
+    # an id whose texts lie in several blocks is met in each: the passes then need a row number to be merged
+    split = any(a[-1][0] == b[0][0] for a, b in zip(blocks, blocks[1:], strict=False))
+    if split:
+        rows = stash(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        schema += ", _row long"
     found = []
-    for block in blocks_of(items, item_id, item_text, block_chars):
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             finder = Finder(shared.value, share)
             for frame in in_batches(frames, "_text", 4_000_000):
-                got = [(i, *m) for i, t in zip(frame["_id"], frame["_text"], strict=True) for m in finder.matches(normalise(t))]
-                yield pd.DataFrame(got, columns=[id_col, "item_id", "distance", "match_end"])
+                got = [(at, *m) for at, t in enumerate(frame["_text"]) for m in finder.matches(normalise(t))]
+                at = [g[0] for g in got]
+                out = pd.DataFrame({id_col: frame["_id"].iloc[at].to_numpy(), "item_id": pd.Series([g[1] for g in got], dtype=object)})
+                out["distance"], out["match_end"] = [g[2] for g in got], [g[3] for g in got]
+                if split:
+                    out["_row"] = frame["_row"].iloc[at].to_numpy()
+                yield out
 
         found.append(rows.mapInPandas(search, schema))
-    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+    if not found:
+        return spark.createDataFrame([], schema)
+    out = reduce(DataFrame.unionAll, found)
+    if not split:
+        return out
+    best = out.groupBy("_row", id_col, "item_id").agg(F.min(F.struct("distance", "match_end")).alias("m"))
+    return best.select(id_col, "item_id", "m.distance", "m.match_end")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item. A document without an id cannot be told apart and stays."""
-    hit = contaminated(docs, items, id_col, **options).select(id_col).distinct()
+    """The documents that hold no benchmark item, with an id or without. A document without an id cannot be told apart and stays."""
+    hit = contaminated(docs, items, id_col, unnamed=True, **options).select(id_col).distinct()
     return docs.join(hit, id_col, "left_anti").select(docs.columns)
 
 
 @register("op9_pigeonhole_decontamination")
 def op9_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
