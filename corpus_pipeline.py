@@ -1,7 +1,7 @@
 """A corpus pipeline made of five operators of ``wattline.llm``: language, toxicity, near duplicates, benchmark passages, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
-``documents``. Rows without an id stay where a stage cannot tell them apart; an empty table passes through.
+``documents``. Near copies and benchmark passages are decided row by row, whatever the ids; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    """One row, that with the smallest id, of each group linked by five-word shingles at 0.8 or more."""
     return jaccard.keep_one(docs, width=5, percent=80)
 
 

@@ -10,7 +10,7 @@ from wattline.llm.decontamination import normalise
 from wattline.llm.encoding import model_path
 from wattline.llm.jaccard import shingle_set
 
-from .conftest import SMALL
+from .conftest import DOCS, SMALL
 
 
 def test_stages_against_plain_versions(spark):
@@ -79,6 +79,19 @@ def test_odd_and_empty_documents(spark, odd_docs, odd_rows, no_docs, tmp_path):
         assert stage(spark, no_docs, str(tmp_path)).count() == 0
 
 
+def test_rows_of_one_id_and_of_none(spark, tmp_path):
+    """Near copies and benchmark passages are decided on a row's own text where ids repeat or are null."""
+    one, two, item = "the quick brown fox jumps over the lazy dog", "a second text that is like no other one here", "this passage is a part of the benchmark"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(3, one), (3, one), (None, one), (1, one), (1, two), (None, "another text without an id at all"), (None, item), (4, item), (4, "a clean text with the id of one that is not"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 2**60 + 1) for i, t in rows], DOCS)
+    copies = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()), key=str)
+    assert copies == sorted([r for r in rows[3:] if r != (None, item)], key=str)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted([r for r in rows if r[1] != item], key=str)
+    assert {r.n_chars for r in clean} == {2**60 + 1}
+
+
 @pytest.mark.parametrize("name", ["op9_pigeonhole_decontamination", "pipeline"])
 def test_registered(name):
     import __spark_entry__ as driver

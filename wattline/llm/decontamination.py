@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,10 +184,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return best.select(id_col, "item_id", "m.distance", "m.match_end")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item, with an id or without. A document without an id cannot be told apart and stays."""
-    hit = contaminated(docs, items, id_col, unnamed=True, **options).select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no benchmark item, with an id or without. Ids of documents are not read."""
+    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    left = docs
+    for block in blocks_of(items, item_id, item_text, block_chars):
+        shared = spark.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            finder = Finder(shared.value, share)
+            for batch in batches:
+                yield batch.filter(pa.array([not finder.matches(normalise(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+        left = left.mapInArrow(search, docs.schema)
+    return left
 
 
 @register("op9_pigeonhole_decontamination")

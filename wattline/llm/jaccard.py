@@ -295,10 +295,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
-    found = jaccard_components(docs, width, percent, id_col, text_col)
-    gone = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """One row of each group of linked rows: that with the smallest id, a null id last, of equal ids any.
+
+    Every row is decided on its own text: ids may repeat or be null. Rows without words all stay.
+    """
+    rows = stash(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(rows, width, percent, "_row_number", text_col).select("_row_number", "component_id")
+    ids = rows.select("_row_number", F.col(id_col).alias("_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row_number"))
+    kept = found.join(ids, "_row_number").groupBy("component_id").agg(first.alias("f")).select("f._row_number")
+    return rows.join(kept, "_row_number", "left_semi").select(docs.columns)
 
 
 @register("op10_ngram_jaccard")
