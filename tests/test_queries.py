@@ -23,6 +23,12 @@ def test_agrees_with_sql(spark, duck, key):
     assert ok, note
 
 
+@pytest.mark.parametrize("key", ["time_range_filter_all", "tag_nodes_shuffled_all"])
+def test_uncapped_forms_agree_with_sql(spark, duck, key):
+    ok, note = compare(spark, duck, SMALL, key)
+    assert ok, note
+
+
 def test_catalogue_is_complete():
     import re
     from pathlib import Path

@@ -355,6 +355,15 @@ def _(fx):
     return splits.time_range(fx.windows, "target_ts", "2024-01-10 06:00:00", "2024-01-20 18:00:00", 300, ["t_start", "node_idx"])
 
 
+@query(
+    "time_range_filter_all",
+    "t_start:i node_idx:i target_ts:t",
+    "SELECT t_start, node_idx, target_ts FROM windows WHERE target_ts BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-20 18:00:00'",
+)
+def _(fx):
+    return splits.time_range(fx.windows, "target_ts", "2024-01-10 06:00:00", "2024-01-20 18:00:00", None, ["t_start", "node_idx"])
+
+
 _KINDS = {**EVENT_CURVES, "refund": "refund", "renewal": "renewal"}
 @query(
     "drop_zero_cols",

@@ -158,6 +158,11 @@ def _(fx):
     return windows.tag_nodes(_starts(fx), _nodes(fx), cap=2000, seed=42)
 
 
+@query("tag_nodes_shuffled_all", "win:i t_start:i node_idx:i", f"SELECT win, t_start, node_idx FROM ({_STARTS}) CROSS JOIN {_SPARSE}")
+def _(fx):
+    return windows.tag_nodes(_starts(fx), _nodes(fx), seed=42)
+
+
 _SLOTS = range(96)
 
 
