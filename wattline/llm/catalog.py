@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattline.llm import counting, decontamination, encoding, jaccard, language, negatives, scoring, sharding, spelling, toxicity, vectors, warc  # noqa: F401
+from wattline.llm import counting, decontamination, encoding, jaccard, language, negatives, prefix_forest, scoring, sharding, spelling, toxicity, vectors, warc  # noqa: F401
 from wattline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
