@@ -1,72 +1,124 @@
-"""Per-regime boosted trees, fitted by Spark."""
+"""Per-regime boosted trees: every point of the grid is fitted by a task of its own."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import pickle
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions import boosting
 from wattline.operators.calibrate import REGIMES
+from wattline.sources.sinks import scratch
 
+TARGETS = ("price", "floor", "peak")
+#: Rows of a regime and split that the fits read; beyond it they are drawn by a hash of their features.
+MOST_ROWS = 200_000
+#: Rows whose bin numbers travel as one piece.
+PIECE = 8192
 
-def _best(make, train: DataFrame, val: DataFrame, depths: Sequence[int], leaves: Sequence[int], loss):
-    """The first model of the grid with the lowest validation loss."""
-    best, best_loss = None, float("inf")
-    for depth in depths:
-        for leaf in leaves:
-            model = make(depth, leaf).fit(train)
-            score = model.transform(val).agg(loss).first()[0]
-            score = float("inf") if score is None else score  # no validation rows: the first point of the grid stays
-            if best is None or score < best_loss:
-                best, best_loss, point = model, score, (depth, leaf)
-    return best, best_loss, point
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _pieces(rows: DataFrame, columns: Sequence[str], cuts: list[np.ndarray]) -> DataFrame:
+    """(regime, split, n, y, x): prices and bin numbers of up to ``PIECE`` rows each."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for (regime, split), part in frame.groupby(["regime", "split"]):
+                for low in range(0, len(part), PIECE):
+                    own = part.iloc[low : low + PIECE]
+                    x = boosting.bin_numbers([own[c].to_numpy(np.float64, na_value=np.nan) for c in columns], cuts)
+                    y = own["target_price"].to_numpy(np.float64)
+                    yield pd.DataFrame({"regime": [regime], "split": [split], "n": [len(y)], "y": [y.tobytes()], "x": [x.tobytes()]})
+
+    return rows.mapInPandas(pack, "regime string, split string, n int, y binary, x binary")
+
+
+def fit_grid(features: DataFrame, columns: Sequence[str], low: float, high: float, depths: Sequence[int], leaves: Sequence[int], rounds: int, class_rounds: int, patience: int | None, bins: int, most_rows: int, seed: int) -> tuple[DataFrame, list[np.ndarray]]:
+    """(regime, target, depth, leaf, loss, trees, model, importances) for every point, and the bin edges of the columns.
+
+    The fits of all points are one Spark job with a task per point; bin edges are quantiles over all rows.
+    """
+    labelled = features.where(F.col("split").isin("train", "val") & F.col("target_price").isNotNull())
+    sizes = labelled.groupBy("regime", "split").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.pmod(F.xxhash64(F.lit(seed), "target_price", *columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.join(sizes, ["regime", "split"]).where(share < F.lit(float(most_rows)) / F.col("_n"))
+    at = [i / (bins - 1) for i in range(1, bins - 1)]
+    found = labelled.where("split = 'train'").agg(*[F.percentile_approx(F.col(c).cast("double"), at).alias(f"c{j}") for j, c in enumerate(columns)]).first()
+    cuts = [np.unique(np.array(found[f"c{j}"] or [], np.float64)) for j in range(len(columns))]
+    pieces = _pieces(drawn.select("regime", "split", "target_price", *[F.col(c).cast("double").alias(c) for c in columns]), columns, cuts)
+    # hard points first, so that no long fit starts last
+    points = [(t, d, leaf) for d in sorted(depths, reverse=True) for leaf in leaves for t in TARGETS]
+    grid = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(d).alias("depth"), F.lit(leaf).alias("leaf")) for t, d, leaf in points]))
+    tasks = len(points) * len(REGIMES)
+    width = len(columns)
+
+    def fit_point(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        regime, target, depth, leaf = key
+        parts = {}
+        for split in ("train", "val"):
+            own = frame[frame["split"] == split].sort_values(["n", "y"])
+            x = np.frombuffer(b"".join(own["x"]), np.uint8).reshape(-1, width)
+            y = np.frombuffer(b"".join(own["y"]), np.float64)
+            parts[split] = x, y if target == "price" else (y <= low if target == "floor" else y >= high).astype(np.float64)
+        classes = target != "price"
+        model, losses = boosting.fit(*parts["train"], *parts["val"], bins, classes, depth, leaf, class_rounds if classes else rounds, l2=0.0 if classes else 0.05, patience=patience)
+        loss = min(losses) if len(parts["val"][1]) else losses[-1]
+        weights = [float(w) for w in model.importances(width)]
+        return pd.DataFrame({"regime": [regime], "target": [target], "depth": [depth], "leaf": [leaf], "loss": [loss], "trees": [len(model.trees)], "model": [pickle.dumps(model)], "importances": [weights]})
+
+    spread = pieces.withColumn("g", grid).select("regime", "split", "n", "y", "x", "g.*").repartition(tasks, "regime", "target", "depth", "leaf")
+    fitted = spread.groupBy("regime", "target", "depth", "leaf").applyInPandas(fit_point, "regime string, target string, depth int, leaf int, loss double, trees int, model binary, importances array<double>")
+    return _written(fitted, "fits"), cuts
 
 
 def regime_gbt(
     features: DataFrame, columns: Sequence[str], low: float, high: float, depths: Sequence[int] = (4, 6, 8), leaves: Sequence[int] = (10, 20, 40),
-    rounds: int = 400, seed: int = 42,
+    rounds: int = 400, class_rounds: int = 300, patience: int | None = 40, bins: int = 64, most_rows: int = MOST_ROWS, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Price regressor plus floor and peak classifiers per regime.
 
-    ``features`` holds ``regime, split, target_price`` and the columns. Returns
-    test predictions with probabilities, and the feature importances.
+    ``features`` holds ``regime, split, target_price`` and the columns, each of which is a number or null. Every point of
+    ``depths`` x ``leaves`` is fitted; the first of the lowest loss on the validation rows (mean absolute error, or the mean squared
+    error of the probability) predicts all test rows. The loss is known after every tree: trees after the lowest one
+    are dropped, and a fit ends after ``patience`` trees without a lower one (None: all are grown). A regime without
+    validation rows is judged on its training rows. The fits read at most about ``most_rows`` rows per regime and split,
+    drawn by hash; everything else reads all rows. Returns test predictions with probabilities, and the feature importances.
     """
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(
-        features.withColumn("is_floor", (F.col("target_price") <= low).cast("double")).withColumn("is_peak", (F.col("target_price") >= high).cast("double"))
-    ).persist()
-    outputs, importances = [], []
-    for regime in REGIMES:
-        part = ready.where(F.col("regime") == regime)
-        train, val, test = [part.where(F.col("split") == s) for s in ("train", "val", "test")]
-
-        def regressor(depth, leaf):
-            return GBTRegressor(labelCol="target_price", maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=0.05, seed=seed, predictionCol="prediction")
-
-        mae = F.avg(F.abs(F.col("prediction") - F.col("target_price")))
-        model, loss, point = _best(regressor, train, val, depths, leaves, mae)
-        out = model.transform(test)
-        weights = model.featureImportances.toArray()
-        rows = F.explode(F.arrays_zip(F.lit(list(columns)).alias("feature"), F.lit([float(w) for w in weights]).alias("importance")))
-        importances.append(ready.sparkSession.range(1).select(F.lit(regime).alias("regime"), rows.alias("r")).select("regime", "r.*"))
-        for label, name in (("is_floor", "floor_p"), ("is_peak", "peak_p")):
-            ends = train.agg(F.min(label).alias("a"), F.max(label).alias("b")).first()
-            if ends["a"] == ends["b"]:
-                out = out.withColumn(name, F.lit(float(ends["a"])))
-                continue
-
-            def classifier(depth, leaf, label=label):
-                trees = GBTClassifier(labelCol=label, maxDepth=depth, minInstancesPerNode=leaf, maxIter=rounds, stepSize=0.05, seed=seed)
-                return trees.setPredictionCol("_class").setRawPredictionCol("_raw").setProbabilityCol("_prob")
-
-            p = vector_to_array("_prob")[1]
-            fitted, _, _ = _best(classifier, train, val, depths, leaves, F.avg((p - F.col(label)) * (p - F.col(label))))
-            out = fitted.transform(out).withColumn(name, p).drop("_class", "_raw", "_prob")
-        outputs.append(out.withColumn("val_mae", F.lit(float(loss))).withColumn("depth", F.lit(point[0])).withColumn("leaf", F.lit(point[1])))
-    predictions = reduce(DataFrame.unionByName, outputs)
-    return predictions.drop("features"), reduce(DataFrame.unionByName, importances)
+    spark = features.sparkSession
+    ready = _written(features, "features")
+    fits, cuts = fit_grid(ready, columns, low, high, depths, leaves, rounds, class_rounds, patience, bins, most_rows, seed)
+    # ties go to the first point of the grid
+    order = F.struct("loss", F.array_position(F.lit(list(depths)), F.col("depth")), F.array_position(F.lit(list(leaves)), F.col("leaf")))
+    chosen = _written(fits.groupBy("regime", "target").agg(F.min_by(F.struct("depth", "leaf", "loss", "model", "importances"), order).alias("m")).select("regime", "target", "m.*"), "models")
+    # three models per regime
+    models = spark.sparkContext.broadcast({(r["regime"], r["target"]): pickle.loads(r["model"]) for r in chosen.select("regime", "target", "model").toLocalIterator()})
+    test = ready.where(F.col("split") == "test").withColumns({"is_floor": (F.col("target_price") <= low).cast("double"), "is_peak": (F.col("target_price") >= high).cast("double")})
+    names = {"price": "prediction", "floor": "floor_p", "peak": "peak_p"}
+    own, width = test.columns, len(columns)
+    numbers = [F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(columns)]
+
+    def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            x = boosting.bin_numbers([frame[f"_x{j}"].to_numpy(np.float64, na_value=np.nan) for j in range(width)], cuts)
+            out = frame[own].assign(**dict.fromkeys(names.values(), np.nan))
+            for regime, at in frame.groupby("regime").indices.items():
+                for target, name in names.items():
+                    if (regime, target) in models.value:
+                        out.iloc[at, out.columns.get_loc(name)] = models.value[regime, target].predict(x[at])
+            yield out
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.schema)
+    scored = test.select("*", *numbers).mapInPandas(predict, kept + ", prediction double, floor_p double, peak_p double")
+    report = chosen.where("target = 'price'").select("regime", F.col("loss").alias("val_mae"), "depth", "leaf")
+    rows = F.explode(F.arrays_zip(F.lit(list(columns)).alias("feature"), F.col("importances").alias("importance")))
+    importances = chosen.where("target = 'price'").select("regime", rows.alias("r")).select("regime", "r.*")
+    return scored.join(report, "regime", "left"), importances
