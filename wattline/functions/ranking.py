@@ -24,9 +24,28 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def count_then_limit(df: DataFrame, order: Sequence[Column], limit: Column, bucket: Column, out: str = "pos") -> DataFrame:
-    """Rows whose global 1-based rank is at most ``limit`` (a column, so it may depend on the data)."""
-    from wattline.functions.blocks import row_index
+def sorted_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows written in ``order``, dealt into ranges by splitters that Spark samples of the whole sort key.
 
-    numbered = row_index(df, [], list(order), bucket, out)
-    return numbered.withColumn(out, F.col(out) + 1).where(F.col(out) <= limit)
+    The rows are written before that, since sampling would compute them a second time. Adds ``_part``, the range, and ``_place``, from 1 inside it. Equal leading keys are split by what follows them.
+    """
+    from wattline.sources.sinks import written
+
+    at = F.monotonically_increasing_id()
+    placed = written(written(df, "unranked").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranked")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*df.columns, F.shiftright("_at", 33).alias("_part"), place.alias("_place"))
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], out: str = "pos", total: str = "total") -> DataFrame:
+    """Every row's 1-based rank in ``order`` and the count of all rows.
+
+    No task sorts all rows: a row's rank is its place in its sorted range plus the rows of the ranges before it, for which
+    one row per range is summed up.
+    """
+    placed = sorted_ranges(df, order)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = Window.partitionBy(F.lit(0)).orderBy("_part")
+    ahead, every = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(every).alias(total))
+    return placed.join(sizes, "_part").withColumn(out, F.col("_place") + F.col("_ahead")).drop("_part", "_place", "_ahead")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import boosting
 from wattline.operators.calibrate import REGIMES
-from wattline.sources.sinks import scratch
+from wattline.sources.sinks import written
 
 TARGETS = ("price", "floor", "peak")
 #: Rows of a regime and split that the fits read; beyond it they are drawn by a hash of their features.
@@ -21,12 +21,6 @@ MOST_ROWS = 200_000
 PIECE = 8192
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _pieces(rows: DataFrame, columns: Sequence[str], cuts: list[np.ndarray]) -> DataFrame:
     """(regime, split, n, y, x): prices and bin numbers of up to ``PIECE`` rows each."""
 
@@ -77,7 +71,7 @@ def fit_grid(features: DataFrame, columns: Sequence[str], low: float, high: floa
 
     spread = pieces.withColumn("g", grid).select("regime", "split", "n", "y", "x", "g.*").repartition(tasks, "regime", "target", "depth", "leaf")
     fitted = spread.groupBy("regime", "target", "depth", "leaf").applyInPandas(fit_point, "regime string, target string, depth int, leaf int, loss double, trees int, model binary, importances array<double>")
-    return _written(fitted, "fits"), cuts
+    return written(fitted, "fits"), cuts
 
 
 def regime_gbt(
@@ -94,11 +88,11 @@ def regime_gbt(
     drawn by hash; everything else reads all rows. Returns test predictions with probabilities, and the feature importances.
     """
     spark = features.sparkSession
-    ready = _written(features, "features")
+    ready = written(features, "features")
     fits, cuts = fit_grid(ready, columns, low, high, depths, leaves, rounds, class_rounds, patience, bins, most_rows, seed)
     # ties go to the first point of the grid
     order = F.struct("loss", F.array_position(F.lit(list(depths)), F.col("depth")), F.array_position(F.lit(list(leaves)), F.col("leaf")))
-    chosen = _written(fits.groupBy("regime", "target").agg(F.min_by(F.struct("depth", "leaf", "loss", "model", "importances"), order).alias("m")).select("regime", "target", "m.*"), "models")
+    chosen = written(fits.groupBy("regime", "target").agg(F.min_by(F.struct("depth", "leaf", "loss", "model", "importances"), order).alias("m")).select("regime", "target", "m.*"), "models")
     # three models per regime
     models = spark.sparkContext.broadcast({(r["regime"], r["target"]): pickle.loads(r["model"]) for r in chosen.select("regime", "target", "model").toLocalIterator()})
     test = ready.where(F.col("split") == "test").withColumns({"is_floor": (F.col("target_price") <= low).cast("double"), "is_peak": (F.col("target_price") >= high).cast("double")})

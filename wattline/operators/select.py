@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from wattline.functions.arrays import afirst, alast, amean, astd, clamped_delta, clip
 from wattline.functions.blocks import framed
-from wattline.functions.quantile import exact_quantiles, order_bin
-from wattline.functions.ranking import count_then_limit, top_per_group
+from wattline.functions.quantile import exact_quantiles
+from wattline.functions.ranking import global_rank, top_per_group
 
 NOISE = 9  # ranking keys are rounded, so that float noise does not order equal windows
 
@@ -35,17 +35,15 @@ def price_score(x: Column, y: Column, floor: float = 0.04) -> Column:
 def keep_best(scored: DataFrame, arrival: Sequence[str], ratio: float, most: int = 0) -> DataFrame:
     """The best ``ceil(total * ratio)`` items (or ``most``), score first, then arrival; adds ``pos``.
 
-    Ranks come from score bins, so no task sorts all items.
+    Items are dealt into sampled ranges of (score, arrival), so no task sorts them all, also where all scores are equal.
     """
     order = [F.desc("score"), *[F.asc(c) for c in arrival]]
     if most > 0:
         # a list of a given length: the top-k is found per partition before one task numbers it
         top = scored.orderBy(*order).limit(most)
         return top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    total = scored.agg(F.count(F.lit(1))).scalar()
-    # equal scores are common; the arrival breaks them up into bins that one task can hold
-    bucket = F.struct((-order_bin(F.col("score"))).alias("a"), (-F.col("score")).alias("b"), F.col(arrival[0]).alias("c"))
-    return count_then_limit(scored, order, F.greatest(F.lit(1), F.ceil(total * F.lit(ratio))), bucket)
+    ranked = global_rank(scored, order)
+    return ranked.where(F.col("pos") <= F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(ratio)))).drop("total")
 
 
 SCENARIOS = ("low_valley", "rapid_rise", "peak_plateau", "rapid_drop", "high_volatility", "weather_shift")

@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/wattline-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new scratch folder and read back: computed once, and nothing is lost with an executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def manifest_hash(*fields: str) -> Column:
     """SHA-256 of the canonical JSON of the given columns (in name order)."""
     return F.sha2(F.to_json(F.struct(*sorted(fields))), 256)
