@@ -39,7 +39,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote for these, once everything read from them is written itself."""
+    for df in stashed:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stashed_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -98,12 +108,14 @@ def components(edges: DataFrame, u: str, v: str, most_rounds: int = 60) -> DataF
             return hung.unionByName(hung.select(F.col("component").alias("node"), "component").distinct())
         # large star: of each node, the larger neighbours are hung on the smallest one
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        big = both.where(F.col("v") > F.col("u")).join(least, "u")
-        e = _edges(big.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        big = both.where(F.col("v") > F.col("u")).join(large, "u")
+        hung = _edges(big.select(F.col("v").alias("u"), F.col("m").alias("v")))
         # small star: the smaller neighbours, and the node, are hung on the smallest one
-        least = stash(e.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = e.join(least, "u")
-        e = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = stash(_edges(e), "edges")
+        least = stash(hung.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = hung.join(least, "u")
+        after = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*")
+        after = stash(_edges(after), "edges")
+        discard(e, large, least)
+        e = after
     raise RuntimeError(f"components: not settled after {most_rounds} rounds")

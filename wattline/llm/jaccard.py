@@ -8,7 +8,8 @@ k = floor((100 - percent) * (size_a + size_b) / (100 + percent)) n-grams.
    size-derived bound and is never formed; a pair that may link agrees in whole blocks. m depends on the size class of a
    document, and a document takes part in its own class and in the next larger one, so that any two sizes that may
    link meet in one class. Equal blocks are found by a range shuffle on (block digest, document), which parts even the
-   most frequent digest among tasks; in each task, the documents of a digest are tied to its smallest.
+   most frequent digest among tasks. m leaves a linked pair several agreeing blocks, so the documents of a rare
+   digest are tied only if they agree in that many; those of a frequent one are all tied to its smallest.
 2. Row blocks. Documents so tied form families. The distinct n-gram sets of a family are cut into row blocks; each pair
    of row blocks is one small product of 0/1 matrices. Overlap counts are added up over tiles of columns; after each
    tile, pairs that can no longer reach the bound of their sizes are discarded, and the product ends when none is left.
@@ -35,8 +36,11 @@ COLUMN_TILE = 2048
 #: Hash values of ids that travel to all tasks to leave out texts no product needs (8 bytes each, so many at most). Where
 #: most values are taken it leaves out none; the join that follows decides.
 ID_HASHES = 1 << 20
-#: Column blocks may be empty in small sets; so many agreeing blocks are asked for that one holds n-grams.
-SPARE = 1
+#: Documents of a digest up to which agreeing blocks are counted pair by pair; beyond it they are tied without a count.
+FEW = 16
+
+#: Low bits of a tag, for the number of digests to share.
+NEED_BITS = 20
 
 _U = np.uint64
 
@@ -90,26 +94,37 @@ def _class_starts(percent: int) -> np.ndarray:
     return _starts[percent]
 
 
-def block_digests(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the column blocks of a set, in its own size class and the next larger one.
+def spare(k: int) -> int:
+    """Blocks beyond budget + 1: a linked pair agrees in so many and one more."""
+    return 1 + k // 8
+
+
+def block_digests(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the column blocks of a set, in its own size class and the next larger one, and a tag for each.
 
-    m = budget + 1 + SPARE blocks leave SPARE + 1 agreeing ones at least. An empty block says nothing and is left out,
-    unless more than SPARE of a set's blocks are empty: two such sets may agree in empty blocks alone.
+    m = k + 1 + spare blocks (k: the budget of the class) leave spare + 1 agreeing ones at least. Empty blocks say
+    nothing and are left out, unless more than ``spare`` of a set's blocks are empty: two such sets may agree in empty blocks
+    alone. A tag holds the class and how many digests a linked set must share: for two sets, the larger of their
+    numbers (spare + 1 less the blocks left out; 1 where none is left out though many are empty).
     """
     starts = _class_starts(percent)
     own = size_class(len(shingles), percent)
-    out = []
+    out, tags = [], []
     with np.errstate(over="ignore"):
         mixed = _mix(shingles + _U(0x632BE59BD9B4E019))
         for c in (own, own + 1):
-            m = budget(2 * int(starts[c + 1] - 1), percent) + 1 + SPARE
-            block = (shingles >> _U(7)) % _U(m)
+            k = budget(2 * int(starts[c + 1] - 1), percent)
+            m = k + 1 + spare(k)
+            block = ((shingles >> _U(7)) % _U(m)).astype(np.int64)
             total = np.zeros(m, np.uint64)
-            np.add.at(total, block.astype(np.int64), mixed)
-            filled = np.bincount(block.astype(np.int64), minlength=m)
-            keep = np.flatnonzero(filled > 0) if (filled == 0).sum() <= SPARE else np.arange(m)
-            out.append(_mix(_mix(total[keep] + filled[keep].astype(np.uint64)) + _U(c) * _U(0x9E3779B97F4A7C15) + keep.astype(np.uint64)))
-    return np.concatenate(out).view(np.int64)
+            np.add.at(total, block, mixed)
+            filled = np.bincount(block, minlength=m)
+            empty = int((filled == 0).sum())
+            keep, need = (np.flatnonzero(filled > 0), spare(k) + 1 - empty) if empty <= spare(k) else (np.arange(m), 1)
+            salt = np.array(c, np.uint64) * _U(0x9E3779B97F4A7C15)
+            out.append(_mix(_mix(total[keep] + filled[keep].astype(np.uint64)) + salt + keep.astype(np.uint64)))
+            tags.append(np.full(len(keep), (c << NEED_BITS) + min(need, (1 << NEED_BITS) - 1), np.int32))
+    return np.concatenate(out).view(np.int64), np.concatenate(tags)
 
 
 class Forest:
@@ -174,45 +189,85 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
 
 
 def _ties(keyed: DataFrame) -> DataFrame:
-    """(u, v): documents with an equal block digest, each tied to the smallest of its digest, none left apart.
+    """(u, v): documents that may link, tied so that no two of them are left apart.
 
-    ``keyed``: (doc, keys). The digests are sorted over all partitions, ties by document, so a frequent digest may span
-    several; the ends of each partition are tied by a second, small table with one row per partition and end.
+    ``keyed``: (doc, keys, tags). The digests are sorted over all partitions, ties by document, so a frequent digest may
+    span several. Of a digest with up to ``FEW`` documents every pair is counted once; pairs that share as many digests of a
+    class as their tags ask for are tied. Of a larger one, or one that a partition's end may cut, all documents are tied to
+    the smallest; the ends of each partition are tied by a second, small table with one row per partition and end.
     """
-    rows = keyed.select("doc", F.explode("keys").alias("key"))
+    rows = keyed.select("doc", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("tags").alias("tag"))).alias("x")).select("x.key", "doc", "x.tag")
     placed = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
 
     def tie(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key = first_doc = None
         ends = []
+        waiting = None  # rows of the last digest of a batch
         for frame in frames:
-            key, doc = frame["key"].to_numpy(), frame["doc"].to_numpy()
-            if not len(key):
+            if not len(frame):
                 continue
-            new = np.append(True, key[1:] != key[:-1])
-            if last_key is not None and key[0] == last_key:
-                new[0] = False
-            at = np.flatnonzero(new)
-            head = np.empty(len(key), np.int64)
-            if not new[0]:
-                head[: at[0] if len(at) else len(key)] = first_doc
-            if len(at):
-                head[at[0] :] = np.repeat(doc[at], np.diff(np.append(at, len(key))))
+            frame = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+            key = frame["key"].to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # rows before the last digest, of which more may follow
             if not ends:
-                ends.append((int(key[0]), int(doc[0])))
-            last_key, first_doc = key[-1], head[-1]
-            other = np.flatnonzero(head != doc)
-            if other.size:
-                pairs = np.unique(np.stack([doc[other], head[other]], axis=1), axis=0)
-                yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1], "edge": None})
+                ends.append((int(key[0]), int(frame["doc"].iloc[0])))
+            if len(frame) - whole > FEW:  # a long digest is tied as it comes
+                whole = len(frame)
+            waiting = frame.iloc[whole:] if whole < len(frame) else None
+            if whole:
+                found, last_key, first_doc = _tie_batch(frame.iloc[:whole], last_key, first_doc, ends[0][0])
+                yield from found
+        if waiting is not None:
+            found, last_key, first_doc = _tie_batch(waiting, last_key, first_doc, int(waiting["key"].iloc[-1]))
+            yield from found
         if ends:
             ends.append((int(last_key), int(first_doc)))
-            yield pd.DataFrame({"u": [d for _, d in ends], "v": [d for _, d in ends], "edge": [k for k, _ in ends]}).astype({"edge": "Int64"})
+            yield _tie_frame([d for _, d in ends], [d for _, d in ends], edge=[k for k, _ in ends])
 
-    tied = stash(placed.mapInPandas(tie, "u long, v long, edge long"), "ties")
+    tied = stash(placed.mapInPandas(tie, "u long, v long, edge long, tag int").groupBy("u", "v", "edge", F.shiftright("tag", NEED_BITS).alias("class")).agg(F.count("*").alias("n"), F.max(F.col("tag").bitwiseAND(F.lit((1 << NEED_BITS) - 1))).alias("need")), "ties")
     ends = tied.where(F.col("edge").isNotNull())
     across = ends.groupBy("edge").agg(F.collect_set("u").alias("docs"), F.min("u").alias("v")).select(F.explode("docs").alias("u"), "v")
-    return tied.where(F.col("edge").isNull()).select("u", "v").unionByName(across).where("u <> v").distinct()
+    enough = F.col("edge").isNull() & (F.col("class").isNull() | (F.col("n") >= F.col("need")))
+    return tied.where(enough).select("u", "v").unionByName(across).where("u <> v").distinct()
+
+
+def _tie_frame(u, v, tag=None, edge=None) -> pd.DataFrame:
+    out = pd.DataFrame({"u": u, "v": v})
+    out["edge"] = pd.array([None] * len(out) if edge is None else edge, "Int64")
+    out["tag"] = pd.array([None] * len(out) if tag is None else tag, "Int32")
+    return out
+
+
+def _tie_batch(frame: pd.DataFrame, last_key, first_doc, cut) -> tuple[list[pd.DataFrame], int, int]:
+    """Ties of one batch of sorted rows; its last digest and the smallest document of it so far.
+
+    ``last_key``, ``first_doc``: those of the batch before, which the first digest may go on from. ``cut``: a digest that may
+    have more documents in another partition.
+    """
+    key, doc, tag = frame["key"].to_numpy(), frame["doc"].to_numpy(), frame["tag"].to_numpy()
+    new = np.append(True, key[1:] != key[:-1])
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(key)))
+    head = np.repeat(doc[at], size)
+    large = size > FEW
+    large[key[at] == cut] = True
+    if last_key is not None and key[0] == last_key:
+        head[: size[0]], large[0] = first_doc, True
+    found = []
+    hot = np.repeat(large, size)
+    other = np.flatnonzero(hot & (head != doc))
+    if other.size:
+        pairs = np.unique(np.stack([doc[other], head[other]], axis=1), axis=0)
+        found.append(_tie_frame(pairs[:, 0], pairs[:, 1]))
+    place = np.arange(len(key)) - np.repeat(at, size)
+    for lag in range(1, FEW):
+        j = np.flatnonzero((place >= lag) & ~hot)
+        if not j.size:
+            break
+        i = j - lag
+        # the tags of one digest are of one class
+        found.append(_tie_frame(np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j]), tag=np.maximum(tag[i], tag[j])))
+    return found, key[-1], head[-1]
 
 
 def _row_block_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -260,15 +315,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames, "text", 4_000_000):
-            size, keys, digests = [], [], []
+            size, keys, digests, none = [], [], [], (np.zeros(0, np.int64), np.zeros(0, np.int32))
             for t in frame["text"]:
                 s = shingle_set(t, width)
                 size.append(len(s))
                 digests.append(set_digest(s))
-                keys.append(block_digests(s, percent) if len(s) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], "keys": keys})
+                keys.append(block_digests(s, percent) if len(s) else none)
+            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], "keys": [k for k, _ in keys], "tags": [t for _, t in keys]})
 
-    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, keys array<long>"), "blocks")
+    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, keys array<long>, tags array<int>"), "blocks")
     known = keyed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     families = components(_ties(known), "u", "v").select(F.col("node").alias("doc"), F.col("component").alias("family"))
     # one row per distinct set of a family; texts are read again only where a family has several
@@ -300,11 +355,16 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
     Every row is decided on its own text: ids may repeat or be null. Rows without words all stay.
     """
     rows = stash(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
-    found = jaccard_components(rows, width, percent, "_row_number", text_col).select("_row_number", "component_id")
+    found = stash(jaccard_components(rows, width, percent, "_row_number", text_col).select("_row_number", "component_id"), "groups")
+    # only rows of groups of several are looked at; those that go are fewer than those that stay
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    member = attach(found, several, ["component_id"], F.col("_row_number"), "inner")
     ids = rows.select("_row_number", F.col(id_col).alias("_id"))
+    member = stash(member.join(ids, "_row_number"), "members")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row_number"))
-    kept = found.join(ids, "_row_number").groupBy("component_id").agg(first.alias("f")).select("f._row_number")
-    return rows.join(kept, "_row_number", "left_semi").select(docs.columns)
+    kept = member.groupBy("component_id").agg(first.alias("f")).select("f._row_number")
+    gone = member.select("_row_number").join(kept, "_row_number", "left_anti")
+    return rows.join(gone, "_row_number", "left_anti").select(docs.columns)
 
 
 @register("op10_ngram_jaccard")
