@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wattline.functions import nodes
@@ -24,6 +25,61 @@ def test_time_texts_of_every_layout(spark):
     assert tuple(clean.ts_rejects(df, "x").first()) == (26, 2, 4)
 
 
+def test_time_texts_with_zones_halves_and_month_names(spark):
+    t, day = datetime(2024, 1, 2, 15, 15), datetime(2024, 1, 2)
+    texts = {
+        "2024-01-02 23:15:00+08:00": t, "2024-01-02T15:15:00+00:00": t, "2024-01-02T11:45:00-0330": t, "2024-01-02 23:15+08": t, "2024-01-02 15:15:00 UTC": t, "2024-01-02 15:15:00 GMT": t,
+        "2024-01-02 03:15 PM": t, "01/02/2024 03:15 PM": t, "1/2/2024 3:15:00 p.m.": t, "01/02/2024, 03:15 pm": t, "2024-01-02 12:15 AM": datetime(2024, 1, 2, 0, 15), "2024-01-02 12:15 PM": datetime(2024, 1, 2, 12, 15),
+        "25/12/2024 10:00": datetime(2024, 12, 25, 10), "12/25/2024 10:00": datetime(2024, 12, 25, 10), "02.01.2024 10:00": datetime(2024, 2, 1, 10), "31.01.2024": datetime(2024, 1, 31),
+        "Jan 2, 2024": day, "January 2 2024 15:15": t, "2-Jan-2024 15:15": t, "2 Jan 2024": day, "02JAN2024": day, "2nd January 2024 3:15 PM": t, "Tue, 02 Jan 2024 15:15:00 GMT": t, "Tuesday, January 2, 2024 3:15 PM": t, "Sept. 2, 2024": datetime(2024, 9, 2),
+        "2024-01-02 24:00": None, "2024-01-02 13:15 PM": None, "2024-01-02 0:15 AM": None, "32/13/2024": None, "13/13/2024": None, "Foo 2, 2024": None, "Feb 30, 2024": None,
+    }
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert {r.x: r.t for r in df.select("x", clean.ts_coerce(F.col("x")).alias("t")).collect()} == texts
+
+
+def test_a_column_votes_for_day_first(spark):
+    texts = ["05/06/2024 10:00", "25/06/2024", "26.06.2024 11:00", "12/31/2024", None, "n/a", "2024-06-05"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    votes = clean.layout_votes(df, "x").first()
+    assert (votes.rows, votes.year_last, votes.year_first, votes.month_only, votes.day_only, votes.day_first) == (7, 4, 1, 1, 2, True)
+    got = {r.x: r.ts for r in clean.ts_read(df, "x").collect()}
+    assert got["05/06/2024 10:00"] == datetime(2024, 6, 5, 10) and got["12/31/2024"] == datetime(2024, 12, 31) and got["2024-06-05"] == datetime(2024, 6, 5)
+    month_first = {r.x: r.ts for r in clean.ts_read(df.where("x not like '2%'"), "x").collect()}
+    assert month_first["05/06/2024 10:00"] == datetime(2024, 5, 6, 10)
+    assert clean.ts_read(df.limit(0), "x").count() == 0
+
+
+def test_readers_say_what_they_dropped(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,n1\n2024/1/2 3:15,1\n,2\nbad,5\n", encoding="utf-8")
+    seen = Observation("rejects")
+    assert readers.scan_wide_matrix(spark, str(tmp_path), rejected=seen).count() == 1
+    assert seen.get == {"rows": 3, "blank": 1, "rejected": 1}
+    with pytest.raises(Exception, match="cannot be read: bad"):
+        readers.scan_wide_matrix(spark, str(tmp_path), strict=True).collect()
+
+
+def test_station_files_of_any_encoding(spark, tmp_path):
+    for station, encoding in (("s1", "utf-8"), ("s2", "gb18030")):
+        folder = tmp_path / f"station={station}" / "x (Nominal capacity-30MW)"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("时间,功率\n13/01/2024 10:00,1.5\n02/01/2024 10:00,2\n02/01/2024 10:00,9\nsoon,3\n", encoding=encoding)
+    before = spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    seen = Observation("stations")
+    got = sorted(tuple(r) for r in readers.scan_station_dir(spark, str(tmp_path), "时间", "功率", seen).select("station", "ts", "power", "capacity").collect())
+    assert got == [(s, datetime(2024, 1, d, 10), p, 30.0) for s in ("s1", "s2") for d, p in ((2, 2.0), (13, 1.5))]
+    assert seen.get["rejected"] == 2 and spark.conf.get("spark.sql.legacy.javaCharsets", None) == before
+
+
+def test_replacement_characters_are_no_error_and_columns_may_be_ordered_differently(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,v\nodd \ufffd text,1\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("v,name\n2,\"电,价\"\n", encoding="gb18030")
+    (tmp_path / "c.csv").write_text("v,name,more\n3,x,y\n", encoding="utf-8")
+    assert [(f.rsplit("/", 1)[1], e) for f, e, _ in readers.file_encodings(spark, str(tmp_path))] == [("a.csv", "UTF-8"), ("b.csv", "GB18030"), ("c.csv", "UTF-8")]
+    got = sorted((r.v, r.name, r.more) for r in readers.scan_csv(spark, str(tmp_path)).collect())
+    assert got == [("1", "odd \ufffd text", None), ("2", "电,价", None), ("3", "x", "y")]
+
+
 def test_minute_files_lose_no_row(spark, tmp_path):
     (tmp_path / "a.csv").write_text("time,n1,n2\n2024/1/2 3:15,1,2\n2024-01-02T03:30,3,4\nbad,5,6\n", encoding="utf-8")
     got = sorted((r.ts, r.node_id, r.value) for r in readers.scan_wide_matrix(spark, str(tmp_path)).collect())

@@ -4,37 +4,80 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wattline.functions.blocks import BLOCK, carry
 
-# Year-first and month-first dates with an optional time of day, and digits without separators. Each gives, in order:
-# year, month, day, hour, minute, second, fraction (absent parts count as zero).
-_CLOCK = r"(?:[T ]+(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?)?\s*Z?\s*$"
-TEXT_LAYOUTS = (
-    (r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _CLOCK, (1, 2, 3, 4, 5, 6, 7)),
-    (r"^\s*(\d{4})年(\d{1,2})月(\d{1,2})日" + _CLOCK.replace("[T ]+", "[T ]*"), (1, 2, 3, 4, 5, 6, 7)),
-    (r"^\s*(\d{1,2})[-/](\d{1,2})[-/](\d{4})" + _CLOCK, (3, 1, 2, 4, 5, 6, 7)),
-    (r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(?:(\d{2})(\.\d+)?)?)?\s*Z?\s*$", (1, 2, 3, 4, 5, 6, 7)),
-)
+# How dates are written. Every pattern has three groups; ``order`` says which of year, month, day each is. The first group of
+# "a b year" is the month, unless the column is day-first or no such month exists.
+_MONTH = r"([A-Za-z]{3,9})\.?"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+_WEEKDAY = r"(?:(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[A-Za-z]*\.?,?\s+)?"
+DATE_LAYOUTS = {
+    "year first": (r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", "ymd"),
+    "year, month and day signs": (r"(\d{4})年(\d{1,2})月(\d{1,2})日", "ymd"),
+    "year last": (r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})", "mdy"),
+    "month name first": (_WEEKDAY + _MONTH + r"[ -]+" + _DAY + r",?[ -]+(\d{4})", "mdy"),
+    "month name in the middle": (_WEEKDAY + _DAY + r"[ -/.]*" + _MONTH + r",?[ -/.]*(\d{4})", "dmy"),
+}
+YEAR_LAST = "year last"
+# hour, minute, second, fraction, half of the day, zone
+_CLOCK = r"(?:[T ,]{sep}(\d{1,2}):(\d{1,2})(?::(\d{1,2})(\.\d+)?)?\s*([AaPp]\.?[Mm]\.?)?\s*(Z|UTC|GMT|[+-]\d{2}(?::?\d{2})?)?)?\s*Z?\s*$"
+DIGITS = r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(?:(\d{2})(\.\d+)?)?)?\s*Z?\s*$"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 SERIAL_DAY_ZERO = "1899-12-30"
 
 
 # --- coercion ---
-def ts_coerce(text: Column, layouts: Sequence[tuple[str, Sequence[int]]] = TEXT_LAYOUTS) -> Column:
+def _pattern(name: str) -> str:
+    return r"^\s*" + DATE_LAYOUTS[name][0] + _CLOCK.replace("{sep}", "*" if "signs" in name else "+")
+
+
+def _moment(parts: Column, order: str) -> Column:
+    """A timestamp from the nine parts of a text: three of the date in ``order``, six of the clock."""
+
+    def number(k: int) -> Column:
+        return F.coalesce(parts[k].try_cast("int"), F.lit(0))
+
+    named = F.array_position(F.lit(list(MONTHS)), F.lower(F.substring(parts[order.index("m")], 1, 3))).cast("int")
+    month = F.coalesce(parts[order.index("m")].try_cast("int"), named)
+    half = F.lower(F.substring(parts[7], 1, 1))
+    hour = F.when(half == "", number(3)).when(number(3).between(1, 12), number(3) % 12 + F.when(half == "p", 12).otherwise(0))
+    at = F.try_make_timestamp_ntz(number(order.index("y")), month, number(order.index("d")), hour, number(4), number(5))
+    up = F.when(F.coalesce(parts[6].try_cast("double"), F.lit(0.0)) > 0.5, 1).otherwise(0)
+    zone = F.regexp_replace(parts[8], ":", "")
+    ahead = F.coalesce(F.substring(zone, 2, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(F.substring(zone, 4, 2).try_cast("int"), F.lit(0))
+    ahead = F.when(zone.startswith("-"), -ahead).when(zone.startswith("+"), ahead).otherwise(0)
+    return at + F.make_dt_interval(secs=up) - F.make_dt_interval(mins=ahead)
+
+
+def _read(text: Column, pattern: str, groups: int, orders: Sequence[str]) -> Column:
+    """The first of ``orders`` in which a text of this pattern is a date; the text is taken apart once."""
+    marks = ";".join(f"${k}" if k <= groups else "" for k in range(1, 10))
+    parts = F.array(F.split(F.regexp_replace(text, pattern, marks), ";", -1))
+    return F.when(text.rlike(pattern), F.transform(parts, lambda p: F.coalesce(*[_moment(p, o) for o in orders]))[0])
+
+
+def ts_coerce(text: Column, day_first: bool | Column = False) -> Column:
     """Text to timestamp: mixed layouts first, then spreadsheet serial days, rounded to the second.
 
-    Accepted: ``-``, ``/``, ``.`` or year-month-day signs between the parts, one or two digits each, a blank or ``T``
-    before the time, hours and minutes with or without seconds and fractions, a ``Z`` at the end, month-first dates, and
-    8, 12 or 14 digits without separators. Anything else, and dates that do not exist, become NULL (see ``ts_rejects``).
+    Dates: year first with ``-``, ``/``, ``.`` or year-month-day signs, one or two digits each; year last, month before day unless
+    ``day_first`` or only the other way is a date; English month names, whole or their first three letters, with or without a
+    weekday; 8, 12 or 14 digits without separators. Times: after a blank, comma or ``T``; hours and minutes, with or
+    without seconds and fractions, AM or PM, and ``Z``, ``UTC``, ``GMT`` or an offset such as ``+08:00``. A time with an offset is
+    turned to UTC; one without is kept as written. Anything else, and dates and times that do not exist (also 24:00), become NULL
+    (see ``ts_rejects``).
     """
+    swapped = day_first if isinstance(day_first, Column) else F.lit(day_first)
     tries = []
-    for pattern, places in layouts:
-        part = [F.nullif(F.regexp_extract(text, pattern, k), F.lit("")) for k in places]
-        numbers = [F.coalesce(p.try_cast("int"), F.lit(0)) for p in part[:6]]
-        up = F.when(F.coalesce(part[6].try_cast("double"), F.lit(0.0)) > 0.5, 1).otherwise(0)
-        tries.append(F.when(text.rlike(pattern), F.try_make_timestamp_ntz(*numbers) + F.make_dt_interval(secs=up)))
+    for name, (_, order) in DATE_LAYOUTS.items():
+        pattern = _pattern(name)
+        if name == YEAR_LAST and not (day_first is False):
+            tries.append(F.when(swapped, _read(text, pattern, 9, ["dmy", "mdy"])).otherwise(_read(text, pattern, 9, ["mdy", "dmy"])))
+        else:
+            tries.append(_read(text, pattern, 9, ["mdy", "dmy"] if name == YEAR_LAST else [order]))
+    tries.append(_read(text, DIGITS, 7, ["ymd"]))
     days = text.try_cast("double")
     in_calendar = days.between(-600_000.0, 2_900_000.0)  # also leaves out inf and NaN
     secs = F.when(in_calendar, F.round(days * 86400.0)).cast("long")
@@ -42,6 +85,30 @@ def ts_coerce(text: Column, layouts: Sequence[tuple[str, Sequence[int]]] = TEXT_
     return F.date_trunc("second", F.coalesce(*tries, serial)).cast("timestamp_ntz")
 
 
+def layout_votes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """How a column's time texts are written, per group: rows that each layout reads, and which way year-last dates go.
+
+    ``month_only`` and ``day_only`` count year-last dates whose other reading is no date (a part above 12); ``day_first`` is true if
+    there are more of the second. Texts that could be read both ways do not vote.
+    """
+    text = F.col(column)
+    first, second = (F.regexp_extract(text, _pattern(YEAR_LAST), k).try_cast("int") for k in (1, 2))
+    counts = [F.count_if(text.rlike(_pattern(name))).alias(name.replace(",", "").replace(" ", "_")) for name in DATE_LAYOUTS]
+    votes = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), *counts, F.count_if(text.rlike(DIGITS)).alias("digits"),
+        F.count_if(first.between(1, 12) & (second > 12)).alias("month_only"), F.count_if((first > 12) & second.between(1, 12)).alias("day_only"),
+    )
+    return votes.withColumn("day_first", F.col("day_only") > F.col("month_only"))
+
+
+def ts_read(df: DataFrame, column: str, out: str = "ts") -> DataFrame:
+    """Adds ``out``, the column's timestamps, with year-last dates read the way the column's unambiguous ones go.
+
+    The vote is one aggregate over the column, as a scalar subquery.
+    """
+    return df.withColumn(out, ts_coerce(F.col(column), layout_votes(df, column).select("day_first").scalar()))
+
+
 def ts_rejects(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows per group, how many hold no time text, and how many hold one that ``ts_coerce`` cannot read."""
     blank = F.col(column).isNull() | (F.trim(F.col(column)) == "")
@@ -49,6 +116,22 @@ def ts_rejects(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank"), F.count_if(bad).alias("rejected"))
 
 
+def readable(df: DataFrame, text: str, ts: str, rejected: Observation | None = None, strict: bool = False) -> DataFrame:
+    """Rows with a timestamp; what is left out is counted or stops the plan.
+
+    ``rejected`` is filled by the first action on the result: ``rows``, ``blank`` (no time text) and ``rejected`` (a text that could
+    not be read). With ``strict`` the first such text is an error.
+    """
+    blank = F.col(text).isNull() | (F.trim(F.col(text)) == "")
+    bad = ~blank & F.col(ts).isNull()
+    if rejected is not None:
+        df = df.observe(rejected, F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank"), F.count_if(bad).alias("rejected"))
+    if strict:
+        stop = F.raise_error(F.concat(F.lit("time text cannot be read: "), F.col(text))).cast(df.schema[ts].dataType)
+        df = df.withColumn(ts, F.when(bad, stop).otherwise(F.col(ts)))
+    return df.where(F.col(ts).isNotNull())
+
+
 def num_coerce(text: Column) -> Column:
     """Text to double; anything that is not a finite number becomes NULL."""
     v = text.try_cast("double")

@@ -19,8 +19,10 @@ PI2 = "(2 * pi())"
     "ts_coerce",
     "event_id:i parsed:t",
     f"""
-SELECT event_id, CASE event_id % 14
+SELECT event_id, CASE event_id % 22
          WHEN 1 THEN date_trunc('minute', s) WHEN 3 THEN date_trunc('minute', s) WHEN 6 THEN date_trunc('minute', s) WHEN 9 THEN date_trunc('minute', s)
+         WHEN 14 THEN date_trunc('minute', s) WHEN 17 THEN date_trunc('minute', s)
+         WHEN 18 THEN CASE WHEN day(s) > 12 THEN date_trunc('minute', s) ELSE make_timestamp(year(s), day(s), month(s), hour(s), minute(s), 0) END
          WHEN 10 THEN date_trunc('day', s) WHEN 11 THEN date_trunc('day', s) WHEN 12 THEN NULL
          WHEN 8 THEN s + INTERVAL 1 SECOND
          WHEN 13 THEN TIMESTAMP '1899-12-30' + to_seconds(CAST(round((sec // 86400 + (sec % 86400 * 1000000 // 86400) / 1000000.0) * 86400) AS BIGINT)) ELSE s END AS parsed
@@ -32,23 +34,27 @@ def _(fx):
     layouts = {
         0: "yyyy-MM-dd HH:mm:ss", 1: "yyyy/MM/dd HH:mm", 2: "yyyyMMddHHmmss", 3: "yyyy-MM-dd HH:mm", 4: "yyyy-MM-dd'T'HH:mm:ss", 5: "yyyy/MM/dd HH:mm:ss",
         6: "yyyy/M/d H:mm", 7: "yyyy-MM-dd HH:mm:ss'.4'", 8: "yyyy-MM-dd'T'HH:mm:ss'.75Z'", 9: "MM/dd/yyyy HH:mm", 10: "yyyy-MM-dd", 11: "yyyyMMdd",
+        14: "MM/dd/yyyy hh:mm a", 15: "yyyy-MM-dd HH:mm:ss'+08:00'", 16: "MMM d, yyyy HH:mm:ss", 17: "d-MMM-yyyy HH:mm", 18: "dd/MM/yyyy HH:mm",
+        19: "dd MMMM yyyy HH:mm:ss 'GMT'", 20: "yyyy-MM-dd hh:mm:ss a", 21: "yyyy-MM-dd'T'HH:mm:ss'-0330'",
     }
-    turn, text = F.col("event_id") % 14, F.concat(F.floor(sec / 86400).cast("string"), F.lit("."), F.lpad(micro.cast("string"), 6, "0"))
-    text = F.when(turn == 12, F.when(F.col("event_id") % 28 == 12, "n/a").otherwise("2024-02-30 10:00")).otherwise(text)
+    # two layouts say the time of another zone
+    ahead = F.when(F.col("event_id") % 22 == 15, F.expr("interval 8 hours")).when(F.col("event_id") % 22 == 21, F.expr("interval '-03:30' hour to minute")).otherwise(F.expr("interval 0 hours"))
+    turn, text = F.col("event_id") % 22, F.concat(F.floor(sec / 86400).cast("string"), F.lit("."), F.lpad(micro.cast("string"), 6, "0"))
+    text = F.when(turn == 12, F.when(F.col("event_id") % 44 == 12, "n/a").otherwise("2024-02-30 10:00")).otherwise(text)
     for k, layout in layouts.items():
-        text = F.when(turn == k, F.date_format("ts", layout)).otherwise(text)
+        text = F.when(turn == k, F.date_format(F.col("ts") + ahead, layout)).otherwise(text)
     return fx.table("events").select("event_id", clean.ts_coerce(text).alias("parsed"))
 
 
-# A quarter-hour axis with holes where no price was seen; some series also sit off the grid.
-OFF_GRID = "series LIKE '%1' AND price > 300"
+# A quarter-hour axis with every seventh time missing; some series also sit off the grid, so their axis is kept.
+NO_TIME, OFF_GRID = "pos % 7 = 3", "length(series) % 3 = 0 AND pos % 5 = 0"
 
 
 @query(
     "infer_grid",
     "series:s pos:i step_s:f match:f filled_ts:t",
     f"""
-WITH raw AS (SELECT series, pos, CASE WHEN price IS NULL THEN NULL WHEN {OFF_GRID} THEN ts + INTERVAL 1 MINUTE ELSE ts END AS ts FROM market_raw),
+WITH raw AS (SELECT series, pos, CASE WHEN {NO_TIME} THEN NULL WHEN {OFF_GRID} THEN ts + INTERVAL 1 MINUTE ELSE ts END AS ts FROM market_raw),
 steps AS (SELECT series, median(gap) AS step_s FROM (
   SELECT series, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY series ORDER BY ts) AS gap FROM raw WHERE ts IS NOT NULL) WHERE gap IS NOT NULL GROUP BY series),
 starts AS (SELECT f.series, step_s, s0 - step_s * p0 AS start FROM (
@@ -60,7 +66,7 @@ SELECT raw.series, pos, step_s, match,
 FROM raw LEFT JOIN starts USING (series) LEFT JOIN matched USING (series)""",
 )
 def _(fx):
-    ts = F.when(F.col("price").isNull(), None).when(F.expr(OFF_GRID), F.col("ts") + F.expr("interval 1 minute")).otherwise(F.col("ts"))
+    ts = F.when(F.expr(NO_TIME), None).when(F.expr(OFF_GRID), F.col("ts") + F.expr("interval 1 minute")).otherwise(F.col("ts"))
     return grid.infer_grid(fx.market_raw.select("series", "pos", ts.alias("ts")), ["series"], "pos", "ts")
 
 

@@ -14,12 +14,15 @@ from wattline.sources.fixtures import EXOG, PRICE_CAP, PRICE_FLOOR
 @query("scan_csv", "event_id:i label:s value:f",
        "SELECT event_id, CASE event_type WHEN 'click' THEN '电价' WHEN 'view' THEN '负荷' ELSE event_type END AS label, value FROM events")
 def _(fx):
-    spark = fx.spark
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    kind = F.col("event_type")
+    spark, kind = fx.spark, F.col("event_type")
     rows = fx.table("events").select(F.col("event_id").alias(" event_id "), F.when(kind == "click", "电价").when(kind == "view", "负荷").otherwise(kind).alias("label"), "value")
     path = sinks.scratch(spark, "csv")
-    rows.write.option("header", "true").option("encoding", "GBK").csv(path)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # for the writer alone
+    for k, encoding in enumerate(("UTF-8", "GBK", "GB18030")):
+        part = rows.where(F.col(" event_id ") % 3 == k)
+        part = part.select("value", " event_id ", "label") if k == 2 else part
+        part.write.option("header", "true").option("encoding", encoding).csv(f"{path}/{k}")
+    spark.conf.unset("spark.sql.legacy.javaCharsets")
     return readers.scan_csv(spark, path)
 
 
