@@ -138,8 +138,8 @@ def _(fx):
     "candidate_map",
     "series:s day:d slot:i prediction:f",
     """
-SELECT m.series, m.day + 1 AS day, m.slot, coalesce(b.prediction, m.price) / 500.0 AS prediction
-FROM market m LEFT JOIN (SELECT * FROM pred_b WHERE day_idx >= 20) b ON b.series = m.series AND b.day = m.day + 1 AND b.slot = m.slot""",
+SELECT series, day + 1 AS day, slot, coalesce(CASE WHEN lead(day) OVER w = day + 1 AND day_idx + 1 >= 20 THEN lead(lag_b) OVER w END, target) / 500.0 AS prediction
+FROM pred_both WINDOW w AS (PARTITION BY series, slot ORDER BY day)""",
 )
 def _(fx):
     early = fx.pred_a.where("day_idx >= 20").withColumn("arrival", F.lit(0))

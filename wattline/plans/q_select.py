@@ -287,12 +287,17 @@ def _score_sql(src: str, pred: str, keys: str, by: str) -> str:
   SELECT {keys}, day, avg(abs({pred} - target) / greatest(abs(target), {PRICE_FLOOR})) AS e, avg(abs({pred} - target)) AS mae FROM {src} GROUP BY {keys}, day) GROUP BY {by}"""
 
 
+def _blend_error(i: int) -> str:
+    w = f"({i} / 10.0::DOUBLE)"
+    return f"avg(abs({w} * prediction_base + (1 - {w}) * prediction_seq - target) / greatest(abs(target), {PRICE_FLOOR})) AS e{i}"
+
+
 @query(
     "blend_search",
     "series:s day:d slot:i weight:f score:f prediction:f target:f",
     f"""
-WITH g AS MATERIALIZED (SELECT p.*, w, w * prediction_base + (1 - w) * prediction_seq AS b FROM pair_table p CROSS JOIN (SELECT i / 10.0::DOUBLE AS w FROM range(11) r(i)) WHERE {VAL}),
-best AS (SELECT series, w AS weight, score FROM ({_score_sql('g', 'b', 'series, w', 'series, w')}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY score DESC, w) = 1)
+WITH d AS MATERIALIZED (SELECT series, day, {", ".join(_blend_error(i) for i in range(11))} FROM pair_table WHERE {VAL} GROUP BY series, day),
+best AS (SELECT series, weight, score FROM ({" UNION ALL ".join(f"SELECT series, {i} / 10.0::DOUBLE AS weight, avg(greatest(0.0, 1 - e{i})) AS score FROM d GROUP BY series" for i in range(11))}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY score DESC, weight) = 1)
 SELECT series, day, slot, weight, score, weight * prediction_base + (1 - weight) * prediction_seq AS prediction, target FROM pair_table JOIN best USING (series) WHERE {TEST}""",
 )
 def _(fx):
@@ -438,7 +443,7 @@ def _(fx):
 
 
 @query("persistence_forecast", "series:s day:d slot:i day_before:f week_before:f",
-       "SELECT m.series, m.day, m.slot, a.price AS day_before, b.price AS week_before FROM market m LEFT JOIN market a ON a.series = m.series AND a.pos = m.pos - 96 LEFT JOIN market b ON b.series = m.series AND b.pos = m.pos - 672 WHERE b.price IS NOT NULL")
+       "SELECT series, day, slot, lag_a AS day_before, lag_b AS week_before FROM pred_both WHERE lag_b IS NOT NULL")
 def _(fx):
     return fx.pred_both.where("lag_b is not null").select("series", "day", "slot", F.col("lag_a").alias("day_before"), F.col("lag_b").alias("week_before"))
 
