@@ -10,15 +10,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from wattline.llm.common import in_batches
 from wattline.llm.pieces import SPACE, Pieces, pieces
 from wattline.llm.registry import register, table
 
 MODEL = "piece_bpe_32k.model"
 #: Words that a worker keeps at once; it starts afresh beyond. Bounds memory, not results.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 _WORD = re.compile(" +[^ ]*")
 
 
@@ -83,12 +85,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | No
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = known_words(path)
-        for frame in frames:
+        for frame in in_batches(frames, text_col, 1_000_000):
             rows = [encode_text(t, known) for t in frame[text_col]]
             out = frame[kept].copy()
             out["n_tokens"] = [i.count(" ") + 1 for i, _ in rows]
             if ids_col:
-                out[ids_col] = [[int(x) for x in i.split(" ")] for i, _ in rows]
+                out[ids_col] = [np.fromstring(i, np.int32, sep=" ") for i, _ in rows]
             if decoded_col:
                 out[decoded_col] = [t for _, t in rows]
             if digests:

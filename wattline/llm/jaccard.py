@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import attach, components, in_batches, stash, words
+from wattline.llm.common import attach, components, discard, in_batches, stash, words
 from wattline.llm.registry import register, table
 
 #: Distinct sets per row block, and columns per tile of a product.
@@ -36,6 +37,8 @@ COLUMN_TILE = 2048
 #: Hash values of ids that travel to all tasks to leave out texts no product needs (8 bytes each, so many at most). Where
 #: most values are taken it leaves out none; the join that follows decides.
 ID_HASHES = 1 << 20
+#: N-grams per row block, which bounds the memory of a product of long texts.
+BLOCK_NGRAMS = 1_000_000
 #: Documents of a digest up to which agreeing blocks are counted pair by pair; beyond it they are tied without a count.
 FEW = 16
 
@@ -324,14 +327,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
             yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], "keys": [k for k, _ in keys], "tags": [t for _, t in keys]})
 
     keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, keys array<long>, tags array<int>"), "blocks")
-    known = keyed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
-    families = components(_ties(known), "u", "v").select(F.col("node").alias("doc"), F.col("component").alias("family"))
+    ties = stash(_ties(keyed.where(F.col("doc").isNotNull() & (F.col("n") > 0))), "ties")
+    facts = stash(keyed.select("doc", "n", "d1", "d2"), "facts")
+    discard(keyed)
+    known = facts.where(F.col("doc").isNotNull() & (F.col("n") > 0))
+    families = components(ties, "u", "v").select(F.col("node").alias("doc"), F.col("component").alias("family"))
     # one row per distinct set of a family; texts are read again only where a family has several
-    member = stash(known.select("doc", "d1", "d2").join(families, "doc"), "members")
-    heads = stash(member.groupBy("family", "d1", "d2").agg(F.min("doc").alias("head")), "heads")
-    same = attach(member, heads, ["family", "d1", "d2"], F.col("doc"), "inner").select(F.col("doc").alias("u"), F.col("head").alias("v"))
-    several = heads.groupBy("family").agg(F.count("*").alias("c")).where("c > 1").select("family", F.ceil(F.col("c") / ROW_BLOCK).cast("int").alias("blocks"))
-    wanted = stash(attach(heads, several, ["family"], F.col("head"), "inner").withColumnRenamed("head", "doc"), "wanted")
+    member = stash(known.join(families, "doc"), "members")
+    heads = stash(member.groupBy("family", "d1", "d2").agg(F.min("doc").alias("head"), F.max("n").alias("n")), "heads")
+    same = attach(member.drop("n"), heads.drop("n"), ["family", "d1", "d2"], F.col("doc"), "inner").select(F.col("doc").alias("u"), F.col("head").alias("v"))
+    blocks_of = F.greatest(F.ceil(F.col("c") / ROW_BLOCK), F.ceil(F.col("total") / BLOCK_NGRAMS)).cast("int")
+    several = heads.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1").select("family", blocks_of.alias("blocks"))
+    wanted = stash(attach(heads.drop("n"), several, ["family"], F.col("head"), "inner").withColumnRenamed("head", "doc"), "wanted")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames, "text", 4_000_000):
@@ -345,16 +352,29 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     texts = near.join(wanted, "doc").select("family", "blocks", "doc", "d1", "d2", "text")
     links = _row_block_links(texts.mapInPandas(sets, "family long, blocks int, doc long, shingles binary"), percent)
     found = components(same.unionByName(links), "u", "v")
-    out = keyed.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    out = facts.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(docs.schema[id_col].dataType).alias("component_id"))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row_number``, the same whenever it is read: by place in its files if it is read from Parquet files, else
+    by place in a written copy."""
+    try:
+        placed = docs.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return stash(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
+    files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+    index = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "_file string, _index long")
+    number = F.shiftleft("_index", 40).bitwiseOR(F.col("_at"))
+    return placed.join(F.broadcast(index), "_file").select(*docs.columns, number.alias("_row_number"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of linked rows: that with the smallest id, a null id last, of equal ids any.
 
     Every row is decided on its own text: ids may repeat or be null. Rows without words all stay.
     """
-    rows = stash(docs.withColumn("_row_number", F.monotonically_increasing_id()), "numbered")
+    rows = numbered_rows(docs)
     found = stash(jaccard_components(rows, width, percent, "_row_number", text_col).select("_row_number", "component_id"), "groups")
     # only rows of groups of several are looked at; those that go are fewer than those that stay
     several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
