@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.arrays import afirst, alast, amean, astd, clamped_delta
-from wattline.functions.ranking import top_per_group
+from wattline.functions.ranking import global_rank, top_per_group
+from wattline.sources.sinks import written
 
 TIME_FEATURES = ("hour_sin", "hour_cos", "dow_sin", "dow_cos")
 
@@ -57,10 +59,117 @@ def vector_parts(node_windows: DataFrame, axis_windows: DataFrame, version: str,
     return by_node.unionByName(by_axis).select("t_start", "c.*")
 
 
-def collect_vectors(parts: DataFrame, key: str = "t_start") -> DataFrame:
-    """One dense vector per window (as wide as the graph has nodes)."""
-    cells = F.sort_array(F.collect_list(F.struct("part", "idx", "v")))
-    return parts.groupBy(key).agg(cells.alias("_c")).select(key, F.col("_c.v").alias("vec"))
+#: Windows and nodes of one piece of a vector table: a piece is a small dense matrix.
+WINDOW_BLOCK, NODE_BLOCK = 256, 4096
+#: Neighbouring node blocks whose products are added up in one task before anything is emitted.
+BLOCKS_TOGETHER = 16
+
+
+def vector_columns(parts: DataFrame) -> DataFrame:
+    """(part, idx, i): the columns of a vector table and their place ``i`` (from 0), ordered by part, then idx."""
+    ranked = global_rank(parts.select("part", "idx").distinct(), [F.asc("part"), F.asc("idx")], "_at")
+    return ranked.select("part", "idx", (F.col("_at") - 1).alias("i"))
+
+
+def numbered_vectors(parts: DataFrame, key: str = "t_start") -> DataFrame:
+    """Vectors in long form, ``(key, i, v)``; no row is as wide as the graph."""
+    return parts.join(vector_columns(parts), ["part", "idx"]).select(key, "i", "v")
+
+
+def _vector_pieces(parts: DataFrame) -> DataFrame:
+    """(rb, part, nb, ids, cols, m): dense matrices of up to ``WINDOW_BLOCK`` windows by ``NODE_BLOCK`` columns of a part."""
+    cells = parts.select(F.col("id").cast("long").alias("id"), "part", F.col("idx").cast("long").alias("idx"), F.col("v").cast("double").alias("v"))
+    cells = cells.withColumns({"rb": F.floor(F.col("id") / WINDOW_BLOCK), "nb": F.floor(F.col("idx") / NODE_BLOCK)})
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        ids, row = np.unique(frame["id"].to_numpy(), return_inverse=True)
+        cols, col = np.unique(frame["idx"].to_numpy(), return_inverse=True)
+        m = np.zeros((len(ids), len(cols)))
+        m[row, col] = np.nan_to_num(frame["v"].to_numpy(np.float64, na_value=0.0))
+        return pd.DataFrame({"rb": [key[0]], "part": [key[1]], "nb": [key[2]], "ids": [ids], "cols": [cols.tobytes()], "m": [m.tobytes()]})
+
+    return cells.groupBy("rb", "part", "nb").applyInPandas(pack, "rb long, part int, nb long, ids array<long>, cols binary, m binary")
+
+
+def _cells(row, ids: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """A piece on the rows ``ids`` and the columns ``cols``; cells that it lacks are 0."""
+    out = np.zeros((len(ids), len(cols)))
+    if row is not None:
+        own = np.frombuffer(row.cols, np.int64)
+        out[np.ix_(np.searchsorted(ids, row.ids), np.searchsorted(cols, own))] = np.frombuffer(row.m, np.float64).reshape(-1, len(own))
+    return out
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs of rows; columns are centred first, which keeps digits."""
+    mean = b.mean(axis=0)
+    a, b = a - mean, b - mean
+    return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+
+
+def knn_long(queries: DataFrame, pool: DataFrame, k: int, strictly_before: bool = False) -> DataFrame:
+    """``knn`` for vectors in long form, ``(id, part, idx, v)``: ``(q_id, p_id, dist, rank)``.
+
+    Windows are cut into blocks and so are the nodes of each part. A task multiplies two blocks of windows over neighbouring
+    blocks of nodes and adds the products up; these partial sums are added per pair of window blocks before the top-k is
+    taken, so no row, group or task is as wide as the graph. Cells that a window lacks count as 0. Block pairs that hold no
+    earlier window are never formed with ``strictly_before``.
+    """
+    q = written(_vector_pieces(queries), "pieces")
+    p = q if pool is queries else written(_vector_pieces(pool), "pieces")
+    q_blocks, p_blocks = (_block_ids(side).select(F.col("rb").alias(f"{n}b"), F.col("ids").alias(f"{n}_ids")) for n, side in (("q", q), ("p", p)))
+    # a few hundred ids per block; which blocks meet is a table of its own
+    listed = q_blocks.withColumn("_ps", p_blocks.agg(F.collect_list("pb")).scalar()).select("qb", "q_ids", F.explode("_ps").alias("pb"))
+    listed = listed.where("pb <= qb") if strictly_before else listed
+    pairs = listed.join(p_blocks, "pb")
+    group = F.floor(F.col("nb") / BLOCKS_TOGETHER).alias("ng")
+    sides = [side.withColumnRenamed("rb", name).join(pairs, name).select("qb", "pb", "part", group, "nb", F.lit(k).alias("side"), "ids", "cols", "m", "q_ids", "p_ids") for k, (name, side) in enumerate((("qb", q), ("pb", p)))]
+    dealt = sides[0].unionByName(sides[1]).repartition("qb", "pb", "part", "ng").sortWithinPartitions("qb", "pb", "part", "ng", "nb", "side")
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for frame in frames for row in frame.itertuples(index=False))
+        for (qb, pb, _, _), mine in groupby(rows, key=lambda r: (r.qb, r.pb, r.part, r.ng)):
+            total = 0.0
+            for _, block in groupby(mine, key=lambda r: r.nb):
+                found = {r.side: r for r in block}
+                q_ids, p_ids = next((r.q_ids, r.p_ids) for r in found.values())
+                cols = np.unique(np.concatenate([np.frombuffer(r.cols, np.int64) for r in found.values()]))
+                total = total + _squares(_cells(found.get(0), q_ids, cols), _cells(found.get(1), p_ids, cols))
+            yield pd.DataFrame({"qb": [qb], "pb": [pb], "q_ids": [q_ids], "p_ids": [p_ids], "sums": [total.tobytes()]})
+
+    partial = dealt.mapInPandas(multiply, "qb long, pb long, q_ids array<long>, p_ids array<long>, sums binary")
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for frame in frames for row in frame.itertuples(index=False))
+        for _, mine in groupby(rows, key=lambda r: (r.qb, r.pb)):
+            total = 0.0
+            for r in mine:
+                total = total + np.frombuffer(r.sums, np.float64).reshape(len(r.q_ids), len(r.p_ids))
+            row, at, dist = nearest_cells(total, r.q_ids, r.p_ids, k, strictly_before)
+            yield pd.DataFrame({"q_id": r.q_ids[row], "p_id": r.p_ids[at], "dist": dist})
+
+    found = partial.repartition("qb", "pb").sortWithinPartitions("qb", "pb").mapInPandas(best, "q_id long, p_id long, dist double")
+    return top_per_group(found, ["q_id"], [F.asc("dist"), F.asc("p_id")], k)
+
+
+def _block_ids(pieces: DataFrame) -> DataFrame:
+    """(rb, ids): the windows of each block in order, ``WINDOW_BLOCK`` at most."""
+    return pieces.select("rb", F.explode("ids").alias("id")).groupBy("rb").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+
+
+def nearest_cells(dist: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, strictly_before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance rounded to 6 places) of the k nearest pool rows per query, ties to the earlier column."""
+    dist = np.maximum(dist, 0.0).round(6)
+    if strictly_before:
+        dist[p_ids[None, :] >= q_ids[:, None]] = np.inf
+    width = min(k, dist.shape[1])
+    limit = np.partition(dist, width - 1, axis=1)[:, width - 1 : width]
+    rows, at = np.nonzero((dist <= limit) & np.isfinite(dist))
+    order = np.lexsort((at, dist[rows, at], rows))
+    rows, at = rows[order], at[order]
+    starts = np.searchsorted(rows, np.arange(len(q_ids)))
+    keep = np.arange(len(rows)) - starts[rows] < k
+    return rows[keep], at[keep], dist[rows[keep], at[keep]]
 
 
 def knn(
@@ -102,18 +211,9 @@ def knn(
         right = right.sort_values("p_id")
         a, b = np.stack(left["q_vec"].to_numpy()), np.stack(right["p_vec"].to_numpy())
         q_ids, p_ids = left["q_id"].to_numpy(), right["p_id"].to_numpy()
-        dist = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0).round(6)
-        if strictly_before:
-            dist[p_ids[None, :] >= q_ids[:, None]] = np.inf
-        width = min(k, dist.shape[1])
-        limit = np.partition(dist, width - 1, axis=1)[:, width - 1 : width]
-        rows, at = np.nonzero((dist <= limit) & np.isfinite(dist))
-        order = np.lexsort((at, dist[rows, at], rows))
-        rows, at = rows[order], at[order]
-        starts = np.searchsorted(rows, np.arange(len(q_ids)))
-        keep = np.arange(len(rows)) - starts[rows] < k
-        rows, at = rows[keep], at[keep]
-        out = pd.DataFrame({"q_id": q_ids[rows], "p_id": p_ids[at], "dist": dist[rows, at]})
+        dist = _squares(a, b)
+        rows, at, dist = nearest_cells(dist, q_ids, p_ids, k, strictly_before)
+        out = pd.DataFrame({"q_id": q_ids[rows], "p_id": p_ids[at], "dist": dist})
         for g in keys:
             out[g] = left[g].iloc[0]
         return out[cols]
@@ -167,6 +267,17 @@ def history_facts(windows: DataFrame) -> DataFrame:
     return windows.select(*out)
 
 
+def retrieved_rows(neighbours: DataFrame, windows: DataFrame) -> DataFrame:
+    """Each neighbour (q_t, p_t, …) with the rows (p_t, node_idx, …) of its window.
+
+    Both sides are dealt by (p_t, block of nodes), so a window of many nodes is as many keys as it has blocks. Which blocks a
+    window has is a small table of its own.
+    """
+    blocked = windows.withColumn("_nb", F.floor(F.col("node_idx") / NODE_BLOCK))
+    blocks = blocked.select("p_t", "_nb").distinct()
+    return neighbours.join(blocks, "p_t").join(blocked, ["p_t", "_nb"]).drop("_nb")
+
+
 def diff_features(neighbours: DataFrame, facts: DataFrame, query_facts: DataFrame | None = None) -> DataFrame:
     """Current minus mean of the retrieved windows, per (window, node), rounded half-even to 4 places.
 
@@ -175,7 +286,7 @@ def diff_features(neighbours: DataFrame, facts: DataFrame, query_facts: DataFram
     """
     query_facts = facts if query_facts is None else query_facts
     fields = ["occ", "temp", "price", *DIFF_ALIASES]
-    past = neighbours.join(facts.withColumnRenamed("t_start", "p_t"), "p_t").groupBy("q_t", "node_idx").agg(
+    past = retrieved_rows(neighbours, facts.withColumnRenamed("t_start", "p_t")).groupBy("q_t", "node_idx").agg(
         F.count(F.lit(1)).alias("retrieved"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_{c}") for c in fields]
     )
     now = query_facts.withColumnRenamed("t_start", "q_t")

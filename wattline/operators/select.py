@@ -12,6 +12,7 @@ from wattline.functions.arrays import afirst, alast, amean, astd, clamped_delta,
 from wattline.functions.blocks import framed
 from wattline.functions.quantile import exact_quantiles
 from wattline.functions.ranking import global_rank, top_per_group
+from wattline.operators.retrieval import retrieved_rows
 
 NOISE = 9  # ranking keys are rounded, so that float noise does not order equal windows
 
@@ -94,7 +95,7 @@ def trend_columns(x: Column) -> list[Column]:
 def retrieved_trends(windows: DataFrame, neighbours: DataFrame) -> DataFrame:
     """Mean level and trend of the retrieved windows per (window, node)."""
     base = windows.select("t_start", "node_idx", *trend_columns(F.col("x_hist")), amean(F.col("x_hist")).alias("mean"))
-    past = neighbours.select("q_t", "p_t").join(base.withColumnRenamed("t_start", "p_t"), "p_t")
+    past = retrieved_rows(neighbours.select("q_t", "p_t"), base.withColumnRenamed("t_start", "p_t"))
     out = past.groupBy(F.col("q_t").alias("t_start"), "node_idx").agg(*[F.avg(c).alias(f"retrieved_{c}") for c in ("last_value", "short_slope", "medium_slope", "mean")])
     return out.withColumn("retrieved_trend_label", trend_label(F.col("retrieved_short_slope"), F.col("retrieved_medium_slope")))
 

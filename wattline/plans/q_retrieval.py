@@ -17,7 +17,7 @@ for _key, _version in (("vec_legacy", "legacy"), ("vec_shape", "shape"), ("vec_c
         f"SELECT t_start, row_number() OVER (PARTITION BY t_start ORDER BY part, idx) - 1 AS i, v FROM ({vectors_sql(_version)})",
     )
     def _(fx, _version=_version):
-        return retrieval.collect_vectors(fx.vector_parts(_version)).select("t_start", F.posexplode("vec").alias("i", "v"))
+        return retrieval.numbered_vectors(fx.vector_parts(_version))
 
 
 def _knn_sql(k: int, condition: str, extra: str = "") -> str:
@@ -35,6 +35,18 @@ def _(fx):
     return retrieval.knn(fx.vectors.where("label >= 5"), fx.vectors.where("label < 5"), 5)
 
 
+@query(
+    "knn_windows",
+    _KNN,
+    f"""WITH v AS MATERIALIZED (SELECT t_start, part, idx, v FROM ({vectors_sql('shape')}))
+SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY dist, p_id) AS rank FROM (SELECT q.t_start AS q_id, p.t_start AS p_id, round(sum((q.v - p.v) * (q.v - p.v)), 6) AS dist
+FROM v q JOIN v p ON q.part = p.part AND q.idx = p.idx AND p.t_start < q.t_start GROUP BY ALL) QUALIFY rank <= 3""",
+)
+def _(fx):
+    parts = fx.vector_parts("shape").withColumnRenamed("t_start", "id")
+    return retrieval.knn_long(parts, parts, 3, strictly_before=True)
+
+
 @query("knn_asof_join", _KNN, _knn_sql(3, "p.vec_id < q.vec_id"))
 def _(fx):
     return retrieval.knn(fx.vectors, fx.vectors, 3, strictly_before=True)

@@ -110,6 +110,10 @@ def _rows(fx):
     w = w.withColumn("aux_text", text.aux_block(["temperature", "humidity"])).withColumn("long_text", text.long_history_block(F.col("x_context"), F.col("profile.series_label"), recent=F.col("x_hist")))
     nbr = graph.neighbour_mean(graph.topk_neighbours(fx.user_edges, 7), fx.load_norm, "node_idx", "t_idx", "value")
     w = w.join(nbr.select("node_idx", (F.col("t_idx") + 1).alias("t_start"), "nbr"), ["node_idx", "t_start"], "left")
+    # the candidate that the refining modes speak of: the last day again
+    x = F.col("x_hist")
+    w = w.withColumn("_cand", F.array(*[x[i] for i in (8, 9, 10, 11, 8, 9)]))
+    w = w.withColumn("candidate_text", text.candidate_block(F.col("_cand"), select.refine_mask(F.col("_cand")))).drop("_cand")
     n = fx.neighbours
     diffs = retrieval.diff_features(n, fx.facts)
     diffs = diffs.select("t_start", "node_idx", "diff_occ", text.diff_block(nd_fields()).alias("diff_text"))

@@ -441,8 +441,8 @@ class Fixtures:
     def neighbours(self) -> DataFrame:
         from wattline.operators import retrieval
 
-        vecs = retrieval.collect_vectors(self.vector_parts("legacy")).select(F.col("t_start").alias("id"), "vec")
-        found = retrieval.knn(vecs, vecs, 3, strictly_before=True, last_id=self.n_steps)
+        parts = self.vector_parts("legacy").withColumnRenamed("t_start", "id")
+        found = retrieval.knn_long(parts, parts, 3, strictly_before=True)
         return found.select(F.col("q_id").alias("q_t"), F.col("p_id").alias("p_t"), "rank", "dist")
 
     @cached_property
