@@ -254,8 +254,11 @@ def zone_from_flag(flag: Column) -> Column:
 
 
 def validate(df: DataFrame, keys: Sequence[str], value: str, required: Sequence[str], n_time: int | None = None,
-             n_nodes: int | None = None, strict: bool = False) -> DataFrame:
-    """Rows ``(check, found, ok)``; with ``strict`` a failed check raises when the plan runs."""
+             n_nodes: int | None = None, strict: bool = False, split: str | None = None) -> DataFrame:
+    """Rows ``(check, found, ok)``; with ``strict`` a failed check raises when the plan runs.
+
+    ``split`` names a column: the share of missing values is then also given for each of its values.
+    """
     checks = [("missing_column:" + c, F.lit(0 if c in df.columns else 1).cast("double"), F.lit(c in df.columns)) for c in required]
     stats = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -269,6 +272,9 @@ def validate(df: DataFrame, keys: Sequence[str], value: str, required: Sequence[
     if n_nodes is not None and n_time is not None:
         rows.append(F.struct(F.lit("cell_count").alias("check"), F.col("n").cast("double").alias("found"), (F.col("n") == n_nodes * n_time).alias("ok")))
     out = stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    if split is not None:
+        shares = df.groupBy(split).agg(F.avg(F.col(value).isNull().cast("double")).alias("found"))
+        out = out.unionByName(shares.select(F.concat(F.lit("null_share:"), F.col(split)).alias("check"), "found", (F.col("found") == 0).alias("ok")))
     if strict:
         out = out.withColumn("ok", F.when(F.col("ok"), F.col("ok")).otherwise(F.raise_error(F.concat(F.lit("failed check: "), "check")).cast("boolean")))
     return out

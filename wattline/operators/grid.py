@@ -54,13 +54,28 @@ def infer_step_mode(df: DataFrame, keys: Sequence[str], ts: str, bucket_s: int =
     return best.select(F.coalesce("step_s", F.lit(default_s)).alias("step_s"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def time_axis(keys: DataFrame, ts: str, lo: Column, hi: Column, step: str, together: int = 96) -> DataFrame:
+    """Every row of ``keys`` with each time ``lo``, ``lo + step``, … up to ``hi``.
+
+    Made in two levels, starts of ``together`` steps and then the steps themselves, so no array is as long as the axis. ``step``
+    is an interval of days or less.
+    """
+    if any(unit in step.lower() for unit in ("month", "year")):
+        raise ValueError(f"a step of {step!r} has no fixed length")
+    epoch, length = "timestamp_ntz'1970-01-01 00:00:00'", F.expr(f"interval {step}")
+    step_us = F.expr(f"timestampdiff(MICROSECOND, {epoch}, {epoch} + interval {step})")
+    last = F.floor(F.timestamp_diff("MICROSECOND", lo, hi) / step_us).cast("long")
+    starts = keys.withColumn("_last", last).where("_last >= 0").withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("_last"), F.lit(0)), F.lit(together).cast("long"))))
+    steps = starts.withColumn("_i", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + together - 1, F.col("_last")))))
+    return steps.withColumn(ts, lo + length * F.col("_i")).drop("_last", "_start", "_i")
+
+
 def reindex_grid(df: DataFrame, key: str, ts: str, step: str, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
     """Complete every key onto one regular grid from the first to the last timestamp (or given bounds)."""
     if lo is None or hi is None:
         b = df.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi")).alias("b")).scalar()
         lo, hi = b["lo"], b["hi"]
-    grid = df.select(key).distinct().withColumn(ts, F.explode(F.sequence(lo, hi, F.expr(f"interval {step}"))))
-    return grid.join(df, [key, ts], "left")
+    return time_axis(df.select(key).distinct(), ts, lo, hi, step).join(df, [key, ts], "left")
 
 
 def resample_mean(df: DataFrame, keys: Sequence[str], ts: str, value: str, width: str = "15 minutes") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.blocks import BLOCK, prev_row, row_index
+from wattline.functions.calendar import from_seconds, seconds
 from wattline.functions.quantile import exact_quantiles
 
 
@@ -48,6 +49,26 @@ def missing_ranges(long: DataFrame, keys: Sequence[str], pos: str, ts: str, valu
     ).drop("_run")
 
 
+def missing_times(df: DataFrame, keys: Sequence[str], pos: str, ts: str, filled_ts: str, width: int = BLOCK) -> DataFrame:
+    """Runs of consecutive rows without a timestamp; their bounds are those of ``filled_ts`` (see ``infer_grid``)."""
+    return missing_ranges(df.withColumn("_known", F.col(ts)).withColumn(ts, F.col(filled_ts)), keys, pos, ts, "_known", width)
+
+
+def absent_times(df: DataFrame, keys: Sequence[str], ts: str, bucket_s: int = 30 * 86400) -> DataFrame:
+    """Runs of grid times between a key's first and last row that no row holds: ``n_missing``, ``ts_start``, ``ts_end``.
+
+    The step is the key's median gap. Runs come from the gaps between neighbouring rows, so the grid itself is never made.
+    """
+    known = df.where(F.col(ts).isNotNull()).select(*keys, seconds(F.col(ts)).alias("_sec")).distinct()
+    gaps = prev_row(known, keys, "_sec", F.floor(F.col("_sec") / bucket_s), ["_sec"])
+    gaps = gaps.where(F.col("_sec_before").isNotNull()).withColumn("_gap", F.col("_sec") - F.col("_sec_before"))
+    wide = gaps.join(exact_quantiles(gaps, keys, "_gap", {"_step": 0.5}), list(keys)).withColumn("n_missing", (F.ceil(F.col("_gap") / F.col("_step")) - 1).cast("long"))
+    start = F.col("_sec_before") + F.col("_step")
+    return wide.where("n_missing > 0").select(
+        *keys, "n_missing", from_seconds(start).alias("ts_start"), from_seconds(F.col("_sec_before") + F.col("_step") * F.col("n_missing")).alias("ts_end")
+    )
+
+
 def daily_completeness(df: DataFrame, keys: Sequence[str], day: str, columns: Sequence[str]) -> DataFrame:
     """Days that hold fewer values than rows, per column."""
     counts = df.groupBy(*keys, day).agg(*[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in columns])

@@ -402,10 +402,12 @@ def _(fx):
 @query(
     "node_align",
     "node_idx:i nation:s balance:f",
-    "SELECT u.node_idx, m.nation, m.balance FROM users u LEFT JOIN (SELECT * FROM user_nodes WHERE balance > 0) m USING (node_idx)",
+    "SELECT u.node_idx, m.nation, m.balance FROM users u LEFT JOIN (SELECT nation, balance, CASE WHEN balance > 0 THEN node_idx ELSE -1 - node_idx END AS node_idx FROM user_nodes) m USING (node_idx)",
 )
 def _(fx):
-    return fx.users.join(fx.user_nodes.where("balance > 0"), "node_idx", "left").select("node_idx", "nation", "balance")
+    # nodes with a debt go by another key, so that some are missing
+    meta = fx.user_nodes.withColumn("node_idx", F.when(F.col("balance") > 0, F.col("node_idx")).otherwise(-1 - F.col("node_idx")))
+    return nd.align_nodes(fx.users, meta.select("node_idx", "nation", "balance"), "node_idx")
 
 
 @query("node_static_context", "node_idx:i node_id:s zone_type:s capacity:f area:f",
@@ -487,6 +489,8 @@ def _(fx):
 SELECT '{stage}' AS stage, 'missing_column:value' AS check_name, 0 AS found, 1 AS ok
 UNION ALL SELECT '{stage}', 'missing_column:price', 1, 0
 UNION ALL SELECT '{stage}', 'null_share', avg(CAST(value IS NULL AS DOUBLE)), CAST(count(*) = count(value) AS INT) FROM {table}
+UNION ALL SELECT '{stage}', 'null_share:' || split, avg(CAST(value IS NULL AS DOUBLE)), CAST(count(*) = count(value) AS INT)
+  FROM (SELECT value, CASE WHEN t_idx < floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN t_idx < floor(n * CAST(0.8 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM {table}, (SELECT max(t_idx) + 1 AS n FROM {table})) GROUP BY split
 UNION ALL SELECT '{stage}', 'node_count', count(DISTINCT node_idx), CAST(count(DISTINCT node_idx) = 247 AS INT) FROM {table}
 UNION ALL SELECT '{stage}', 'cell_count', count(*), CAST(count(*) = 247 * 8640 AS INT) FROM {table} """
         for stage, table in (("raw", "load_raw"), ("filled", "load_fill"))
@@ -495,7 +499,8 @@ UNION ALL SELECT '{stage}', 'cell_count', count(*), CAST(count(*) = 247 * 8640 A
 def _(fx):
     out = None
     for stage, df in (("raw", fx.load_raw), ("filled", fx.load_fill)):
-        rows = clean.validate(df, ["node_idx"], "value", ["value", "price"], n_time=8640, n_nodes=247)
+        parted = splits.split_ratio(df, "t_idx", df.agg(F.max("t_idx") + 1).scalar(), (0.6, 0.2, 0.2))
+        rows = clean.validate(parted, ["node_idx"], "value", ["value", "price"], n_time=8640, n_nodes=247, split="split")
         rows = rows.select(F.lit(stage).alias("stage"), F.col("check").alias("check_name"), "found", "ok")
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattline.functions.arrays import clip
-from wattline.operators import metrics, quality
+from wattline.operators import grid, metrics, quality
 from wattline.plans.fixtures_sql import day_metrics_sql
 from wattline.plans.registry import query
 from wattline.sources.fixtures import MARKET_COLUMNS, PRICE_CAP, PRICE_FLOOR
@@ -15,14 +15,16 @@ from wattline.sources.fixtures import MARKET_COLUMNS, PRICE_CAP, PRICE_FLOOR
     "zone_aggregate",
     "zone:s s_acctbal:f suppkeys:i station_count:i",
     """
-SELECT n_name AS zone, avg(s_acctbal) AS s_acctbal, sum(s_suppkey) AS suppkeys, coalesce(count(s_suppkey), 0) AS station_count FROM nation
-LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY n_name HAVING count(s_suppkey) > 0
-UNION ALL SELECT n_name, NULL, 0, 0 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0)""",
+SELECT n_name AS zone, avg(s_acctbal) AS s_acctbal, sum(s_suppkey) AS suppkeys, count(*) AS station_count FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name
+UNION ALL SELECT n_name, NULL, 0, 0 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT 'beyond ' || n_name, NULL, 0, 0 FROM nation""",
 )
 def _(fx):
     zones = fx.table("nation").select("n_nationkey", F.col("n_name").alias("zone"))
-    s = fx.table("supplier").where("s_acctbal > 0").join(zones, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("suppkeys", F.col("s_suppkey"))
-    out = metrics.zone_aggregate(s, "zone", ["s_acctbal"], ["suppkeys"], zones.select("zone"))
+    s = fx.table("supplier").join(zones, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("suppkeys", F.col("s_suppkey"))
+    # every second zone has no station
+    listed = zones.select(F.explode(F.array("zone", F.concat(F.lit("beyond "), "zone"))).alias("zone"))
+    out = metrics.zone_aggregate(s, "zone", ["s_acctbal"], ["suppkeys"], listed)
     return out.fillna(0, ["suppkeys", "station_count"])
 
 
@@ -223,6 +225,7 @@ def _(fx):
 
 # --- data quality ---
 _CUT = "2024-01-21"
+_NO_TIME = "pos % 50 BETWEEN 3 AND 5"
 _STATS = "SELECT feature, median(value) AS mid FROM {src} WHERE day < DATE '%s' AND value IS NOT NULL GROUP BY feature" % _CUT
 
 
@@ -272,14 +275,32 @@ def _(fx):
     "missing_ranges",
     "series:s feature:s n_missing:i row_start:i row_end:i ts_start:t ts_end:t",
     f"""
-WITH l AS ({" UNION ALL ".join(f"SELECT series, pos, ts, '{c}' AS feature FROM market_raw WHERE {c} IS NULL AND day >= DATE '{_CUT}'" for c in MARKET_COLUMNS)})
+WITH l AS ({" UNION ALL ".join(f"SELECT series, pos, ts, '{c}' AS feature FROM market_raw WHERE {c} IS NULL AND day >= DATE '{_CUT}'" for c in MARKET_COLUMNS)}
+  UNION ALL SELECT series, pos, ts, 'ts' FROM market_raw WHERE {_NO_TIME} AND day >= DATE '{_CUT}')
 SELECT series, feature, count(*) AS n_missing, min(pos) AS row_start, max(pos) AS row_end, min(ts) AS ts_start, max(ts) AS ts_end
 FROM (SELECT *, pos - row_number() OVER (PARTITION BY series, feature ORDER BY pos) AS run FROM l) GROUP BY series, feature, run""",
 )
 def _(fx):
-    late = fx.market_raw.where(F.col("day") >= F.lit(_CUT).cast("date"))
-    long = late.unpivot(["series", "pos", "ts"], MARKET_COLUMNS, "feature", "value")
-    return quality.missing_ranges(long, ["series", "feature"], "pos", "ts", "value")
+    # the axis has holes; its times come back from the grid that the others lie on
+    holes = fx.market_raw.withColumn("ts", F.when(~F.expr(_NO_TIME), F.col("ts")))
+    timed = grid.infer_grid(holes, ["series"], "pos", "ts")
+    late = timed.where(F.col("day") >= F.lit(_CUT).cast("date"))
+    long = late.withColumn("ts_known", F.col("ts").isNotNull().cast("int")).unpivot(["series", "pos", "ts_known", "filled_ts"], MARKET_COLUMNS, "feature", "value")
+    values = quality.missing_ranges(long, ["series", "feature"], "pos", "filled_ts", "value")
+    times = quality.missing_times(late, ["series"], "pos", "ts", "filled_ts").withColumn("feature", F.lit("ts"))
+    return values.unionByName(times)
+
+
+@query(
+    "absent_times",
+    "series:s n_missing:i ts_start:t ts_end:t",
+    f"""
+WITH have AS (SELECT series, ts FROM market_raw WHERE NOT ({_NO_TIME})), gone AS (SELECT series, pos, ts FROM market_raw WHERE {_NO_TIME})
+SELECT series, count(*) AS n_missing, min(ts) AS ts_start, max(ts) AS ts_end FROM (SELECT *, pos - row_number() OVER (PARTITION BY series ORDER BY pos) AS run FROM gone) g
+GROUP BY series, run HAVING min(ts) > (SELECT min(ts) FROM have h WHERE h.series = g.series) AND max(ts) < (SELECT max(ts) FROM have h WHERE h.series = g.series)""",
+)
+def _(fx):
+    return quality.absent_times(fx.market_raw.where(~F.expr(_NO_TIME)), ["series"], "ts")
 
 
 @query(

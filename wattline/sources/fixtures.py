@@ -85,9 +85,9 @@ class Fixtures:
         grid = (
             seen.select("series")
             .distinct()
-            .withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), (self.n_days * 96 - 1).cast("long"))))
-            .withColumn("day", F.date_add(self.day_lo, F.floor(F.col("pos") / 96).cast("int")))
-            .withColumn("slot", F.col("pos") % 96)
+            .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), (self.n_days - 1).cast("long"))))
+            .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(95).cast("long"))))
+            .select("series", (F.col("_d") * 96 + F.col("slot")).alias("pos"), F.date_add(self.day_lo, F.col("_d").cast("int")).alias("day"), "slot")
         )
         return grid.join(seen, ["series", "day", "slot"], "left").select(
             "series",

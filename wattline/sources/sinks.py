@@ -90,23 +90,43 @@ def stored_parameters(spark: SparkSession, path: str) -> str | None:
     return row[0] if row else None
 
 
-def sink_retrieval(entries: DataFrame, path: str, per_file: int = 25_000, parameters: Mapping[str, object] | None = None) -> None:
-    """Entries in files of at most ``per_file`` rows, and then the parameters they were made with."""
-    entries.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(f"{path}/entries")
+POINTER = "seq bigint, version string, parameters string"
+
+
+def sink_retrieval(entries: DataFrame, path: str, per_file: int = 25_000, parameters: Mapping[str, object] | None = None) -> str:
+    """Publish entries in files of at most ``per_file`` rows, with the parameters they were made with; the version's name.
+
+    Entries go to a folder of their own; then one row is appended to the pointers, and readers follow the last one. A write
+    that stops before that row changes nothing for them, and nothing that they may be reading is overwritten.
+    """
+    spark, version = entries.sparkSession, uuid.uuid4().hex
+    entries.write.option("maxRecordsPerFile", per_file).parquet(f"{path}/versions/{version}")
     row = json.dumps(dict(sorted((parameters or {}).items())), sort_keys=True)
-    entries.sparkSession.range(1).select(F.lit(row).alias("value")).write.mode("overwrite").text(f"{path}/parameters")
+    last = _last_pointer(spark, path)
+    pointer = spark.createDataFrame([((last["seq"] if last else 0) + 1, version, row)], POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{path}/pointers")
+    return version
+
+
+def _last_pointer(spark: SparkSession, path: str):
+    try:
+        return spark.read.schema(POINTER).json(f"{path}/pointers").orderBy(F.desc("seq"), F.desc("version")).first()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def scan_retrieval(spark: SparkSession, path: str, parameters: Mapping[str, object] | None = None) -> DataFrame:
-    """The stored entries; an error names the first parameter that differs from the wanted ones."""
-    stored = stored_parameters(spark, path)
-    if stored is None:
+    """The entries published last; an error names the first parameter that differs from the wanted ones."""
+    last = _last_pointer(spark, path)
+    if last is None:
         raise ValueError(f"no finished retrieval store under {path}")
-    held = json.loads(stored)
+    held = json.loads(last["parameters"])
     for name, value in sorted((parameters or {}).items()):
         if held.get(name) != value:
             raise ValueError(f"retrieval store was made with {name}={held.get(name)!r}, wanted {value!r}")
-    return spark.read.parquet(f"{path}/entries")
+    return spark.read.parquet(f"{path}/versions/{last['version']}")
 
 
 def sink_report(df: DataFrame, path: str) -> None:
