@@ -98,3 +98,27 @@ def test_missing_ranges_join_across_blocks(spark):
     df = spark.createDataFrame([("a", i, None if i in (0, 4, 5, 6, 9) else 1.0) for i in range(12)], "k string, i long, v double").withColumn("ts", F.col("i"))
     runs = {(r.row_start, r.row_end): r.n_missing for r in quality.missing_ranges(df, ["k"], "i", "ts", "v", width=2).collect()}
     assert runs == {(0, 0): 1, (4, 6): 3, (9, 9): 1}
+
+
+def test_quantiles_of_values_in_a_narrow_range(spark, monkeypatch):
+    """10^5 distinct values within 0.1 %: no task sorts them all, and the ranks are exact, also beside a second group."""
+    import numpy as np
+
+    from wattline.functions import quantile
+
+    n = 100_000
+    wide = [(-1) ** k * 10.0 ** (k % 7) for k in range(101)]
+    rows = spark.range(n).select(F.lit("narrow").alias("g"), (1000 + F.pmod(F.col("id") * 7919, F.lit(n)) / n).alias("v")).unionByName(spark.createDataFrame([("wide", x) for x in wide], "g string, v double"))
+    probs = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r.g: r for r in quantile.exact_quantiles(rows, ["g"], "v", probs).collect()}
+    values = {"narrow": 1000 + np.arange(n) / n, "wide": np.array(wide)}
+    for g, v in values.items():
+        assert all(abs(got[g][name] - np.quantile(v, p)) < 1e-9 * max(1, abs(np.quantile(v, p))) for name, p in probs.items())
+    # the bins that are sorted at the end are small
+    sizes = []
+    isempty = type(rows).isEmpty
+    monkeypatch.setattr(type(rows), "isEmpty", lambda self: sizes.append(self.agg(F.max("_k")).first()[0]) or isempty(self))
+    quantile.exact_quantiles(rows, ["g"], "v", probs).collect()
+    assert sizes[0] > quantile.SMALL and sizes[-1] is None and len(sizes) <= 4
+    alone = quantile.exact_quantiles(rows, [], "v", {"m": 0.5}).collect()
+    assert len(alone) == 1 and quantile.exact_quantiles(rows.limit(0), [], "v", {"m": 0.5}).count() == 0
