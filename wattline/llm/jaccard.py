@@ -8,8 +8,9 @@ k = floor((100 - percent) * (size_a + size_b) / (100 + percent)) n-grams.
    size-derived bound and is never formed; a pair that may link agrees in whole blocks. m depends on the size class of a
    document, and a document takes part in its own class and in the next larger one, so that any two sizes that may
    link meet in one class. Equal blocks are found by a range shuffle on (block digest, document), which parts even the
-   most frequent digest among tasks. m leaves a linked pair several agreeing blocks, so the documents of a rare
-   digest are tied only if they agree in that many; those of a frequent one are all tied to its smallest.
+   most frequent digest among tasks. m leaves a linked pair several agreeing blocks, so documents are tied only if
+   they may agree in that many. Pairs are counted within rare digests; of a frequent digest, only documents that have as
+   many frequent ones as a link asks for are tied, to the smallest of them.
 2. Row blocks. Documents so tied form families. The distinct n-gram sets of a family are cut into row blocks; each pair
    of row blocks is one small product of 0/1 matrices. Overlap counts are added up over tiles of columns; after each
    tile, pairs that can no longer reach the bound of their sizes are discarded, and the product ends when none is left.
@@ -39,7 +40,7 @@ COLUMN_TILE = 2048
 ID_HASHES = 1 << 20
 #: N-grams per row block, which bounds the memory of a product of long texts.
 BLOCK_NGRAMS = 1_000_000
-#: Documents of a digest up to which agreeing blocks are counted pair by pair; beyond it they are tied without a count.
+#: Documents of a rare digest at most, within which agreeing blocks are counted pair by pair.
 FEW = 16
 
 #: Low bits of a tag, for the number of digests to share.
@@ -194,74 +195,59 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
 def _ties(keyed: DataFrame) -> DataFrame:
     """(u, v): documents that may link, tied so that no two of them are left apart.
 
-    ``keyed``: (doc, keys, tags). The digests are sorted over all partitions, ties by document, so a frequent digest may
-    span several. Of a digest with up to ``FEW`` documents every pair is counted once; pairs that share as many digests of a
-    class as their tags ask for are tied. Of a larger one, or one that a partition's end may cut, all documents are tied to
-    the smallest; the ends of each partition are tied by a second, small table with one row per partition and end.
+    ``keyed``: (doc, keys, tags). The digests are sorted over all partitions, ties by document. Two linked sets share at
+    least as many digests of a class as their tags ask for (``need``). A digest is rare if it has ``FEW`` documents at most
+    and no partition's end may cut it, else frequent. Let f be the frequent digests a document has in the class. Linked
+    sets that share s rare digests share min(f, f') frequent ones at most, so s >= need - min(f, f'); these are
+    found by counting pairs. Linked sets that share none have need frequent digests each, at least one of them in
+    common; so of each frequent digest those documents are tied to the smallest of them.
     """
     rows = keyed.select("doc", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("tags").alias("tag"))).alias("x")).select("x.key", "doc", "x.tag")
     placed = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
 
     def tie(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key = first_doc = None
-        ends = []
-        waiting = None  # rows of the last digest of a batch
+        first = waiting = running = None  # the partition's first digest; rows of a batch's last one; a frequent one that goes on
         for frame in frames:
             if not len(frame):
                 continue
             frame = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
             key = frame["key"].to_numpy()
+            first = key[0] if first is None else first
             whole = int(np.searchsorted(key, key[-1]))  # rows before the last digest, of which more may follow
-            if not ends:
-                ends.append((int(key[0]), int(frame["doc"].iloc[0])))
-            if len(frame) - whole > FEW:  # a long digest is tied as it comes
+            if len(frame) - whole > FEW:  # a frequent digest is passed on as it comes
                 whole = len(frame)
             waiting = frame.iloc[whole:] if whole < len(frame) else None
             if whole:
-                found, last_key, first_doc = _tie_batch(frame.iloc[:whole], last_key, first_doc, ends[0][0])
-                yield from found
+                yield from _tie_batch(frame.iloc[:whole], (first, running))
+                running = key[whole - 1]
         if waiting is not None:
-            found, last_key, first_doc = _tie_batch(waiting, last_key, first_doc, int(waiting["key"].iloc[-1]))
-            yield from found
-        if ends:
-            ends.append((int(last_key), int(first_doc)))
-            yield _tie_frame([d for _, d in ends], [d for _, d in ends], edge=[k for k, _ in ends])
-
-    tied = stash(placed.mapInPandas(tie, "u long, v long, edge long, tag int").groupBy("u", "v", "edge", F.shiftright("tag", NEED_BITS).alias("class")).agg(F.count("*").alias("n"), F.max(F.col("tag").bitwiseAND(F.lit((1 << NEED_BITS) - 1))).alias("need")), "ties")
-    ends = tied.where(F.col("edge").isNotNull())
-    across = ends.groupBy("edge").agg(F.collect_set("u").alias("docs"), F.min("u").alias("v")).select(F.explode("docs").alias("u"), "v")
-    enough = F.col("edge").isNull() & (F.col("class").isNull() | (F.col("n") >= F.col("need")))
-    return tied.where(enough).select("u", "v").unionByName(across).where("u <> v").distinct()
-
-
-def _tie_frame(u, v, tag=None, edge=None) -> pd.DataFrame:
-    out = pd.DataFrame({"u": u, "v": v})
-    out["edge"] = pd.array([None] * len(out) if edge is None else edge, "Int64")
-    out["tag"] = pd.array([None] * len(out) if tag is None else tag, "Int32")
-    return out
-
-
-def _tie_batch(frame: pd.DataFrame, last_key, first_doc, cut) -> tuple[list[pd.DataFrame], int, int]:
-    """Ties of one batch of sorted rows; its last digest and the smallest document of it so far.
-
-    ``last_key``, ``first_doc``: those of the batch before, which the first digest may go on from. ``cut``: a digest that may
-    have more documents in another partition.
-    """
+            yield from _tie_batch(waiting, (first, waiting["key"].iloc[-1]))
+
+    mask = F.lit((1 << NEED_BITS) - 1)
+    found = placed.mapInPandas(tie, "u long, v long, key long, tag int").groupBy("u", "v", "key", F.shiftright("tag", NEED_BITS).alias("class"))
+    found = stash(found.agg(F.count("*").alias("n"), F.max(F.col("tag").bitwiseAND(mask)).alias("need")), "ties")
+    frequent = found.where("v is null").select(F.col("u").alias("doc"), "key", "class", "need")
+    f = stash(frequent.groupBy("doc", "class").agg(F.count("*").alias("f")), "frequent")
+    able = stash(frequent.join(f, ["doc", "class"]).where("f >= need").select("doc", "key"), "able")
+    stars = attach(able, able.groupBy("key").agg(F.min("doc").alias("v")), ["key"], F.col("doc"), "inner").select(F.col("doc").alias("u"), "v")
+    pairs = found.where("v is not null").join(f.select(F.col("doc").alias("u"), "class", F.col("f").alias("fu")), ["u", "class"], "left")
+    pairs = pairs.join(f.select(F.col("doc").alias("v"), "class", F.col("f").alias("fv")), ["v", "class"], "left")
+    enough = F.col("n") >= F.col("need") - F.least(F.coalesce("fu", F.lit(0)), F.coalesce("fv", F.lit(0)))
+    return pairs.where(enough).select("u", "v").unionByName(stars).where("u <> v").distinct()
+
+
+def _tie_batch(frame: pd.DataFrame, cut: tuple) -> Iterator[pd.DataFrame]:
+    """Pairs (u, v) within the rare digests of a batch of sorted rows, and rows (u, key) of the others; ``cut``: digests that are frequent anyway."""
     key, doc, tag = frame["key"].to_numpy(), frame["doc"].to_numpy(), frame["tag"].to_numpy()
-    new = np.append(True, key[1:] != key[:-1])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(at, len(key)))
-    head = np.repeat(doc[at], size)
     large = size > FEW
-    large[key[at] == cut] = True
-    if last_key is not None and key[0] == last_key:
-        head[: size[0]], large[0] = first_doc, True
-    found = []
+    for k in cut:
+        if k is not None:
+            large |= key[at] == k
     hot = np.repeat(large, size)
-    other = np.flatnonzero(hot & (head != doc))
-    if other.size:
-        pairs = np.unique(np.stack([doc[other], head[other]], axis=1), axis=0)
-        found.append(_tie_frame(pairs[:, 0], pairs[:, 1]))
+    if hot.any():
+        yield _tie_frame(doc[hot], None, key[hot], tag[hot])
     place = np.arange(len(key)) - np.repeat(at, size)
     for lag in range(1, FEW):
         j = np.flatnonzero((place >= lag) & ~hot)
@@ -269,8 +255,12 @@ def _tie_batch(frame: pd.DataFrame, last_key, first_doc, cut) -> tuple[list[pd.D
             break
         i = j - lag
         # the tags of one digest are of one class
-        found.append(_tie_frame(np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j]), tag=np.maximum(tag[i], tag[j])))
-    return found, key[-1], head[-1]
+        yield _tie_frame(np.maximum(doc[i], doc[j]), np.minimum(doc[i], doc[j]), None, np.maximum(tag[i], tag[j]))
+
+
+def _tie_frame(u, v, key, tag) -> pd.DataFrame:
+    none = pd.array([None] * len(u), "Int64")
+    return pd.DataFrame({"u": u, "v": none if v is None else v, "key": none if key is None else key, "tag": tag})
 
 
 def _row_block_links(sets: DataFrame, percent: int) -> DataFrame:
