@@ -49,3 +49,21 @@ def test_a_rewrite_that_stops_midway_leaves_the_old_store_whole(spark, tmp_path)
     assert sinks.scan_retrieval(spark, path, {"k": 2}).count() == 3 and reading.count() == 10
     with pytest.raises(ValueError, match="k=2"):
         sinks.scan_retrieval(spark, path, {"k": 1})
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_correlations_in_tiles(spark, monkeypatch, parts):
+    """23 nodes in several parts, 300 steps in many blocks: every pair as numpy has it, and the top k from the tiles."""
+    import numpy as np
+
+    monkeypatch.setattr(graph, "BLOCKS_TOGETHER", 3)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 23)) + rng.normal(size=(300, 23))
+    x[:, 22] = 5.0  # a constant node has no correlation
+    obs = spark.createDataFrame([(f"n{j:02d}", t, float(x[t, j])) for t in range(300) for j in range(23)], "n string, t int, v double")
+    want = np.abs(np.corrcoef(x[:, :22].T))
+    got = {(r.src, r.dst): r.weight for r in graph.corr_graph(obs, "n", "t", "v", rows_per_block=16, node_parts=parts).collect()}
+    assert len(got) == 22 * 21 and all(got[f"n{i:02d}", f"n{j:02d}"] == pytest.approx(want[i, j]) for i in range(22) for j in range(22) if i != j)
+    best = {(r.src, r["rank"]): r.dst for r in graph.corr_topk(obs, "n", "t", "v", 3, rows_per_block=16, node_parts=parts).collect()}
+    np.fill_diagonal(want, 0)
+    assert best == {(f"n{i:02d}", r + 1): f"n{j:02d}" for i in range(22) for r, j in enumerate(np.argsort(-want[i])[:3])}

@@ -25,6 +25,19 @@ def _(fx):
     return graph.corr_graph(fx.daily_fill.where(F.col("t_idx") < cut), "node_id", "t_idx", "value")
 
 
+@query(
+    "corr_topk",
+    "src:s rank:i weight:f",
+    """
+WITH train AS MATERIALIZED (SELECT node_id, t_idx, value FROM daily_fill WHERE t_idx < floor((SELECT count(DISTINCT t_idx) FROM daily_raw) * CAST(0.6 AS DOUBLE)))
+SELECT src, rank, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC) AS rank FROM (
+  SELECT a.node_id AS src, b.node_id AS dst, abs(corr(a.value, b.value)) AS weight FROM train a JOIN train b ON a.t_idx = b.t_idx AND a.node_id <> b.node_id GROUP BY ALL)) WHERE rank <= 4""",
+)
+def _(fx):
+    cut = F.floor((fx.daily_raw.agg(F.max("t_idx")).scalar() + 1) * 0.6)
+    return graph.corr_topk(fx.daily_fill.where(F.col("t_idx") < cut), "node_id", "t_idx", "value", 4)
+
+
 @query("topk_neighbours", "src:i dst:i weight:f rank:i", _TOP3)
 def _(fx):
     return graph.topk_neighbours(fx.user_edges, 3)
