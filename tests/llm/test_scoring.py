@@ -85,6 +85,39 @@ def test_gradients_by_differences(model):
         assert abs((up - down) / 2e-5 - grads[name][at]) < 1e-5
 
 
+def test_recurrent_gradients_by_differences(model, monkeypatch):
+    """Gradients of the gates (input, recurrent and bias) through all steps of a window, documents ending inside it."""
+    m = model.copy()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    rng = np.random.default_rng(4)
+    symbols = rng.choice([*range(6), scoring.FREQUENT + 2], scoring.WINDOW).astype(np.int32)
+    symbols[5] = m.vocab.end_symbol
+
+    def loss():
+        total, h, last = 0.0, np.zeros((1, scoring.HIDDEN)), m.vocab.end_symbol
+        for y in symbols:
+            h = m.step(np.array([last]), h if last != m.vocab.end_symbol else h * 0)[0]
+            total -= m.log10_output(h, np.array([y]))[0] * math.log(10)
+            last = y
+        return total / len(symbols)
+
+    found = {}
+    monkeypatch.setattr(scoring.Model, "_update", lambda self, name, grad, memory, rate, rows=None: found.update({name: (grad, rows)}))
+    m.train(symbols, {}, 0.1)
+    grad_x, rows = found["x"]
+    own = int(symbols[0])
+    places = [("u", (k, j), found["u"][0][k, j]) for k, j in ((0, 1), (3, 20), (7, 40))]
+    places += [("b", (j,), found["b"][0][j]) for j in (2, 19, 35)] + [("x", (own, j), grad_x[np.flatnonzero(rows == own)[0], j]) for j in (0, 18, 33)]
+    for name, at, grad in places:
+        old = m.p[name][at]
+        m.p[name][at] = old + 1e-4
+        up = loss()
+        m.p[name][at] = old - 1e-4
+        down = loss()
+        m.p[name][at] = old
+        assert abs((up - down) / 2e-4 - grad) < 1e-6 + 1e-3 * abs(grad), (name, at)
+
+
 def test_every_token_is_a_target(model, monkeypatch):
     """One pass takes each token of the stream into the loss once."""
     symbols = np.random.default_rng(2).integers(0, len(model.vocab.class_of), 5000).astype(np.int32)

@@ -176,7 +176,25 @@ def vocabulary(counts: DataFrame) -> Vocabulary | None:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """``x`` is used up."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _shares(logit: np.ndarray, bias: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """Gradient of the loss by the logits: ``scale`` times (softmax - 1 in column ``at``); ``logit`` is used up."""
+    logit += bias
+    top = logit.max()
+    if logit[:, int(np.argmax(bias))].min() > top - 60:
+        logit -= top  # no row's sum leaves the range of float32
+    else:
+        logit -= logit.max(axis=1, keepdims=True)
+    np.exp(logit, out=logit)
+    logit *= (scale / (logit @ np.ones(logit.shape[1], logit.dtype)))[:, None]
+    logit[np.arange(len(at)), at] -= scale
+    return logit
 
 
 def _log_softmax_at(logit: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -186,7 +204,7 @@ def _log_softmax_at(logit: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.n
         logit -= logit.max(axis=1, keepdims=True)  # else no row's sum leaves the range of float32
     picked = logit[np.arange(len(at)), at].astype(np.float64)
     np.exp(logit, out=logit)
-    return picked - np.log(logit.sum(axis=1))
+    return picked - np.log(logit @ np.ones(logit.shape[1], logit.dtype))
 
 
 class Model:
@@ -340,20 +358,12 @@ class Model:
         """Gradients of the mean loss over the given positions."""
         scale = np.float32(1 / len(symbols))
         cls = self.targets(symbols)
-        logit = states @ self.p["wc"] + self.p["bc"]
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(cls)), cls] -= 1
-        p *= scale
+        p = _shares(states @ self.p["wc"], self.p["bc"], cls, scale)
         d = p @ self.p["wc"].T
         grads = {"wc": states.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
         for rows, members in self._by_class(symbols, cls):
             s, w = states[rows], self.p["ww"][members]
-            logit = s @ w.T + self.p["bw"][members]
-            q = np.exp(logit - logit.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            q[np.arange(len(rows)), np.searchsorted(members, symbols[rows])] -= 1
-            q *= scale
+            q = _shares(s @ w.T, self.p["bw"][members], np.searchsorted(members, symbols[rows]), scale)
             d[rows] += q @ w
             grads["ww"][members] = q.T @ s
             grads["bw"][members] = q.sum(axis=0)
@@ -386,18 +396,22 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: st
                     own.train(symbols, memory, rate)
                 read += len(symbols)
             if read:
-                yield pd.DataFrame({"name": names, "tokens": read, "values": [own.p[k].astype(np.float64).ravel() for k in names]})
+                yield pd.DataFrame({"name": names, "tokens": read, "values": [own.p[k].astype(np.float64).ravel() * read for k in names]})
 
         return run
 
     def averaged(rows: DataFrame) -> None:
-        """Sum over tasks, element by element, in Spark; the driver reads one parameter set."""
-        each = rows.select("name", "tokens", F.posexplode("values").alias("at", "v")).groupBy("name", "at").agg((F.sum(F.col("v") * F.col("tokens")) / F.sum("tokens")).alias("v"))
-        got = each.toPandas()
-        for name, part in got.groupby("name"):
-            flat = np.zeros(model.p[name].size, np.float32)
-            flat[part["at"].to_numpy()] = part["v"].to_numpy()
-            model.p[name] = flat.reshape(model.p[name].shape)
+        """Sums over tasks as whole arrays, in two steps of about the square root of the tasks each; the driver reads one parameter set."""
+
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"name": frame["name"].iloc[:1], "tokens": [frame["tokens"].sum()], "values": [np.sum(np.stack(frame["values"]), axis=0)]})
+
+        schema = "name string, tokens long, values array<double>"
+        lanes = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
+        some = rows.groupBy("name", F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")).applyInPandas(add, schema)
+        got = some.groupBy("name").applyInPandas(add, schema).toPandas()
+        for name, tokens, values in got.itertuples(index=False, name=None):
+            model.p[name] = (values / tokens).astype(np.float32).reshape(model.p[name].shape)
 
     schema = "name string, tokens long, values array<double>"
     texts = docs.select(id_col, text_col)
