@@ -145,3 +145,10 @@ def threshold_search(
     }
     scored = score_grid(val.withColumn("day", F.struct("series", "day")), grid, ["floor_at", "peak_at"], by, floor)
     return first_best(scored, by, ["floor_at", "peak_at"])
+
+
+def linear_calibration(train: DataFrame, rows: DataFrame, pred: str, truth: str, out: str = "calibrated") -> DataFrame:
+    """Least-squares ``truth = slope * pred + intercept`` on ``train``, applied to ``rows``; one aggregate, as a scalar subquery."""
+    fit = train.agg(F.struct(F.regr_slope(truth, pred).alias("slope"), F.regr_intercept(truth, pred).alias("intercept")).alias("f")).scalar()
+    fitted = rows.withColumn("slope", fit["slope"]).withColumn("intercept", fit["intercept"])
+    return fitted.withColumn(out, F.col("slope") * F.col(pred) + F.col("intercept"))

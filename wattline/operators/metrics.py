@@ -197,3 +197,13 @@ def zone_aggregate(stations: DataFrame, zone: str, means: Sequence[str], sums: S
         *[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("station_count")
     )
     return zones.join(agg, zone, "left")
+
+
+def ratio_rows(scored: DataFrame, pos: Column, windows: Column, ratios: Sequence[float], by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Mean scores per share of the data: for every ratio the items of the first ``windows * ratio`` windows, one at least.
+
+    ``pos`` is an item's window, from 0. All ratios come from one pass.
+    """
+    each = scored.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+    kept = each.where(pos < F.greatest(F.lit(1), F.floor(windows * F.col("ratio"))))
+    return kept.groupBy(*by, "ratio").agg(F.count(F.lit(1)).alias("items"), *[F.avg(c).alias(c) for c in columns])

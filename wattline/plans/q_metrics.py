@@ -191,10 +191,7 @@ SELECT variant, ratio, count(*) AS items, avg(mae) AS mae FROM scored CROSS JOIN
 WHERE parse_ok AND t_start - 12 < greatest(1, floor(nw * CAST(ratio AS DOUBLE))) GROUP BY ALL""",
 )
 def _(fx):
-    n_windows = (fx.n_steps - 17).cast("long")
-    rows = fx.scored.where("parse_ok").withColumn("ratio", F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(0.6))))
-    rows = rows.where(F.col("t_start") - 12 < F.greatest(F.lit(1), F.floor(n_windows * F.col("ratio"))))
-    return rows.groupBy("variant", "ratio").agg(F.count(F.lit(1)).alias("items"), F.avg("mae").alias("mae"))
+    return metrics.ratio_rows(fx.scored.where("parse_ok"), F.col("t_start") - 12, (fx.n_steps - 17).cast("long"), [0.1, 0.3, 0.6], ["variant"], ["mae"])
 
 
 @query(

@@ -390,11 +390,7 @@ def _(fx):
     """SELECT series, day, s AS slope, i AS intercept, s * off_pred + i AS calibrated FROM offsets CROSS JOIN (SELECT regr_slope(off_true, off_pred) AS s, regr_intercept(off_true, off_pred) AS i FROM offsets WHERE day_idx < 20) WHERE day_idx >= 20""",
 )
 def _(fx):
-    fit = fx.offsets.where("day_idx < 20").agg(
-        F.struct(F.regr_slope("off_true", "off_pred").alias("slope"), F.regr_intercept("off_true", "off_pred").alias("intercept")).alias("f")
-    ).scalar()
-    rows = fx.offsets.where("day_idx >= 20").withColumn("slope", fit["slope"]).withColumn("intercept", fit["intercept"])
-    return rows.withColumn("calibrated", F.col("slope") * F.col("off_pred") + F.col("intercept"))
+    return calibrate.linear_calibration(fx.offsets.where("day_idx < 20"), fx.offsets.where("day_idx >= 20"), "off_pred", "off_true")
 
 
 _REGIME = "CASE WHEN slot >= 78 OR slot <= 17 THEN 'floor' WHEN slot <= 39 THEN 'solar' WHEN slot <= 65 THEN 'mid' ELSE 'evening' END"
