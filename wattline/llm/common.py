@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,14 @@ def in_batches(batches: Iterable[pd.DataFrame], column: str, most_chars: int) ->
                 start, total = i, 0
             total += n
         yield frame.iloc[start:]
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: it lives on for other tasks, beside which unused memory would count."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _edges(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from wattline.llm.pieces import SPACE, Pieces, pieces
 from wattline.llm.registry import register, table
 
 MODEL = "piece_bpe_32k.model"
-#: Words that a worker keeps at once; it starts afresh beyond. Bounds memory, not results.
+#: Words that a worker keeps at once: a half of them since the last change, the other half before it; the older half goes first. Bounds memory, not results.
 KEPT_WORDS = 250_000
 _WORD = re.compile(" +[^ ]*")
 
@@ -34,21 +34,26 @@ class _Words(dict):
     """Word -> its ids as decimals joined by spaces. ``odd`` has the words that do not decode to themselves."""
 
     def __init__(self, model: Pieces):
-        self.model, self.odd = model, {}
+        self.model, self.odd, self.before = model, {}, {}
 
     def __missing__(self, word: str) -> str:
-        ids = self.model.encode_word(word.replace(" ", SPACE))
-        back = self.model.decode(ids)
-        if back != word:
-            self.odd[word] = back
-        out = " ".join(map(str, ids))
+        out = self.before.get(word)
+        if out is None:
+            ids = self.model.encode_word(word.replace(" ", SPACE))
+            back = self.model.decode(ids)
+            if back != word:
+                self.odd[word] = back
+            out = " ".join(map(str, ids))
         self[word] = out
         return out
 
     def make_room(self) -> None:
-        if len(self) > KEPT_WORDS:
+        if len(self.odd) > KEPT_WORDS // 2:
+            self.odd, self.before = {}, {}
+            self.clear()
+        elif len(self) > KEPT_WORDS // 2:
+            self.before = dict(self)
             self.clear()
-            self.odd.clear()
 
 
 _words: dict[str, _Words] = {}

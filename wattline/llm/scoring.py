@@ -411,7 +411,7 @@ def fit(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: st
         some = rows.groupBy("name", F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")).applyInPandas(add, schema)
         got = some.groupBy("name").applyInPandas(add, schema).toPandas()
         for name, tokens, values in got.itertuples(index=False, name=None):
-            model.p[name] = (values / tokens).astype(np.float32).reshape(model.p[name].shape)
+            model.p[name] = (np.asarray(values) / tokens).astype(np.float32).reshape(model.p[name].shape)
 
     schema = "name string, tokens long, values array<double>"
     texts = docs.select(id_col, text_col)
