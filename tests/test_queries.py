@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 SOME = [
     "day_metrics", "sliding_windows", "interp_time", "asof_fill_join", "knn_per_expert", "corr_graph", "blend_search", "stratified_source_nodes",
     "scenario_select", "anomaly_union", "parse_generation", "scan_csv", "manifest_hash",
+    "active_source", "ts_coerce", "infer_grid", "missing_ranges", "absent_times", "knn_windows", "corr_topk", "neighbour_mean", "sink_retrieval",
 ]
 
 
