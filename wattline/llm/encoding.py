@@ -47,11 +47,11 @@ class _Words(dict):
         self[word] = out
         return out
 
-    def make_room(self) -> None:
-        if len(self.odd) > KEPT_WORDS // 2:
+    def make_room(self, kept: int) -> None:
+        if len(self.odd) > kept // 2:
             self.odd, self.before = {}, {}
             self.clear()
-        elif len(self) > KEPT_WORDS // 2:
+        elif len(self) > kept // 2:
             self.before = dict(self)
             self.clear()
 
@@ -59,12 +59,12 @@ class _Words(dict):
 _words: dict[str, _Words] = {}
 
 
-def encode_text(text: str | None, known: _Words) -> tuple[str, str]:
+def encode_text(text: str | None, known: _Words, kept_words: int = KEPT_WORDS) -> tuple[str, str]:
     """The ids (decimals joined by a space, the end id last) and the decoded text; a null text counts as empty."""
     if not text:
         return str(known.model.eos), ""
     found = _WORD.findall(" " + text.replace(SPACE, " "))
-    known.make_room()
+    known.make_room(kept_words)
     ids = " ".join([*map(known.__getitem__, found), str(known.model.eos)])
     back = "".join([known.odd.get(w, w) for w in found]) if known.odd else "".join(found)
     return ids, back[1:]
@@ -76,7 +76,7 @@ def known_words(path: str) -> _Words:
     return _words[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | None = "ids", decoded_col: str | None = None, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | None = "ids", decoded_col: str | None = None, digests: bool = False, kept_words: int = KEPT_WORDS) -> DataFrame:
     """``docs`` with the ids of each whole text (array<int>, end id last), its decoded text, or digests of both.
 
     Adds ``n_tokens``; ``ids_col`` and ``decoded_col`` where named; with ``digests`` also ``ids_sha256`` and
@@ -91,7 +91,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str | No
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = known_words(path)
         for frame in in_batches(frames, text_col, 1_000_000):
-            rows = [encode_text(t, known) for t in frame[text_col]]
+            rows = [encode_text(t, known, kept_words) for t in frame[text_col]]
             out = frame[kept].copy()
             out["n_tokens"] = [i.count(" ") + 1 for i, _ in rows]
             if ids_col:
