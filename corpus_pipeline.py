@@ -13,6 +13,9 @@ from wattline.llm import decontamination, encoding, jaccard, language, toxicity
 from wattline.llm.common import stash
 from wattline.llm.registry import table
 
+#: Words whose ids a worker keeps in the last stage.
+KEPT_WORDS = 100_000
+
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those that are null or have no letter go."""
@@ -38,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document that is left, with digests of the ids and of the text they decode to."""
-    out = encoding.encode(docs.select("doc_id", "source", "text"), encoding.model_path(), digests=True)
+    # the workers also hold what the other stages left, so they keep fewer words
+    out = encoding.encode(docs.select("doc_id", "source", "text"), encoding.model_path(), digests=True, kept_words=KEPT_WORDS)
     return out.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
