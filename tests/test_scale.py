@@ -67,3 +67,21 @@ def test_correlations_in_tiles(spark, monkeypatch, parts):
     best = {(r.src, r["rank"]): r.dst for r in graph.corr_topk(obs, "n", "t", "v", 3, rows_per_block=16, node_parts=parts).collect()}
     np.fill_diagonal(want, 0)
     assert best == {(f"n{i:02d}", r + 1): f"n{j:02d}" for i in range(22) for r, j in enumerate(np.argsort(-want[i])[:3])}
+
+
+def _joins(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_tables_of_the_load_line_are_not_sent_through_the_driver(spark):
+    """The files are small enough for Spark to guess a broadcast; rows per step, window and record must not take that way."""
+    from wattline.plans.catalog import REGISTRY
+    from wattline.sources.fixtures import Fixtures
+
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    steps = _joins(fx.load_raw)
+    assert "SortMergeJoin" in steps and "BroadcastHashJoin" not in steps
+    window_columns = [line for line in _joins(fx.paired).splitlines() if "Join" in line and "t_start" in line]
+    assert window_columns and all("SortMergeJoin" in line for line in window_columns)
+    picks = [line for line in _joins(REGISTRY["case_union"].build(fx)).splitlines() if "Join" in line][0]
+    assert "BroadcastHashJoin" in picks and "BuildRight" in picks  # the few picks go to the windows

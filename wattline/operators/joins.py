@@ -120,7 +120,8 @@ def pair_variants(records: DataFrame, first: str, second: str) -> DataFrame:
     a = ok.where(F.col("variant") == first).select("t_start", "node_idx", "domain", "target", F.col("pred").alias("full_pred"))
     b = ok.where(F.col("variant") == second).select("t_start", "node_idx", F.col("pred").alias("wo_pred"))
     target = F.col("target")
-    out = a.join(b, ["t_start", "node_idx"]).select(
+    # Both sides hold a row per record; a guess from packed files must not send one of them through the driver.
+    out = a.join(b.hint("merge"), ["t_start", "node_idx"]).select(
         "*", mean_abs_diff(F.col("full_pred"), F.col("wo_pred")).alias("variant_gap_mae"),
         mean_abs_diff(F.col("full_pred"), target).alias("full_mae"), mean_abs_diff(F.col("wo_pred"), target).alias("wo_mae"),
     )

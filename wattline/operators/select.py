@@ -226,9 +226,12 @@ def window_case_select(paired: DataFrame, max_index: Column, nodes: int = 3, gap
 
 
 def case_union(cases: DataFrame, windows: DataFrame) -> DataFrame:
-    """The distinct picks with their history and target arrays."""
+    """The distinct picks with their history and target arrays.
+
+    There are at most four picks per top node of a domain, so they go to the windows, which are not shuffled.
+    """
     unique = cases.select("domain", "node_idx", (F.col("win") + 12).alias("t_start")).distinct()
-    return unique.join(windows, ["node_idx", "t_start"])
+    return windows.join(F.broadcast(unique), ["node_idx", "t_start"])
 
 
 def best_gap_segment(curve: DataFrame, keys: Sequence[str], pos: str, a: str, b: str, length: int) -> DataFrame:
