@@ -55,3 +55,30 @@ def test_a_wide_window_is_many_keys(spark, monkeypatch):
     for name in options:
         spark.conf.unset(name)
     assert out.count() == 50 * 4000 and len(sizes) > 1 and sizes.max() <= 2 * sizes.median()
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_tiles_and_blocks_give_the_nearest_by_brute_force(spark, monkeypatch, before):
+    """Whole-number vectors, so that many distances tie; ids have holes."""
+    for name, value in (("TILE", 200), ("QUERY_ROWS", 32), ("FIRST_ROWS", 8)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(3)
+    ids = sorted(int(i) for i in rng.choice(900, 500, replace=False))
+    v = rng.integers(0, 4, (500, 5)).astype(float)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v, strict=True)], "id long, vec array<float>")
+    got = {}
+    for r in retrieval.knn(table, table, 4, strictly_before=before, block=16).collect():
+        got.setdefault(r.q_id, []).append((r["rank"], r.p_id, r.dist))
+    for n, q in enumerate(ids):
+        d = ((v - v[n]) ** 2).sum(1)
+        want = sorted((d[m], p) for m, p in enumerate(ids) if not before or p < q)[:4]
+        assert [(p, x) for x, p in want] == [(p, x) for _, p, x in sorted(got.get(q, []))]
+
+
+def test_a_vector_is_sent_once_per_tile(spark):
+    """1000 ids are one tile, also where products take 16 pool rows at a time."""
+    table = spark.range(1000).select("id", F.array(F.col("id").cast("float")).alias("vec"))
+    for side in retrieval.paired_tiles(table, table, [], False):
+        assert side.count() == 1000 and "array<float>" in dict(side.dtypes).values()
+    plan = retrieval.knn(table, table, 2, block=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 16.0" not in plan

@@ -172,33 +172,76 @@ def nearest_cells(dist: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int
     return rows[keep], at[keep], dist[rows[keep], at[keep]]
 
 
+#: Ids of one side of a tile, the unit that is shuffled, and query rows of one matrix product inside it.
+TILE, QUERY_ROWS = 16384, 2048
+#: Pool rows of the first product of a tile, whose k best bound all later ones.
+FIRST_ROWS = 256
+#: Distances are rounded to 6 places, so a row this much farther than the k-th may tie with it.
+ROUNDED = 1e-6
+
+
+def nearest_in_tile(a: np.ndarray, b: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, strictly_before: bool, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, pool id, distance) of the k nearest rows of ``b`` for every row of ``a``; ``p_ids`` ascend.
+
+    Products of ``QUERY_ROWS`` by ``block`` rows are formed one after the other. Only cells not farther than a query's k-th so
+    far are looked at again, so a product costs little more than its multiplication.
+    """
+    mean = b.mean(axis=0)
+    a, b = a - mean, b - mean
+    left = np.column_stack([-2.0 * a, (a * a).sum(1), np.ones(len(a))])
+    right = np.ascontiguousarray(np.column_stack([b, np.ones(len(b)), (b * b).sum(1)]).T)
+    edges = sorted({0, min(FIRST_ROWS, block, len(b)), *range(0, len(b), block), len(b)})
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(a), QUERY_ROWS):
+        ids = q_ids[at : at + QUERY_ROWS]
+        rows, found, dist = (np.empty(0, t) for t in (np.int64, p_ids.dtype, np.float64))
+        limit, pending = np.full(len(ids), np.inf), []
+
+        def merge(rows, found, dist, pending):
+            rows, found, dist = (np.concatenate([x, *more]) for x, more in zip((rows, found, dist), zip(*pending, strict=True), strict=True))
+            order = np.lexsort((found, dist, rows))
+            rows, found, dist = rows[order], found[order], dist[order]
+            starts = np.searchsorted(rows, np.arange(len(ids)))
+            place = np.arange(len(rows)) - starts[rows]
+            limit[rows[place == k - 1]] = dist[place == k - 1] + ROUNDED
+            return rows[place < k], found[place < k], dist[place < k]
+
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if strictly_before and p_ids[lo] >= ids.max():
+                break
+            cells = left[at : at + QUERY_ROWS] @ right[:, lo:hi]
+            if np.isinf(limit).any():
+                r, c, d = nearest_cells(cells, ids, p_ids[lo:hi], k, strictly_before)
+            else:
+                if strictly_before and p_ids[hi - 1] >= ids.min():
+                    cells[p_ids[None, lo:hi] >= ids[:, None]] = np.inf
+                r, c = np.nonzero(cells <= limit[:, None])
+                d = np.maximum(cells[r, c], 0.0).round(6)
+            pending.append((r, p_ids[lo:hi][c], d))
+            if np.isinf(limit).any() or sum(len(x[0]) for x in pending) > k * len(ids):
+                rows, found, dist = merge(rows, found, dist, pending)
+                pending = []
+        if pending:
+            rows, found, dist = merge(rows, found, dist, pending)
+        out.append((rows + at, found, dist))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def knn(
     queries: DataFrame, pool: DataFrame, k: int, group: str | None = None, strictly_before: bool = False, block: int = 2048,
     last_id: Column | None = None,
 ) -> DataFrame:
     """Exact k nearest pool rows per query by squared L2, rounded to 6 places, ties to the lower id.
 
-    Inputs hold ``id, vec`` (and ``group``). Ids are cut into blocks of
-    ``block``; every pair of blocks is one task that multiplies two small
-    matrices and keeps ``k`` rows per query, and a second top-k merges the
-    blocks. With ``strictly_before`` only pool ids below the query's count, and
-    block pairs that cannot hold one are never formed; a query may then get
-    fewer than ``k`` rows. A big group only has more blocks. ``last_id`` gives
-    the highest id of either side where it is known; the inputs are then not
-    read a second time to list their blocks.
+    Inputs hold ``id, vec`` (and ``group``). Ids are cut into tiles of ``TILE``; every pair of tiles is one group that
+    multiplies small matrices of ``block`` pool rows and keeps ``k`` rows per query, and a second top-k merges the tiles. A
+    vector is sent once per tile of the other side, whatever ``block`` is. With ``strictly_before`` only pool ids below the
+    query's count, and pairs that cannot hold one are never formed; a query may then get fewer than ``k`` rows. A big group
+    only has more tiles. ``last_id`` gives the highest id of either side where it is known; the inputs are then not read a
+    second time to list their tiles.
     """
     keys = [group] if group else []
-    q = queries.select(*keys, F.col("id").cast("long").alias("q_id"), F.col("vec").cast("array<double>").alias("q_vec"), F.floor(F.col("id") / block).alias("qb"))
-    p = pool.select(*keys, F.col("id").cast("long").alias("p_id"), F.col("vec").cast("array<double>").alias("p_vec"), F.floor(F.col("id") / block).alias("pb"))
-    if last_id is not None:
-        top = F.floor(last_id / block).cast("long")
-        zero = F.lit(0).cast("long")
-        q = q.withColumn("pb", F.explode(F.sequence(zero, F.col("qb") if strictly_before else top)))
-        p = p.withColumn("qb", F.explode(F.sequence(F.col("pb") if strictly_before else zero, top)))
-    else:
-        pairs = _block_pairs(q, p, keys, strictly_before)
-        q = q.join(pairs, [*keys, "qb"])
-        p = p.join(pairs, [*keys, "pb"])
+    q, p = paired_tiles(queries, pool, keys, strictly_before, last_id)
     names = [*keys, "qb", "pb"]
     # The two sides may be one table; distinct column names keep their keys apart.
     p = p.select(*[F.col(n).alias(f"_{n}") for n in names], "p_id", "p_vec")
@@ -209,11 +252,10 @@ def knn(
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in cols})
         right = right.sort_values("p_id")
-        a, b = np.stack(left["q_vec"].to_numpy()), np.stack(right["p_vec"].to_numpy())
-        q_ids, p_ids = left["q_id"].to_numpy(), right["p_id"].to_numpy()
-        dist = _squares(a, b)
-        rows, at, dist = nearest_cells(dist, q_ids, p_ids, k, strictly_before)
-        out = pd.DataFrame({"q_id": q_ids[rows], "p_id": p_ids[at], "dist": dist})
+        a, b = (np.stack(v.to_numpy()).astype(np.float64) for v in (left["q_vec"], right["p_vec"]))
+        q_ids = left["q_id"].to_numpy()
+        rows, found, dist = nearest_in_tile(a, b, q_ids, right["p_id"].to_numpy(), k, strictly_before, block)
+        out = pd.DataFrame({"q_id": q_ids[rows], "p_id": found, "dist": dist})
         for g in keys:
             out[g] = left[g].iloc[0]
         return out[cols]
@@ -222,6 +264,23 @@ def knn(
     return top_per_group(partial, [*keys, "q_id"], [F.asc("dist"), F.asc("p_id")], k)
 
 
+def paired_tiles(queries: DataFrame, pool: DataFrame, keys: list[str], strictly_before: bool, last_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a row per vector and pair of tiles (``qb``, ``pb``) that it takes part in; floats stay floats."""
+    def side(df: DataFrame, n: str) -> DataFrame:
+        vec = F.col("vec") if dict(df.dtypes)["vec"] == "array<float>" else F.col("vec").cast("array<double>")
+        return df.select(*keys, F.col("id").cast("long").alias(f"{n}_id"), vec.alias(f"{n}_vec"), F.floor(F.col("id") / TILE).alias(f"{n}b"))
+
+    q, p = side(queries, "q"), side(pool, "p")
+    if last_id is not None:
+        top = F.floor(last_id / TILE).cast("long")
+        zero = F.lit(0).cast("long")
+        q = q.withColumn("pb", F.explode(F.sequence(zero, F.col("qb") if strictly_before else top)))
+        p = p.withColumn("qb", F.explode(F.sequence(F.col("pb") if strictly_before else zero, top)))
+        return q, p
+    pairs = _block_pairs(q, p, keys, strictly_before)
+    return q.join(pairs, [*keys, "qb"]), p.join(pairs, [*keys, "pb"])
+
+
 def fill_without_history(found: DataFrame, queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     """Give queries that have no earlier pool row the first ``k`` pool ids, without a distance.
 
