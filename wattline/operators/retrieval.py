@@ -72,7 +72,8 @@ def vector_columns(parts: DataFrame) -> DataFrame:
 
 
 def numbered_vectors(parts: DataFrame, key: str = "t_start") -> DataFrame:
-    """Vectors in long form, ``(key, i, v)``; no row is as wide as the graph."""
+    """Vectors in long form, ``(key, i, v)``; no row is as wide as the graph. The cells are made once, then numbered."""
+    parts = written(parts, "cells")
     return parts.join(vector_columns(parts), ["part", "idx"]).select(key, "i", "v")
 
 
@@ -329,12 +330,10 @@ def history_facts(windows: DataFrame) -> DataFrame:
 def retrieved_rows(neighbours: DataFrame, windows: DataFrame) -> DataFrame:
     """Each neighbour (q_t, p_t, …) with the rows (p_t, node_idx, …) of its window.
 
-    Both sides are dealt by (p_t, block of nodes), so a window of many nodes is as many keys as it has blocks. Which blocks a
-    window has is a small table of its own.
+    The neighbours are a few rows per window, whatever the number of nodes; they go to the rows, which stay where they are.
+    A window of many nodes is therefore never one key.
     """
-    blocked = windows.withColumn("_nb", F.floor(F.col("node_idx") / NODE_BLOCK))
-    blocks = blocked.select("p_t", "_nb").distinct()
-    return neighbours.join(blocks, "p_t").join(blocked, ["p_t", "_nb"]).drop("_nb")
+    return windows.join(F.broadcast(neighbours), "p_t").select(*neighbours.columns, *[c for c in windows.columns if c not in neighbours.columns])
 
 
 def diff_features(neighbours: DataFrame, facts: DataFrame, query_facts: DataFrame | None = None) -> DataFrame:
@@ -342,14 +341,25 @@ def diff_features(neighbours: DataFrame, facts: DataFrame, query_facts: DataFram
 
     ``neighbours(q_t, p_t)`` holds one set per window, shared by all nodes. A
     measure that is absent now gives NULL; absent in every retrieved window it counts as 0.
+    Facts hold a row per (window, node). Without ``query_facts`` they are read once: a row goes to its own window and to those
+    that retrieved it, and one grouping meets both.
     """
-    query_facts = facts if query_facts is None else query_facts
     fields = ["occ", "temp", "price", *DIFF_ALIASES]
-    past = retrieved_rows(neighbours, facts.withColumnRenamed("t_start", "p_t")).groupBy("q_t", "node_idx").agg(
-        F.count(F.lit(1)).alias("retrieved"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"_{c}") for c in fields]
+    own = F.col("_now")
+    if query_facts is None:
+        askers = neighbours.groupBy(F.col("p_t").alias("t_start")).agg(F.collect_list("q_t").alias("_askers"))
+        rows = facts.join(F.broadcast(askers), "t_start", "left")
+        goals = F.concat(F.array(F.struct(F.col("t_start").alias("q_t"), F.lit(True).alias("now"))), F.transform(F.coalesce("_askers", F.array().cast("array<bigint>")), lambda q: F.struct(q.alias("q_t"), F.lit(False).alias("now"))))
+        rows = rows.withColumn("_g", F.explode(goals)).select("_g.q_t", "node_idx", F.col("_g.now").alias("_now"), *fields)
+    else:
+        past = retrieved_rows(neighbours.select("q_t", "p_t"), facts.withColumnRenamed("t_start", "p_t"))
+        rows = past.select("q_t", "node_idx", F.lit(False).alias("_now"), *fields)
+        rows = rows.unionByName(query_facts.select(F.col("t_start").alias("q_t"), "node_idx", F.lit(True).alias("_now"), *fields))
+    met = rows.groupBy("q_t", "node_idx").agg(
+        F.count(F.when(~own, 1)).alias("retrieved"), F.count(F.when(own, 1)).alias("_mine"),
+        *[F.max(F.when(own, F.col(c))).alias(c) for c in fields], *[F.coalesce(F.avg(F.when(~own, F.col(c))), F.lit(0.0)).alias(f"_{c}") for c in fields],
     )
-    now = query_facts.withColumnRenamed("t_start", "q_t")
-    return now.join(past, ["q_t", "node_idx"]).select(
+    return met.where("_mine > 0 and retrieved > 0").select(
         F.col("q_t").alias("t_start"), "node_idx", "retrieved", *[F.bround(F.col(c) - F.col(f"_{c}"), 4).alias(f"diff_{c}") for c in fields]
     )
 
