@@ -85,3 +85,27 @@ def test_tables_of_the_load_line_are_not_sent_through_the_driver(spark):
     assert window_columns and all("SortMergeJoin" in line for line in window_columns)
     picks = [line for line in _joins(REGISTRY["case_union"].build(fx)).splitlines() if "Join" in line][0]
     assert "BroadcastHashJoin" in picks and "BuildRight" in picks  # the few picks go to the windows
+
+
+def test_scores_are_computed_once(spark):
+    from wattline.operators import metrics
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        made.add(1)
+        return v
+
+    scored = spark.range(9).select(F.lit("a").alias("variant"), F.lit(True).alias("parse_ok"), counted(F.col("id").cast("double")).alias("mae"), F.col("id").cast("double").alias("prediction_range"))
+    got = metrics.flat_ratio_quantiles(scored, ["variant"], "mae").collect()
+    assert [(r.min, r.p25, r.median, r.p75, r.max, round(r.flat_ratio, 6)) for r in got] == [(0.0, 2.0, 4.0, 6.0, 8.0, 0.111111)]
+    assert made.value == 9
+
+
+def test_ranked_cases_read_stored_scores(spark):
+    from wattline.plans import q_select
+    from wattline.sources.fixtures import Fixtures
+
+    files = q_select._seasonal(Fixtures(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert files and all("wattline-scores" in f for f in files)

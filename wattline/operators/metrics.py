@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.arrays import argmax0, mean_abs_diff, rmse_of
 from wattline.functions.quantile import exact_quantiles
+from wattline.sources.sinks import written
 
 FLAT_RANGE = 1e-9
 
@@ -95,11 +96,13 @@ def sequence_diagnostics(scored: DataFrame, by: Sequence[str], split_by: str) ->
 
 
 def flat_ratio_quantiles(scored: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
-    flat = scored.where("parse_ok").groupBy(*by).agg(
+    """Share of constant forecasts, extremes and quartiles of a metric; the scores are computed once and read twice."""
+    ok = written(scored.where("parse_ok").select(*by, metric, *({"prediction_range"} - {metric, *by})), "scores")
+    flat = ok.groupBy(*by).agg(
         F.avg((F.col("prediction_range") < 1e-6).cast("double")).alias("flat_ratio"),
         F.min(metric).alias("min"), F.max(metric).alias("max"),
     )
-    q = exact_quantiles(scored.where("parse_ok"), by, metric, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    q = exact_quantiles(ok, by, metric, {"p25": 0.25, "median": 0.5, "p75": 0.75})
     return flat.join(q, list(by))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattline.operators import calibrate, metrics, select, windows
 from wattline.plans.registry import query
 from wattline.sources.fixtures import PRICE_CAP, PRICE_FLOOR
+from wattline.sources.sinks import written
 
 _PARTS = """parts AS MATERIALIZED (SELECT node_idx, t_start, history_end_ts, x_hist, y, list_max(x_hist || y) AS top, list_avg(x_hist) AS xm, list_stddev_pop(x_hist) AS xs, list_stddev_pop(y) AS ys,
   list_stddev_pop(x_hist || y) AS bs, list_avg(list_transform(y, lambda v: abs(v - 0.04))) AS gap FROM windows)"""
@@ -183,7 +184,9 @@ UNION ALL SELECT 'representative', row_number() OVER (ORDER BY round(abs(mae - m
 
 
 def _seasonal(fx):
-    return fx.scored.where("variant = 'seasonal'")
+    """The scores that cases are ranked by, computed once: ranks, median and spare cases read them again."""
+    scores = ("t_start", "node_idx", "parse_ok", "mae", "rmse", "prediction_range", "target_range")
+    return written(fx.scored.where("variant = 'seasonal'").select(*scores), "scores")
 
 
 @query("case_buckets", "bucket:s rank:i t_start:i node_idx:i", f"WITH {_OK}, {_BUCKETS} SELECT * FROM buckets")
