@@ -106,3 +106,26 @@ def test_facts_and_cells_are_read_once(spark):
     seen = made.value
     cells = spark.range(20).select(F.col("id").alias("t_start"), F.lit(0).alias("part"), F.lit(5).cast("long").alias("idx"), counted(F.col("id").cast("double")).alias("v"))
     assert retrieval.numbered_vectors(cells).count() == 20 and made.value - seen == 20
+
+
+def test_pieces_of_a_block_are_not_joined_by_its_number(spark):
+    """Few blocks of windows hold a wide graph: a join by the block would send all its pieces to one task."""
+    rows = [(t, p, i, float(t * i % 5)) for t in range(4) for p in (0, 1) for i in (3, 5000, 9000)]
+    table = spark.createDataFrame(rows, "id long, part int, idx long, v double")
+    plan = retrieval.knn_long(table, table, 2, strictly_before=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_windows_that_some_pieces_lack(spark, monkeypatch):
+    """Each part and block of nodes knows other windows; what it lacks counts as 0."""
+    for name, value in (("WINDOW_BLOCK", 4), ("NODE_BLOCK", 2), ("BLOCKS_TOGETHER", 1)):
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random((9, 2, 7)) < 0.3, rng.normal(0, 3, (9, 2, 7)), 0.0)
+    v[4] = 0
+    v[4, 0, 0] = 1.5
+    rows = [(t, p, i, float(v[t, p, i])) for t, p, i in zip(*np.nonzero(v), strict=True)]
+    table = spark.createDataFrame([tuple(int(x) for x in r[:3]) + r[3:] for r in rows], "id long, part int, idx long, v double")
+    got = {(r.q_id, r.p_id): r.dist for r in retrieval.knn_long(table, table, 9).collect()}
+    flat, known = v.reshape(9, -1), {r[0] for r in rows}
+    assert got == {(q, p): pytest.approx(((flat[q] - flat[p]) ** 2).sum(), abs=2e-6) for q in known for p in known}

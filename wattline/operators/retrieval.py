@@ -118,44 +118,79 @@ def knn_long(queries: DataFrame, pool: DataFrame, k: int, strictly_before: bool
     """
     q = written(_vector_pieces(queries), "pieces")
     p = q if pool is queries else written(_vector_pieces(pool), "pieces")
-    q_blocks, p_blocks = (_block_ids(side).select(F.col("rb").alias(f"{n}b"), F.col("ids").alias(f"{n}_ids")) for n, side in (("q", q), ("p", p)))
-    # a few hundred ids per block; which blocks meet is a table of its own
-    listed = q_blocks.withColumn("_ps", p_blocks.agg(F.collect_list("pb")).scalar()).select("qb", "q_ids", F.explode("_ps").alias("pb"))
-    listed = listed.where("pb <= qb") if strictly_before else listed
-    pairs = listed.join(p_blocks, "pb")
+    # which blocks meet is a short list of numbers: no join, which would send all pieces of a block to one task
+    listed = p.agg(F.collect_set("rb")).scalar()
+    q_side = q.withColumnRenamed("rb", "qb").withColumn("pb", F.explode(listed))
+    p_side = p.withColumnRenamed("rb", "pb").withColumn("qb", F.explode(listed if p is q else q.agg(F.collect_set("rb")).scalar()))
     group = F.floor(F.col("nb") / BLOCKS_TOGETHER).alias("ng")
-    sides = [side.withColumnRenamed("rb", name).join(pairs, name).select("qb", "pb", "part", group, "nb", F.lit(k).alias("side"), "ids", "cols", "m", "q_ids", "p_ids") for k, (name, side) in enumerate((("qb", q), ("pb", p)))]
-    dealt = sides[0].unionByName(sides[1]).repartition("qb", "pb", "part", "ng").sortWithinPartitions("qb", "pb", "part", "ng", "nb", "side")
+    sides = [side.select("qb", "pb", "part", group, "nb", F.lit(k).alias("side"), "ids", "cols", "m") for k, side in enumerate((q_side, p_side))]
+    met = sides[0].unionByName(sides[1])
+    met = met.where("pb <= qb") if strictly_before else met
+    dealt = met.repartition("qb", "pb", "part", "ng").sortWithinPartitions("qb", "pb", "part", "ng", "nb", "side")
 
     def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (row for frame in frames for row in frame.itertuples(index=False))
         for (qb, pb, _, _), mine in groupby(rows, key=lambda r: (r.qb, r.pb, r.part, r.ng)):
-            total = 0.0
+            total = _Sums()
             for _, block in groupby(mine, key=lambda r: r.nb):
-                found = {r.side: r for r in block}
-                q_ids, p_ids = next((r.q_ids, r.p_ids) for r in found.values())
-                cols = np.unique(np.concatenate([np.frombuffer(r.cols, np.int64) for r in found.values()]))
-                total = total + _squares(_cells(found.get(0), q_ids, cols), _cells(found.get(1), p_ids, cols))
-            yield pd.DataFrame({"qb": [qb], "pb": [pb], "q_ids": [q_ids], "p_ids": [p_ids], "sums": [total.tobytes()]})
+                total.add_block({r.side: r for r in block})
+            yield pd.DataFrame({"qb": [qb], "pb": [pb], **{n: [a] for n, a in total.lists().items()}, "sums": [total.cells.tobytes()]})
 
-    partial = dealt.mapInPandas(multiply, "qb long, pb long, q_ids array<long>, p_ids array<long>, sums binary")
+    partial = dealt.mapInPandas(multiply, "qb long, pb long, q_ids array<long>, p_ids array<long>, q_squares array<double>, p_squares array<double>, sums binary")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (row for frame in frames for row in frame.itertuples(index=False))
         for _, mine in groupby(rows, key=lambda r: (r.qb, r.pb)):
-            total = 0.0
+            total = _Sums()
             for r in mine:
-                total = total + np.frombuffer(r.sums, np.float64).reshape(len(r.q_ids), len(r.p_ids))
-            row, at, dist = nearest_cells(total, r.q_ids, r.p_ids, k, strictly_before)
-            yield pd.DataFrame({"q_id": r.q_ids[row], "p_id": r.p_ids[at], "dist": dist})
+                cells = np.frombuffer(r.sums, np.float64).reshape(len(r.q_ids), len(r.p_ids))
+                total.add((r.q_ids, r.p_ids), (r.q_squares, r.p_squares), cells)
+            q_ids, p_ids = total.ids
+            if len(q_ids) and len(p_ids):
+                row, at, dist = nearest_cells(total.cells, q_ids, p_ids, k, strictly_before)
+                yield pd.DataFrame({"q_id": q_ids[row], "p_id": p_ids[at], "dist": dist})
 
     found = partial.repartition("qb", "pb").sortWithinPartitions("qb", "pb").mapInPandas(best, "q_id long, p_id long, dist double")
     return top_per_group(found, ["q_id"], [F.asc("dist"), F.asc("p_id")], k)
 
 
-def _block_ids(pieces: DataFrame) -> DataFrame:
-    """(rb, ids): the windows of each block in order, ``WINDOW_BLOCK`` at most."""
-    return pieces.select("rb", F.explode("ids").alias("id")).groupBy("rb").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+class _Sums:
+    """Squared distances added up over pieces that may know different windows; cells that a piece lacks are 0."""
+
+    def __init__(self):
+        self.ids = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        self.squares = [np.empty(0), np.empty(0)]
+        self.cells = np.empty((0, 0))
+
+    def lists(self) -> dict[str, np.ndarray]:
+        return {"q_ids": self.ids[0], "p_ids": self.ids[1], "q_squares": self.squares[0], "p_squares": self.squares[1]}
+
+    def add_block(self, found: dict) -> None:
+        """The rows of one block of nodes by side (0: queries, 1: pool)."""
+        cols = np.unique(np.concatenate([np.frombuffer(r.cols, np.int64) for r in found.values()]))
+        ids = [np.asarray(found[k].ids, np.int64) if k in found else np.empty(0, np.int64) for k in (0, 1)]
+        a, b = (_cells(found.get(k), ids[k], cols) for k in (0, 1))
+        self.add(ids, [(x * x).sum(1) for x in (a, b)], _squares(a, b) if len(a) and len(b) else np.zeros((len(a), len(b))))
+
+    def add(self, ids: Sequence[np.ndarray], squares: Sequence[np.ndarray], cells: np.ndarray) -> None:
+        """A window that one side lacks here is all 0: its distances are the squares of the other side."""
+        if all(np.array_equal(a, b) for a, b in zip(self.ids, ids, strict=True)):
+            self.cells, self.squares = self.cells + cells, [a + b for a, b in zip(self.squares, squares, strict=True)]
+            return
+        every = [np.union1d(a, b) for a, b in zip(self.ids, ids, strict=True)]
+        whole = [_spread_out(every, *x) for x in ((self.ids, self.squares, self.cells), (ids, squares, cells))]
+        self.ids, self.squares, self.cells = every, [a + b for a, b in zip(whole[0][0], whole[1][0], strict=True)], whole[0][1] + whole[1][1]
+
+
+def _spread_out(every: Sequence[np.ndarray], ids: Sequence[np.ndarray], squares: Sequence[np.ndarray], cells: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Squares and distances on the windows ``every`` (per side), of which ``ids`` are known."""
+    at = [np.searchsorted(e, i) for e, i in zip(every, ids, strict=True)]
+    out = [np.zeros(len(e)) for e in every]
+    for o, a, s in zip(out, at, squares, strict=True):
+        o[a] = s
+    grid = out[0][:, None] + out[1][None, :]  # right where one side is 0
+    grid[np.ix_(*at)] = cells
+    return out, grid
 
 
 def nearest_cells(dist: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int, strictly_before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
