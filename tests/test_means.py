@@ -32,3 +32,28 @@ def test_the_price_line_uses_it(spark):
 
     plan = Fixtures(spark, "/root/testdata/sf0.001").market_raw._jdf.queryExecution().analyzed().toString()
     assert "decimal(18,6)" in plan
+
+
+def test_pooled_errors_are_added_up_before_the_combinations(spark):
+    from wattline.operators import metrics
+
+    rows = [("a", 1, 3.0), ("a", 1, -1.0), ("a", 2, 2.0), ("a", 2, None), ("b", 1, None)]
+    out = metrics.pooled(spark.createDataFrame(rows, "variant string, h int, err double"), ["variant"], ["h"])
+    got = {(r.variant, r.h): (r.rmse, r.mae) for r in out.collect()}
+    assert got[("a", 1)] == pytest.approx((5**0.5, 2.0)) and got[("a", 2)] == pytest.approx((2.0, 2.0))
+    assert got[("a", None)] == pytest.approx(((14 / 3) ** 0.5, 2.0)) and got[("b", 1)] == got[("b", None)] == (None, None)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Expand") :]
+
+
+def test_a_window_is_read_by_offsets(spark):
+    """No list is gathered anew for every row; nulls keep their places."""
+    from wattline.operators import windows
+
+    df = spark.createDataFrame([("k", t, None if t == 3 else float(t), 10.0 * t) for t in range(9)], "k string, t long, v double, e double")
+    out = windows.sliding_windows(df, ["k"], "t", "v", history=2, horizons=[1, 3], context=4, extra=["e"], width=4)
+    got = {r.t_start: (r.x_hist, r.y_1, r.y_3, r.x_context, r.e_hist, r.e_future) for r in out.collect()}
+    val = lambda t: None if t == 3 else float(t)
+    assert got == {t: ([val(t - 2), val(t - 1)], [val(t)], [val(t + i) for i in range(3)], [val(t - i) for i in (4, 3, 2, 1)],
+                       [10.0 * (t - 2), 10.0 * (t - 1)], [10.0 * (t + i) for i in range(3)]) for t in (4, 5, 6)}
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()

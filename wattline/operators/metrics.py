@@ -30,9 +30,14 @@ def grouping_sets(df: DataFrame, by: Sequence[str], cube: Sequence[str]):
 
 
 def pooled(steps: DataFrame, by: Sequence[str], cube: Sequence[str]) -> DataFrame:
-    """RMSE and MAE of pooled errors over every combination of ``cube`` columns within ``by``."""
-    return grouping_sets(steps, by, cube).agg(
-        F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse"), F.avg(F.abs("err")).alias("mae")
+    """RMSE and MAE of pooled errors over every combination of ``cube`` columns within ``by``.
+
+    The errors are added up once per finest group; the combinations read those sums.
+    """
+    err = F.col("err")
+    sums = steps.groupBy(*by, *cube).agg(F.sum(err * err).alias("_sq"), F.sum(F.abs(err)).alias("_abs"), F.count(err).alias("_n"))
+    return grouping_sets(sums, by, cube).agg(
+        F.sqrt(F.try_divide(F.sum("_sq"), F.sum("_n"))).alias("rmse"), F.try_divide(F.sum("_abs"), F.sum("_n")).alias("mae")
     )
 
 

@@ -39,26 +39,30 @@ def sliding_windows(
     step = stride or h_max
     near = with_halo(df, pos, ctx, max(h_max - 1, 0), width)
     w = Window.partitionBy(*keys, "_blk").orderBy(pos)
-    cells = F.struct(F.col(value).alias("v"), *[F.col(c).alias(c) for c in extra])
-    out = near.withColumn("_back", F.collect_list(cells).over(w.rowsBetween(-ctx, -1)))
+    # One offset per place: a frame's list would be gathered anew for every row.
+    cell = F.struct(F.col(value).alias("v"), *[F.col(c).alias(c) for c in extra])
+    back = {f"_b{i}": F.lag(cell, i).over(w) for i in range(ctx, 0, -1)}
+    ahead = {f"_a{i}": (F.lead(cell, i).over(w) if i else cell) for i in range(h_max)}
+    out = near.select("*", *[c.alias(n) for n, c in (back | ahead).items()])
+    out = out.where(F.col("_own") & F.col(f"_b{ctx}").isNotNull() & ((F.col(pos) - ctx) % step == 0))
     if h_max:
-        out = out.withColumn("_ahead", F.collect_list(cells).over(w.rowsBetween(0, h_max - 1)))
-    out = out.where(F.col("_own") & (F.size("_back") == ctx) & ((F.col(pos) - ctx) % step == 0))
-    if h_max:
-        out = out.where(F.size("_ahead") == h_max)
+        out = out.where(F.col(f"_a{h_max - 1}").isNotNull())
+
+    def list_of(names: Sequence[str], field: str) -> Column:
+        return F.array(*[F.col(n)[field] for n in names])
 
-    recent = F.slice("_back", ctx - history + 1, history)
+    recent = list(back)[ctx - history :]
     cols = [F.col(c) for c in df.columns if c not in (value, pos, *extra)]
-    cols += [F.col(pos).alias("t_start"), recent["v"].alias("x_hist")]
-    cols += [F.slice("_ahead", 1, h)["v"].alias(f"y_{h}") for h in horizons]
+    cols += [F.col(pos).alias("t_start"), list_of(recent, "v").alias("x_hist")]
+    cols += [list_of(list(ahead)[:h], "v").alias(f"y_{h}") for h in horizons]
     if context:
-        cols.append(F.col("_back")["v"].alias("x_context"))
+        cols.append(list_of(list(back), "v").alias("x_context"))
     for c in extra:
-        cols.append(recent[c].alias(f"{c}_hist"))
+        cols.append(list_of(recent, c).alias(f"{c}_hist"))
         if h_max:
-            cols.append(F.col("_ahead")[c].alias(f"{c}_future"))
+            cols.append(list_of(list(ahead), c).alias(f"{c}_future"))
         if context:
-            cols.append(F.col("_back")[c].alias(f"{c}_context"))
+            cols.append(list_of(list(back), c).alias(f"{c}_context"))
     return out.select(*cols)
 
 
