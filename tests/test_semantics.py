@@ -167,3 +167,25 @@ def test_render(spark):
 def test_domain_words(spark):
     df = spark.createDataFrame([("Commercial park",), ("forest",), ("LIVING",), (" ",), (None,), ("north pole",)], "t string")
     assert [r[0] for r in df.select(domain_label(F.col("t"))).collect()] == ["CBD", "Residential", "Residential", None, None, "North Pole"]
+
+
+def test_clips_of_keys_behind_are_not_listed(spark):
+    """200 keys (one null) and 3 clips: only the keys with the best first clips reach the choice per key; results as by brute force."""
+    import random
+
+    rnd = random.Random(4)
+    gain = {n: [rnd.choice([0.1, 0.2, 0.4, -0.3]) for _ in range(12)] for n in [None, *range(199)]}
+    rows = [("d", n, t, 0.0, 0.0, g) for n, gs in gain.items() for t, g in enumerate(gs)]
+    df = spark.createDataFrame(rows, "domain string, node long, step long, truth double, full double, other double")
+    out = select.nonoverlap_clips(df, ["domain", "node"], "step", "truth", "full", "other", length=3, best=4)
+    every = []
+    for n, gs in gain.items():
+        taken = []
+        clips = [(round(sum(map(abs, gs[t : t + 3])) / 3, 9), t) for t in range(10)]
+        for g, t in sorted(clips, key=lambda c: (-c[0], c[1])):
+            if g > 0 and all(abs(t - u) >= 3 for u in taken) and len(taken) < 4:
+                taken.append(t)
+                every.append((-g, -1 if n is None else n, t))
+    want = [(None if n == -1 else n, t) for _, n, t in sorted(every)[:4]]
+    assert [(r.node, r.start) for r in out.collect()] == want
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
