@@ -109,3 +109,19 @@ def test_ranked_cases_read_stored_scores(spark):
 
     files = q_select._seasonal(Fixtures(spark, "/root/testdata/sf0.001")).inputFiles()
     assert files and all("wattline-scores" in f for f in files)
+
+
+def test_result_documents_hold_a_part_of_the_nodes(spark, tmp_path, monkeypatch):
+    """Nodes far apart lie in documents of their own, and the files are compressed."""
+    from types import SimpleNamespace
+
+    from wattline.plans.catalog import REGISTRY
+
+    made = str(tmp_path / "records")
+    monkeypatch.setattr(sinks, "scratch", lambda *_: made)
+    rows = [("mean", t, n, "d", True, [0.5], [1.0, 2.0]) for t in (12, 13) for n in (1, 2, 5000, 9000)]
+    records = spark.createDataFrame(rows, "variant string, t_start long, node_idx long, domain string, parse_ok boolean, pred array<double>, target array<double>")
+    got = REGISTRY["scan_records_json"].build(SimpleNamespace(records=records, spark=spark))
+    assert sorted((r.t_start, r.node_idx, r.y_sum) for r in got.collect()) == [(t, n, 3.0) for t in (12, 13) for n in (1, 2, 5000, 9000)]
+    assert spark.read.json(made).count() == 6
+    assert all(f.name.endswith(".json.lz4") for f in (tmp_path / "records").glob("part-*"))

@@ -78,11 +78,12 @@ def _(fx):
 @query("scan_records_json", "variant:s t_start:i node_idx:i parse_ok:i y_sum:f",
        "SELECT variant, t_start, node_idx, CAST(parse_ok AS INT) AS parse_ok, list_sum(target) AS y_sum FROM records")
 def _(fx):
-    nested = fx.records.groupBy("variant", "t_start").agg(
+    # one document per variant, window and part of the nodes, so that none is as long as the graph is wide
+    nested = fx.records.groupBy("variant", "t_start", F.floor(F.col("node_idx") / 4096)).agg(
         F.collect_list(F.struct("t_start", "node_idx", "domain", "parse_ok", F.col("pred").alias("parsed_prediction"), "target")).alias("records")
     )
     path = sinks.scratch(fx.spark, "records")
-    nested.select("variant", "records").write.json(path)
+    nested.select("variant", "records").write.json(path, compression="lz4")
     got = readers.scan_records_json(fx.spark, path)
     return got.withColumn("y_sum", F.aggregate("target", F.lit(0.0), lambda a, x: a + x))
 
