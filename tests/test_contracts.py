@@ -209,3 +209,27 @@ def test_retrieval_store_checks_its_parameters(spark, tmp_path):
     assert sinks.scan_retrieval(spark, path, {"k": 2}).count() == 4
     with pytest.raises(ValueError, match="k=2"):
         sinks.scan_retrieval(spark, path, {"k": 3})
+
+
+def test_shared_parts_of_prompts_are_rendered_once(spark):
+    """Numbers are rendered before the rows are multiplied, and all prompts still are those of ``prompt_columns``."""
+    rows = row_without_history(spark)
+    variants = [(s, m) for s in ("vanilla", "direct") for m in ("absolute", "residual", "selective_residual", "chunk_offset")] + [("staged", "absolute")]
+    out = text.prompt_rows(rows, variants, 2)
+    got = {(r.node_idx, r.style, r["mode"]): (r.system_text, r.user_text) for r in out.collect()}
+    for style, mode in variants:
+        system, user = text.prompt_columns(rows.columns, style, mode, 2)
+        for r in rows.select("node_idx", system.alias("s"), user.alias("u")).collect():
+            assert got[r.node_idx, style, mode] == (r.s, r.u)
+    assert len(got) == 2 * len(variants)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("lambdafunction" not in line for line in plan.splitlines() if "Generate" in line)
+
+
+def test_targets_are_made_before_the_rows_are_multiplied(spark):
+    from wattline.plans import q_text
+
+    df = q_text.target_kinds(row_without_history(spark))
+    assert sorted({r.kind for r in df.collect()}) == ["list", "short", "staged"] and df.count() == 6
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("lambdafunction" not in line for line in plan.splitlines() if "Generate" in line)
