@@ -102,3 +102,33 @@ def test_queries(spark, name, modulus, remainder):
     if name.startswith("op4"):
         langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
         assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.95
+
+
+def test_toxicity_learns_from_all_rows(spark, tables, monkeypatch):
+    """A start of a few rows, or of none since all texts are long, still gives a model of all rows, and all held rows set the cuts."""
+    docs, labels, _, marks = tables
+    for words in (5000, 1):
+        monkeypatch.setattr(toxicity, "START_WORDS", words, raising=False)
+        seen, calibrate = [], toxicity.Scorer.calibrate
+        monkeypatch.setattr(toxicity.Scorer, "calibrate", lambda self, counted, seen=seen: (seen.append(int(counted["n"].sum())), calibrate(self, counted))[1])
+        many = docs.unionByName(docs).unionByName(docs).unionByName(docs)
+        scorer = toxicity.train(many, labels, language.id_remainder("doc_id", 5) != 0, per_class=8)
+        monkeypatch.undo()
+        got = {r.doc_id: r.toxic_pred for r in toxicity.score_toxicity(docs, scorer).collect()}
+        assert np.mean([got[i] == t for i, t in ((i, t) for i, _, t in marks if held(i, 5, 0))]) > 0.95
+        kept = spark.createDataFrame(labels.where(language.id_remainder("doc_id", 5) != 0).collect(), labels.schema)
+        assert seen == [4 * kept.where(language.share_by_hash("doc_id", F.lit(0.2), 66)).count()]
+
+
+def test_long_texts_train_toxicity(spark):
+    rows = [(k, " ".join(["house"] * 50_010 + ["scumbag"] * (k % 2)), None, None, 0) for k in range(24)]
+    scorer = toxicity.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, k % 2) for k in range(24)], "doc_id long, quality int, toxic int"), F.lit(True))
+    assert scorer is not None
+
+
+def test_maxima_by_blocks():
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.new(2)
+    ids, starts = toxicity.joined([rng.integers(1, toxicity.BUCKETS, (n, toxicity.PARTS)).astype(np.int32) for n in (0, 5, 300, 1)])
+    whole, cut = net.pooled(ids, starts), net.pooled(ids, starts, block=37)
+    assert np.allclose(whole[0], cut[0], atol=1e-6) and all((a == b).all() for a, b in zip(whole[1], cut[1], strict=True))
