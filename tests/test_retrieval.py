@@ -75,6 +75,19 @@ def test_tiles_and_blocks_give_the_nearest_by_brute_force(spark, monkeypatch, be
         assert [(p, x) for x, p in want] == [(p, x) for _, p, x in sorted(got.get(q, []))]
 
 
+def test_tiles_grow_with_the_ids(spark):
+    """600000 ids: a vector is sent to at most ten tiles of the other side, not to thirty-seven; a few ids stay one tile."""
+    table = spark.range(0, 600_000, 5000).select("id", F.array(F.col("id").cast("float")).alias("vec")).unionByName(spark.range(599_999, 600_000).select("id", F.array(F.lit(1.0).cast("float")).alias("vec")))
+    for side, key in zip(retrieval.paired_tiles(table, table, [], False), ("q_id", "p_id"), strict=True):
+        assert 6 <= side.groupBy(key).count().agg(F.max("count")).first()[0] <= 10
+    q, p = (s.count() for s in retrieval.paired_tiles(table, table, [], True))
+    assert q + p <= 11 * table.count()
+    known = retrieval.paired_tiles(table, table, [], True, F.lit(599_999))
+    assert sum(s.count() for s in known) == q + p
+    got = {(r.q_id, r["rank"]): r.p_id for r in retrieval.knn(table.where("id % 5000 = 0"), table.where("id % 5000 = 0"), 1, strictly_before=True).collect()}
+    assert got == {(i, 1): i - 5000 for i in range(5000, 600_000, 5000)}
+
+
 def test_a_vector_is_sent_once_per_tile(spark):
     """1000 ids are one tile, also where products take 16 pool rows at a time."""
     table = spark.range(1000).select("id", F.array(F.col("id").cast("float")).alias("vec"))

@@ -208,8 +208,10 @@ def nearest_cells(dist: np.ndarray, q_ids: np.ndarray, p_ids: np.ndarray, k: int
     return rows[keep], at[keep], dist[rows[keep], at[keep]]
 
 
-#: Ids of one side of a tile, the unit that is shuffled, and query rows of one matrix product inside it.
+#: Ids of one side of a tile, the unit that is shuffled, at least; query rows of one matrix product inside it.
 TILE, QUERY_ROWS = 16384, 2048
+#: A tile grows with the ids, so that a side has about ``TILES``, up to ``MOST_TILE`` ids, which bounds the memory of a task.
+TILES, MOST_TILE = 6, 65536
 #: Pool rows of the first product of a tile, whose k best bound all later ones.
 FIRST_ROWS = 256
 #: Distances are rounded to 6 places, so a row this much farther than the k-th may tie with it.
@@ -269,7 +271,7 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest pool rows per query by squared L2, rounded to 6 places, ties to the lower id.
 
-    Inputs hold ``id, vec`` (and ``group``). Ids are cut into tiles of ``TILE``; every pair of tiles is one group that
+    Inputs hold ``id, vec`` (and ``group``). Ids are cut into tiles (``tile_size``); every pair of tiles is one group that
     multiplies small matrices of ``block`` pool rows and keeps ``k`` rows per query, and a second top-k merges the tiles. A
     vector is sent once per tile of the other side, whatever ``block`` is. With ``strictly_before`` only pool ids below the
     query's count, and pairs that cannot hold one are never formed; a query may then get fewer than ``k`` rows. A big group
@@ -287,7 +289,7 @@ def knn(
         cols = [*keys, "q_id", "p_id", "dist"]
         if left.empty or right.empty:
             return pd.DataFrame({c: [] for c in cols})
-        right = right.sort_values("p_id")
+        left, right = left.sort_values("q_id"), right.sort_values("p_id")
         a, b = (np.stack(v.to_numpy()).astype(np.float64) for v in (left["q_vec"], right["p_vec"]))
         q_ids = left["q_id"].to_numpy()
         rows, found, dist = nearest_in_tile(a, b, q_ids, right["p_id"].to_numpy(), k, strictly_before, block)
@@ -300,15 +302,24 @@ def knn(
     return top_per_group(partial, [*keys, "q_id"], [F.asc("dist"), F.asc("p_id")], k)
 
 
+def tile_size(last: Column) -> Column:
+    """Ids of one side of a tile, from the highest id: a vector is sent about ``TILES`` times until tiles are as large as a task may
+    hold (``MOST_TILE``)."""
+    return F.greatest(F.lit(TILE), F.least(F.lit(MOST_TILE), F.ceil((last + 1) / TILES))).cast("long")
+
+
 def paired_tiles(queries: DataFrame, pool: DataFrame, keys: list[str], strictly_before: bool, last_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with a row per vector and pair of tiles (``qb``, ``pb``) that it takes part in; floats stay floats."""
+    highest = [t.agg(F.max(F.col("id").cast("long"))).scalar() for t in ([queries] if pool is queries else [queries, pool])]
+    size = tile_size(last_id if last_id is not None else highest[0] if pool is queries else F.greatest(*highest))
+
     def side(df: DataFrame, n: str) -> DataFrame:
         vec = F.col("vec") if dict(df.dtypes)["vec"] == "array<float>" else F.col("vec").cast("array<double>")
-        return df.select(*keys, F.col("id").cast("long").alias(f"{n}_id"), vec.alias(f"{n}_vec"), F.floor(F.col("id") / TILE).alias(f"{n}b"))
+        return df.select(*keys, F.col("id").cast("long").alias(f"{n}_id"), vec.alias(f"{n}_vec"), F.floor(F.col("id") / size).alias(f"{n}b"))
 
     q, p = side(queries, "q"), side(pool, "p")
     if last_id is not None:
-        top = F.floor(last_id / TILE).cast("long")
+        top = F.floor(last_id / size).cast("long")
         zero = F.lit(0).cast("long")
         q = q.withColumn("pb", F.explode(F.sequence(zero, F.col("qb") if strictly_before else top)))
         p = p.withColumn("qb", F.explode(F.sequence(F.col("pb") if strictly_before else zero, top)))
