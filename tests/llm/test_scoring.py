@@ -127,6 +127,39 @@ def test_every_token_is_a_target(model, monkeypatch):
     assert np.bincount(np.concatenate(met)).tolist() == np.bincount(symbols).tolist()
 
 
+def test_large_logits_keep_gradients_and_scores_finite(model):
+    """Rows beyond the range that needs no shift give the same as a softmax in float64."""
+    rng = np.random.default_rng(3)
+    s, w, bias = rng.normal(size=(40, 16)).astype(np.float32), rng.normal(size=(9, 16)).astype(np.float32), rng.normal(size=9).astype(np.float32)
+    at = rng.integers(0, 9, 40)
+    for large in (1, 40):
+        logit = (s * large).astype(np.float64) @ w.T + bias
+        share = np.exp(logit - logit.max(axis=1, keepdims=True))
+        share /= share.sum(axis=1, keepdims=True)
+        q = share - np.eye(9)[at]
+        got = scoring._gradient_at(s * np.float32(large), w, bias, at, np.float32(0.5))
+        for a, b in zip(got, (q @ w / 2, q.T @ s * large / 2, q.sum(axis=0) / 2), strict=True):
+            assert np.allclose(a, b, rtol=1e-3, atol=1e-4 * large)
+        logs = scoring._log_softmax_at((s * np.float32(large)) @ w.T, bias, at)
+        assert np.allclose(logs, np.log(np.maximum(share[np.arange(40), at], 1e-300)), rtol=1e-4, atol=1e-4)
+
+
+def test_symbols_of_a_class_are_neighbours(model):
+    for members in model.vocab.members:
+        assert np.array_equal(members, np.arange(members[0], members[0] + len(members)) if len(members) else members)
+
+
+def test_class_softmax_in_pieces(model, monkeypatch):
+    """The pieces in which the class softmax is computed change neither scores nor gradients."""
+    rng = np.random.default_rng(4)
+    states, symbols = rng.normal(size=(50, scoring.HIDDEN)).astype(np.float32), rng.integers(0, len(model.vocab.class_of), 50).astype(np.int32)
+    whole = model.log10_output(states, symbols), *model._output_gradient(states, symbols)
+    monkeypatch.setattr(scoring, "OUTPUT_ROWS", 7)
+    pieces = model.log10_output(states, symbols), *model._output_gradient(states, symbols)
+    assert np.allclose(whole[0], pieces[0], atol=1e-5) and np.allclose(whole[2], pieces[2], atol=1e-6)
+    assert all(np.allclose(whole[1][k], pieces[1][k], atol=1e-5) for k in whole[1])
+
+
 def test_odd_rows(odd_docs, odd_rows, no_docs):
     learns = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 != 0
     got = scoring.score(odd_docs.withColumn("score", F.lit("clash")).withColumn("key", F.lit(1)), id_remainder("doc_id", 10) != 0).collect()

@@ -38,6 +38,8 @@ LANES, WINDOW = 512, 16
 #: Documents that set the common start: about so many.
 START_DOCUMENTS = 1500
 CHUNK_CHARS = 4_000_000
+#: Positions whose class softmax is held at once, so that it stays in a core's cache. Changes no result but by rounding.
+OUTPUT_ROWS = 1024
 #: Bytes that are hashed at once (more only for a longer word).
 HASH_BYTES = 1 << 20
 
@@ -183,28 +185,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _shares(logit: np.ndarray, bias: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
-    """Gradient of the loss by the logits: ``scale`` times (softmax - 1 in column ``at``); ``logit`` is used up."""
-    logit += bias
-    top = logit.max()
-    if logit[:, int(np.argmax(bias))].min() > top - 60:
-        logit -= top  # no row's sum leaves the range of float32
-    else:
-        logit -= logit.max(axis=1, keepdims=True)
-    np.exp(logit, out=logit)
-    logit *= (scale / (logit @ np.ones(logit.shape[1], logit.dtype)))[:, None]
-    logit[np.arange(len(at)), at] -= scale
-    return logit
+def _exponentials(logit: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """exp of the logits and what was taken off each row before (None: nothing); ``logit`` is used up.
+
+    ``anchor``: a column of large bias. No row's sum leaves the range of float32.
+    """
+    top = None
+    if logit.size and (logit.max() > 60 or logit[:, anchor].min() < -60):
+        top = logit.max(axis=1)
+        logit -= top[:, None]
+    return np.exp(logit, out=logit), top
+
+
+def _gradient_at(s: np.ndarray, w: np.ndarray, bias: np.ndarray, at: np.ndarray, scale: np.float32) -> tuple[np.ndarray, ...]:
+    """Gradients by ``s``, ``w`` and ``bias`` of ``scale`` times the summed loss of softmax(s @ w.T + bias) in columns ``at``."""
+    q = s @ w.T
+    q += bias
+    q, _ = _exponentials(q, int(bias.argmax()))
+    total = q @ np.ones(q.shape[1], q.dtype)
+    q[np.arange(len(at)), at] -= total
+    share = scale / total
+    return (q @ w) * share[:, None], q.T @ (s * share[:, None]), share @ q
 
 
 def _log_softmax_at(logit: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax of (logit + bias) in column ``at`` of each row; ``logit`` is used up."""
-    logit += bias - bias.max()
-    if logit.size and (logit.max() > 60 or np.abs(logit[:, int(np.argmax(bias))]).max() > 60):
-        logit -= logit.max(axis=1, keepdims=True)  # else no row's sum leaves the range of float32
+    logit += bias
     picked = logit[np.arange(len(at)), at].astype(np.float64)
-    np.exp(logit, out=logit)
-    return picked - np.log(logit @ np.ones(logit.shape[1], logit.dtype))
+    shares, top = _exponentials(logit, int(bias.argmax()))
+    if top is not None:
+        picked -= top
+    return picked - np.log(shares @ np.ones(logit.shape[1], logit.dtype))
 
 
 class Model:
@@ -240,31 +251,51 @@ class Model:
         own = symbols < FREQUENT
         return np.where(own, self.vocab.class_of[np.where(own, symbols, 0)], WORD_CLASSES + symbols - FREQUENT)
 
+    def gates(self, symbols: np.ndarray) -> np.ndarray:
+        """What the input symbols add to the gates."""
+        return (self.p["x"] + self.p["b"]).take(symbols, axis=0)
+
     def step(self, symbols: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next states after the input symbols, and what their gradient needs."""
+        return self.advance(self.gates(symbols), h)
+
+    def advance(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As ``step``, from rows ``g`` of ``gates``, which a whole window looks up at once."""
         n = HIDDEN
-        g = self.p["x"][symbols] + self.p["b"]
         u = h @ self.p["u"]
         zr = _sigmoid(g[:, : 2 * n] + u[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        cand = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
-        return cand + z * (h - cand), z, r, cand, u[:, 2 * n :]
+        z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n :]
+        cand = r * un
+        cand += g[:, 2 * n :]
+        np.tanh(cand, out=cand)
+        new = h - cand
+        new *= z
+        new += cand
+        return new, z, r, cand, un
 
     def log10_output(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """log10 probability of each symbol's class, and for frequent words also of the word in it."""
         cls = self.targets(symbols)
-        out = _log_softmax_at(states @ self.p["wc"], self.p["bc"], cls)
-        for rows, members in self._by_class(symbols, cls):
-            at = np.searchsorted(members, symbols[rows])
-            out[rows] += _log_softmax_at(states[rows] @ self.p["ww"][members].T, self.p["bw"][members], at)
+        out = np.empty(len(states))
+        for a in range(0, len(states), OUTPUT_ROWS):
+            some = slice(a, a + OUTPUT_ROWS)
+            out[some] = _log_softmax_at(states[some] @ self.p["wc"], self.p["bc"], cls[some])
+        rows, classes = self._by_class(symbols, cls)
+        held, own = states[rows], symbols[rows]
+        for part, words in classes:
+            out[rows[part]] += _log_softmax_at(held[part] @ self.p["ww"][words].T, self.p["bw"][words], own[part] - words.start)
         return out / np.log(10)
 
-    def _by_class(self, symbols: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _by_class(self, symbols: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """Positions of frequent words, ordered by class, and for each class of several words its part of them and its symbols.
+
+        Classes follow the rank, so the symbols of one are neighbours.
+        """
         rows = np.flatnonzero(symbols < FREQUENT)
-        rows = rows[np.argsort(cls[rows], kind="stable")]
-        cuts = np.searchsorted(cls[rows], np.arange(WORD_CLASSES + 1))
-        for k in range(WORD_CLASSES):
-            if cuts[k + 1] > cuts[k] and len(self.vocab.members[k]) > 1:
-                yield rows[cuts[k] : cuts[k + 1]], self.vocab.members[k]
+        rows = rows[np.argsort(cls[rows].astype(np.int16), kind="stable")]
+        cuts = np.searchsorted(cls[rows], np.arange(WORD_CLASSES + 1)).tolist()
+        several = [k for k in range(WORD_CLASSES) if cuts[k + 1] > cuts[k] and len(self.vocab.members[k]) > 1]
+        return rows, [(slice(cuts[k], cuts[k + 1]), slice(int(self.vocab.members[k][0]), int(self.vocab.members[k][-1]) + 1)) for k in several]
 
     def log10_tokens(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """log10 output of every token of some whole documents, given one after another."""
@@ -282,28 +313,24 @@ class Model:
         length = np.array([len(s) for s in spans])
         out = np.zeros(len(symbols))
         end = self.vocab.end_symbol
-        h, last = np.zeros((len(spans), HIDDEN), np.float32), np.full(len(spans), end, np.int32)
+        h, last = np.zeros((len(spans), HIDDEN), np.float32), np.full(len(spans), end, symbols.dtype)
         window = max(WINDOW, 16_384 // len(spans))
         for start in range(0, int(length[0]), window):
-            states, places = [], []
             stop = min(start + window, int(length[0]))
             active = int((length > start).sum())
-            grid = np.zeros((active, stop - start), np.int64)
+            grid = np.zeros((stop - start, active), np.int64)
+            given = np.arange(start, stop)[:, None] < length[:active]  # not so behind a lane's end, after which it is not read again
             for k in range(active):
                 part = spans[k][start:stop]
-                grid[k, : len(part)] = part
-            for t in range(start, stop):
-                n = int(np.searchsorted(-length, -t, side="left"))  # lanes that still have a token at t
-                x = last[:n]
-                carried = h[:n]
-                carried[x == end] = 0  # a document begins
-                h[:n] = self.step(x, carried)[0]
-                at = grid[:n, t - start]
-                last[:n] = symbols[at]
-                states.append(h[:n].copy())
-                places.append(at)
-            at = np.concatenate(places)
-            out[at] = self.log10_output(np.concatenate(states), symbols[at])
+                grid[: len(part), k] = part
+            y = symbols[grid]
+            x = np.vstack([last[None, :active], y[:-1]])
+            carries = (x != end).astype(np.float32)[:, :, None]  # where it is 0, a document begins
+            g, states, h = self.gates(x), np.empty((*x.shape, HIDDEN), np.float32), h[:active]
+            for t in range(len(x)):
+                states[t] = h = self.advance(g[t], h * carries[t])[0]
+            last = y[-1]
+            out[grid[given]] = self.log10_output(states[given], y[given])
         return out
 
     def train(self, symbols: np.ndarray, memory: dict, rate: float) -> None:
@@ -319,11 +346,11 @@ class Model:
             y = stream[start : start + WINDOW]
             x = np.vstack([last[None], y[:-1]])
             x = np.where(x < 0, end, x)
-            kept, tape = [], []
+            carries = (x != end).astype(np.float32)[:, :, None]  # where it is 0, a document begins
+            g, kept, tape = self.gates(x), [], []
             for t in range(len(y)):
-                fresh = x[t] == end
-                before = np.where(fresh[:, None], np.float32(0), h)
-                h, *gates = self.step(x[t], before)
+                before = h * carries[t]
+                h, *gates = self.advance(g[t], before)
                 tape.append((before, *gates))
                 kept.append(h)
             last = np.where(y[-1] < 0, end, y[-1]).astype(np.int32)
@@ -338,18 +365,24 @@ class Model:
             for t in range(len(y) - 1, -1, -1):
                 before, z, r, cand, un = tape[t]
                 dh = dh + d_all[t]
-                d_cand = dh * (1 - z) * (1 - cand * cand)
-                d_z = dh * (before - cand) * z * (1 - z)
-                d_r = d_cand * un * r * (1 - r)
-                d_gate[t] = np.hstack([d_z, d_r, d_cand])
-                inner = np.hstack([d_z, d_r, d_cand * r])
+                part = dh * (1 - z)
+                d_cand = part * (1 - cand * cand)
+                d = d_gate[t]
+                np.multiply(part * z, before - cand, out=d[:, :n])
+                np.multiply(d_cand * un, r * (1 - r), out=d[:, n : 2 * n])
+                d[:, 2 * n :] = d_cand
+                inner = d.copy()
+                inner[:, 2 * n :] *= r
                 du += before.T @ inner
-                dh = dh * z + inner @ self.p["u"].T
-                dh[x[t] == end] = 0
-            flat_gate, flat_x = d_gate.reshape(-1, 3 * n), x.reshape(-1)
+                dh *= z
+                dh += inner @ self.p["u"].T
+                dh *= carries[t]
+            flat_gate, flat_x = d_gate.reshape(-1, 3 * n), x.reshape(-1).astype(np.int16)
             order = np.argsort(flat_x, kind="stable")
-            uniq, first = np.unique(flat_x[order], return_index=True)
-            grads |= {"u": du, "b": flat_gate.sum(axis=0)}
+            met = flat_x[order]
+            first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+            uniq = met[first]
+            grads |= {"u": du, "b": np.ones(len(flat_gate), np.float32) @ flat_gate}
             self._update("x", np.add.reduceat(flat_gate[order], first, axis=0), memory, rate, uniq)
             for k, g in grads.items():
                 self._update(k, g, memory, rate)
@@ -358,15 +391,19 @@ class Model:
         """Gradients of the mean loss over the given positions."""
         scale = np.float32(1 / len(symbols))
         cls = self.targets(symbols)
-        p = _shares(states @ self.p["wc"], self.p["bc"], cls, scale)
-        d = p @ self.p["wc"].T
-        grads = {"wc": states.T @ p, "bc": p.sum(axis=0), "ww": np.zeros_like(self.p["ww"]), "bw": np.zeros_like(self.p["bw"])}
-        for rows, members in self._by_class(symbols, cls):
-            s, w = states[rows], self.p["ww"][members]
-            q = _shares(s @ w.T, self.p["bw"][members], np.searchsorted(members, symbols[rows]), scale)
-            d[rows] += q @ w
-            grads["ww"][members] = q.T @ s
-            grads["bw"][members] = q.sum(axis=0)
+        d = np.empty_like(states)
+        grads = {k: np.zeros_like(self.p[k]) for k in ("wc", "bc", "ww", "bw")}
+        for a in range(0, len(states), OUTPUT_ROWS):
+            some = slice(a, a + OUTPUT_ROWS)
+            d[some], wc, bc = _gradient_at(states[some], self.p["wc"].T, self.p["bc"], cls[some], scale)
+            grads["wc"] += wc.T
+            grads["bc"] += bc
+        rows, classes = self._by_class(symbols, cls)
+        held, own = states[rows], symbols[rows]
+        inner = np.zeros_like(held)
+        for part, words in classes:
+            inner[part], grads["ww"][words], grads["bw"][words] = _gradient_at(held[part], self.p["ww"][words], self.p["bw"][words], own[part] - words.start, scale)
+        d[rows] += inner
         return grads, d
 
     def _update(self, name: str, grad: np.ndarray, memory: dict, rate: float, rows: np.ndarray | None = None) -> None:
