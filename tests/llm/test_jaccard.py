@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattline.llm.catalog import QUERIES
-from wattline.llm.common import components
+from wattline.llm.common import components, small_frames
 from wattline.llm.jaccard import block_digests, jaccard_components, keep_one, linked_pairs, shingle_set
 
 from .conftest import SMALL
@@ -75,6 +75,23 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
     assert left == sorted((r[0] for r in odd_rows if r[0] not in gone), key=str)
 
 
+def test_python_gets_small_frames(spark):
+    """Long rows come in frames of about the bytes asked for, not 10 000 rows at once, and the session's own bound comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    with small_frames(spark, "1m"):
+        most = rows.mapInPandas(lambda frames: (f.assign(text=f["text"].str.len().sum())[:1] for f in frames), "text long").agg(F.max("text")).first()[0]
+    assert most <= 2 << 20 and spark.conf.get(name) == before
+
+
+def test_a_set_has_one_tag_per_class():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 9, 400):
+        keys, tags = block_digests(np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)), 80)
+        assert len(keys) == len(tags) and len(np.unique(tags)) == 2 and (np.diff(tags) >= 0).all()
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 9), (None, 3), (7, 8), (8, 7), *[(i, i + 1) for i in range(100, 160)]]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}

@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -55,6 +56,18 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def small_frames(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """What is executed inside sends rows to Python in pieces of about ``most`` bytes (Spark's default: 64 MB, held by both sides)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Join ``facts`` (at most one row per key) to ``rows``, where one key may hold a third of all rows.
 

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.common import attach, components, discard, in_batches, stash, words
+from wattline.llm.common import attach, components, discard, in_batches, small_frames, stash, words
 from wattline.llm.registry import register, table
 
 #: Distinct sets per row block, and columns per tile of a product.
@@ -195,14 +195,16 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, percent
 def _ties(keyed: DataFrame) -> DataFrame:
     """(u, v): documents that may link, tied so that no two of them are left apart.
 
-    ``keyed``: (doc, keys, tags). The digests are sorted over all partitions, ties by document. Two linked sets share at
+    ``keyed``: (doc, own, own_tag, next, next_tag). The digests are sorted over all partitions, ties by document. Two linked sets share at
     least as many digests of a class as their tags ask for (``need``). A digest is rare if it has ``FEW`` documents at most
     and no partition's end may cut it, else frequent. Let f be the frequent digests a document has in the class. Linked
     sets that share s rare digests share min(f, f') frequent ones at most, so s >= need - min(f, f'); these are
     found by counting pairs. Linked sets that share none have need frequent digests each, at least one of them in
     common; so of each frequent digest those documents are tied to the smallest of them.
     """
-    rows = keyed.select("doc", F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("tags").alias("tag"))).alias("x")).select("x.key", "doc", "x.tag")
+    # all digests of a class have one tag, which stands beside them once
+    by_class = keyed.select("doc", F.stack(F.lit(2), "own_tag", "own", "next_tag", "next").alias("tag", "keys"))
+    rows = by_class.select(F.explode("keys").alias("key"), "doc", "tag")
     placed = rows.repartitionByRange("key", "doc").sortWithinPartitions("key", "doc")
 
     def tie(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,18 +307,30 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    with small_frames(docs.sparkSession):
+        facts, found = _linked(rows, width, percent)
+    out = facts.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+    return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(docs.schema[id_col].dataType).alias("component_id"))
+
+
+def _linked(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Facts (doc, n, d1, d2) of every row (doc, text), and the components (node, component) of the links; all Python work is done on return."""
+    none = np.zeros(0, np.int64), np.zeros(1, np.int32)
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in in_batches(frames, "text", 4_000_000):
-            size, keys, digests, none = [], [], [], (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            size, digests, held = [], [], {"own": [], "own_tag": [], "next": [], "next_tag": []}
             for t in frame["text"]:
                 s = shingle_set(t, width)
                 size.append(len(s))
                 digests.append(set_digest(s))
-                keys.append(block_digests(s, percent) if len(s) else none)
-            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], "keys": [k for k, _ in keys], "tags": [t for _, t in keys]})
+                keys, tags = block_digests(s, percent) if len(s) else none
+                first = int((tags == tags[0]).sum())
+                for name, x in zip(held, (keys[:first], tags[0], keys[first:], tags[-1]), strict=True):
+                    held[name].append(x)
+            yield pd.DataFrame({"doc": frame["doc"].astype("Int64"), "n": size, "d1": [d for d, _ in digests], "d2": [d for _, d in digests], **held})
 
-    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, keys array<long>, tags array<int>"), "blocks")
+    keyed = stash(rows.mapInPandas(blocks, "doc long, n long, d1 long, d2 long, own array<long>, own_tag int, next array<long>, next_tag int"), "blocks")
     ties = stash(_ties(keyed.where(F.col("doc").isNotNull() & (F.col("n") > 0))), "ties")
     facts = stash(keyed.select("doc", "n", "d1", "d2"), "facts")
     discard(keyed)
@@ -341,9 +355,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     near = rows.withColumn("h", id_hash).join(F.broadcast(wanted.select(id_hash).distinct()), "h", "left_semi").drop("h")
     texts = near.join(wanted, "doc").select("family", "blocks", "doc", "d1", "d2", "text")
     links = _row_block_links(texts.mapInPandas(sets, "family long, blocks int, doc long, shingles binary"), percent)
-    found = components(same.unionByName(links), "u", "v")
-    out = facts.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
-    return out.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").cast(docs.schema[id_col].dataType).alias("component_id"))
+    return facts, components(same.unionByName(links), "u", "v")
 
 
 def numbered_rows(docs: DataFrame) -> DataFrame:
