@@ -60,3 +60,50 @@ def test_odd_rows(spark):
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in QUERIES["op8_pca_tiles"](spark, SMALL).collect()} == brute(rows)
+
+
+def test_a_tile_is_sent_a_few_times_not_once_per_other_tile():
+    from wattline.llm import vectors
+
+    for tiles in (1, 9, 26, 101, 293, 1465):
+        strip, wide = vectors.layout(tiles, 64)
+        strips = -(-tiles // strip)
+        assert strip * vectors.TILE * 64 * 8 <= vectors.STRIP_BYTES
+        sent = sum(s // strip + (strips - 1) // wide - s // strip // wide + 1 for s in range(tiles)) / tiles
+        assert sent <= max(vectors.SIDES + 2, strips)
+
+
+def test_strips_and_chunks_count_every_link_once(spark, monkeypatch):
+    """Many small tiles in strips of one or more, with a cluster that lies in all of them, and rows that no digit of is lost."""
+    from wattline.llm import vectors
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 8))
+    rows = [(int(k), [float(x) for x in base[0 if k % 3 == 0 else k % 40] + rng.normal(scale=0.12, size=8)]) for k in range(330)]
+    rows += [(1000 + k, rows[k][1]) for k in range(20)]
+    want = brute(rows)
+    monkeypatch.setattr(vectors, "TILE", 8)
+    seen = set()
+    for held, kind in ((8 * 8 * 8, "double"), (64 << 20, "double"), (8 * 8 * 8, "float")):
+        monkeypatch.setattr(vectors, "STRIP_BYTES", held)
+        seen.add(vectors.layout(-(-330 // 8), 8))
+        if kind == "float":
+            rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+            want = brute(rows)
+        got = near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect()
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+    assert len(seen) == 2
+
+
+def test_a_strip_tells_one_link_per_row():
+    """A cluster that fills every tile: links between rows of two tiles may be millions."""
+    from wattline.llm.vectors import Strip
+
+    x = unit_rows(np.ones((300, 4)) + np.arange(300)[:, None] * 1e-5)
+    strip, one = Strip(0.9), np.ones(100, np.int64)
+    for k in range(2):
+        strip.hold(np.arange(100) + 100 * k, one, x[100 * k : 100 * k + 100], True)
+    other = strip.meet(np.arange(200, 300), one, x[200:])
+    rest = strip.rest()
+    assert len(other) == 200 and set(other["links"].dropna()) == {200} and set(other["root"].dropna()) == {0}
+    assert len(rest) == 200 + 199 and set(rest["links"].dropna()) == {299} and set(rest["root"].dropna()) == {0}

@@ -9,16 +9,20 @@ dimensions, and a tile pair ends when none is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from wattline.llm.common import attach, components, stash
+from wattline.llm.common import attach, components, discard, small_frames, stash
 from wattline.llm.registry import register, table
 
 TILE = 2048
+#: Strips that a table is cut into while they stay below the bytes of rows that a task may hold.
+SIDES, STRIP_BYTES = 10, 64 << 20
 #: Allowance for rounding in a bound; what passes is decided on the full product.
 ROUNDING = 1e-9
 
@@ -77,6 +81,96 @@ def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
         label = after
 
 
+class Strip:
+    """Tiles of unit rows held together, against which others are compared one at a time.
+
+    Links are counted per row, and of the links only a spanning part is kept: what a strip tells is at most one count and one
+    link per row that it has read, for any number of pairs.
+    """
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.tiles: list[tuple[int, np.ndarray, np.ndarray]] = []  # where a tile starts, copies, rows
+        self.ids, self.links, self.label = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _across(self, copies: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list, list]:
+        """Links of the rows ``x`` with held ones, and spanning links (one end, other end); ``x`` is numbered after the held rows."""
+        own, ends, others = np.zeros(len(x)), [], []
+        for start, held, rows in self.tiles:
+            i, j = similar_pairs(rows, x, self.threshold)
+            if len(i):
+                self.links[start : start + len(held)] += np.bincount(i, copies[j], len(held)).astype(np.int64)
+                own += np.bincount(j, held[i], len(x))
+                for found, k in zip((ends, others), spanning(i, j + len(held), len(held) + len(x)), strict=True):
+                    found.append(np.where(k < len(held), start + k, len(self.ids) + k - len(held)))
+        return own, ends, others
+
+    def _settle(self, ends: list, others: list, new: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, root) for rows numbered after the held ones; the roots of held rows are kept."""
+        if not ends:
+            return (np.zeros(0, np.int64),) * 2
+        n = len(self.ids)
+        moved = np.flatnonzero(self.label != np.arange(n))
+        node, root = spanning(np.concatenate([*ends, moved]), np.concatenate([*others, self.label[moved]]), n + new)
+        self.label = np.arange(n)
+        self.label[node[node < n]] = root[node < n]
+        return node[node >= n], root[node >= n]
+
+    def hold(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, compare: bool) -> None:
+        """Add a tile; with ``compare`` it meets itself and those held before."""
+        n, own, ends, others = len(self.ids), np.zeros(len(ids)), [], []
+        if compare:
+            own, ends, others = self._across(copies, x)
+            i, j = similar_pairs(x, None, self.threshold)
+            if len(i):
+                own += np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
+                for found, k in zip((ends, others), spanning(i, j, len(x)), strict=True):
+                    found.append(n + k)
+        self.tiles.append((n, copies, x))
+        self.ids, self.links = np.concatenate([self.ids, ids]), np.concatenate([self.links, own.astype(np.int64)])
+        self.label = np.concatenate([self.label, np.arange(n, n + len(ids))])
+        self._settle(ends, others, 0)
+
+    def meet(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        """What is known of the rows of another tile."""
+        own, ends, others = self._across(copies, x)
+        node, root = self._settle(ends, others, len(ids))
+        every = np.concatenate([self.ids, ids]) if len(node) else ids
+        return _told(ids, own.astype(np.int64), every[node], every[root])
+
+    def rest(self) -> pd.DataFrame:
+        """What is known of the held rows in the end."""
+        moved = np.flatnonzero(self.label != np.arange(len(self.ids)))
+        return _told(self.ids, self.links, self.ids[moved], self.ids[self.label[moved]])
+
+
+def _told(ids: np.ndarray, links: np.ndarray, node: np.ndarray, root: np.ndarray) -> pd.DataFrame:
+    some = np.flatnonzero(links)
+    out = pd.DataFrame({"id": np.concatenate([ids[some], node])})
+    out["links"] = pd.array([*links[some].tolist(), *[None] * len(node)], "Int64")
+    out["root"] = pd.array([*[None] * len(some), *root.tolist()], "Int64")
+    return out
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Rows in single precision where that keeps every digit, else in double."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if (single == x).all() else x).tobytes()
+
+
+def unpacked(m: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(m, np.float32 if len(m) == 4 * n * dim else np.float64).reshape(n, dim).astype(np.float64)
+
+
+def layout(tiles: int, dim: int) -> tuple[int, int]:
+    """Tiles of a strip, strips of a chunk. A tile goes to a task per strip before its own and per chunk from its own on: about ``SIDES``
+    times, until a strip is as large as a task may hold; then chunks grow, and tasks read more instead of being more."""
+    most = max(1, STRIP_BYTES // (TILE * dim * 8))
+    strip = min(most, -(-tiles // SIDES))
+    return strip, max(1, -(-tiles // strip) // SIDES)
+
+
 def _gram(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = None
     for frame in frames:
@@ -97,7 +191,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    single = isinstance(vectors.schema[vec_col].dataType.elementType, FloatType)  # kept as they are, at half the bytes
+    v = F.transform(F.col(vec_col), lambda x: x if single else x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0)
@@ -107,17 +202,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     classes = usable.groupBy("dim", "k1", "k2").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     heads = usable.join(classes.withColumnRenamed("head", "id"), ["dim", "k1", "k2", "id"]).select("dim", "k1", "k2", "id", "copies", "v")
     heads = stash(heads, "heads")
-    found = None
+    found, packs = spark.createDataFrame([], "id long, links long, root long"), []
     for dim, n in sorted((r[0], r[1]) for r in heads.groupBy("dim").count().collect()):
-        part = _links(heads.where(F.col("dim") == dim), dim, n, threshold)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "id long, links long, root long")
-    found = stash(found, "links")
+        part, blobs = _links(heads.where(F.col("dim") == dim), dim, n, threshold)
+        found = found.unionByName(part)
+        packs.append(blobs)
+    with small_frames(spark):
+        found = stash(found, "links")
+    discard(*packs)
     counts = found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links"))
     per_head = heads.select("dim", "k1", "k2", F.col("id").alias("head"), "copies").join(counts.withColumnRenamed("id", "head"), "head", "left")
     per_head = per_head.select("dim", "k1", "k2", "head", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     member = stash(attach(usable.select("id", "dim", "k1", "k2"), per_head, ["dim", "k1", "k2"], F.col("id"), "inner"), "members")
+    discard(usable, heads)
     ties = member.select(F.col("id").alias("u"), F.col("head").alias("v")).unionByName(found.where("root is not null").select(F.col("id").alias("u"), F.col("root").alias("v")))
     roots = components(ties, "u", "v")
     links = member.groupBy("id").agg(F.max("links").alias("links"))
@@ -127,8 +224,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     return out.select(F.col("id").cast(kind).alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.cast(kind).alias("component_id"), F.coalesce(own == F.col("id"), F.lit(False)).alias("kept"))
 
 
-def _links(heads: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """(id, links, null): links of a vector in a tile pair, copies counted; (id, null, root): spanning links."""
+def _links(heads: DataFrame, dim: int, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, links, null): links of a vector found in a task, copies counted; (id, null, root): spanning links. And the tiles, to be
+    discarded once they are read."""
     spark = heads.sparkSession
     gram = np.zeros(dim * dim)
     for r in heads.select("v").mapInPandas(_gram, "at long, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
@@ -138,53 +236,36 @@ def _links(heads: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
     tiled = heads.select(F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"), "id", "copies", "v").repartition(tiles, "tile").sortWithinPartitions("tile", "id")
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tile, held = None, []
-
-        def packed():
-            x = np.stack([r[3] for r in held]).astype(np.float64)
-            return pd.DataFrame([(tile, np.array([r[1] for r in held], np.int64).tobytes(), np.array([r[2] for r in held], np.int64).tobytes(), (unit_rows(x) @ basis.value).tobytes())], columns=["tile", "ids", "copies", "m"])
-
-        for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                if row[0] != tile and held:
-                    yield packed()
-                    held = []
-                tile = row[0]
-                held.append(row)
-        if held:
-            yield packed()
+        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        for tile, members in groupby(rows, key=lambda row: row[0]):
+            ids, copies, v = zip(*(row[1:] for row in members), strict=True)
+            yield pd.DataFrame({"tile": [tile], "ids": [np.array(ids, np.int64).tobytes()], "copies": [np.array(copies, np.int64).tobytes()], "m": [packed(np.stack(v).astype(np.float64))]})
 
     blobs = stash(tiled.mapInPandas(pack, "tile int, ids binary, copies binary, m binary"), "tiles")
-    pairs = blobs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    pairs = pairs.select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "ids", "copies", "m")
-    pairs = pairs.repartition(max(1, min(tiles * (tiles + 1) // 2, 4096)), "low", "high").sortWithinPartitions("low", "high", "tile")
+    strip, wide = layout(tiles, dim)
+    strips = -(-tiles // strip)
+    own = F.floor(F.col("tile") / strip).cast("int")
+    chunk = F.floor(own / wide).cast("int")
+    held = blobs.select(own.alias("strip"), F.explode(F.sequence(chunk, F.lit((strips - 1) // wide))).alias("chunk"), F.lit(0).alias("part"), "tile", "ids", "copies", "m")
+    met = blobs.where(own > 0).select(F.explode(F.sequence(F.lit(0), own - 1)).alias("strip"), chunk.alias("chunk"), F.lit(1).alias("part"), "tile", "ids", "copies", "m")
+    tasks = sum((strips - 1) // wide - k // wide + 1 for k in range(strips))
+    # several places per task, so that few tasks share one
+    dealt = held.unionByName(met).repartition(max(1, min(4 * tasks, 4096)), "strip", "chunk").sortWithinPartitions("strip", "chunk", "part", "tile")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in frames:
-            for low, high, tile, ids, copies, m in frame.itertuples(index=False, name=None):
+        rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))
+        for (at, chunk), task in groupby(rows, key=lambda row: row[:2]):
+            group = Strip(threshold)
+            for _, _, part, _, ids, copies, m in task:
                 ids, copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
-                x = np.frombuffer(m, np.float64).reshape(len(ids), dim)
-                if low != high and tile == low:
-                    first = low, high, ids, copies, x
-                    continue
-                if low == high:
-                    i, j = similar_pairs(x, None, threshold)
-                elif first and first[:2] == (low, high):
-                    i, j = similar_pairs(first[4], x, threshold)
-                    j = j + len(first[2])
-                    ids, copies = np.concatenate([first[2], ids]), np.concatenate([first[3], copies])
-                else:
-                    continue  # the lower tile is empty
-                links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                node, root = spanning(i, j, len(ids))
-                some = np.flatnonzero(links)
-                out = pd.DataFrame({"id": np.concatenate([ids[some], ids[node]])})
-                out["links"] = pd.array([*links[some].astype(np.int64).tolist(), *[None] * len(node)], "Int64")
-                out["root"] = pd.array([*[None] * len(some), *ids[root].tolist()], "Int64")
-                yield out
-
-    return pairs.mapInPandas(compare, "id long, links long, root long")
+                x = unit_rows(unpacked(m, len(ids), dim)) @ basis.value
+                if part == 0:
+                    group.hold(ids, copies, x, chunk == at // wide)
+                elif group.tiles:
+                    yield group.meet(ids, copies, x)
+            yield group.rest()
+
+    return dealt.mapInPandas(compare, "id long, links long, root long"), blobs
 
 
 @register("op8_pca_tiles")
