@@ -97,3 +97,56 @@ def test_query_recall(spark, sf):
     assert value >= 0.9 and all(len(got[q]) == 5 for q in want)
     exact = {q: dict(found) for q, found in want.items()}
     assert all(abs(s - exact[q][i]) < 1e-12 for q in want for i, s in got[q] if i in exact[q])
+
+
+def test_reached_rows_share_the_prefix_at_every_length():
+    rng = np.random.default_rng(4)
+    planes = P.directions(6)
+    x, y = (P.scaled(rng.normal(size=(n, 6))) for n in (300, 7))
+    block, s, asked = P.Block(np.arange(300), x, planes), P.strings(x, planes), P.strings(y, planes)
+    for bits in (0, 1, 5, P.LEAD, P.LEAD + 1, 14, 32):
+        want = np.ones((7, 300), bool) if bits == 0 else ((asked[:, :, None] >> (32 - bits)) == (s[:, None, :] >> (32 - bits))).any(axis=0)
+        assert (P.reached(block, asked, bits) == want).all()
+
+
+@pytest.mark.parametrize("dense", [1, 16, 10**9])
+def test_scored_rows_do_not_depend_on_how_they_are_multiplied(monkeypatch, dense):
+    """Every row that shares a prefix down to where the query stops, whether gathered in pairs or in one product."""
+    monkeypatch.setattr(P, "DENSE", dense)
+    rng = np.random.default_rng(6)
+    x = P.scaled(rng.normal(size=(2000, 16)))
+    planes, at = P.directions(16), np.arange(40)
+    best = Best(40, 5, np.float64)
+    scored = P.ascend(P.Block(np.arange(2000), x, planes), x[:40], np.arange(40), P.strings(x[:40], planes), best, at)
+    s = P.strings(x, planes)
+    total, found = 0, dict(zip(*(v.tolist() for v in (best.query * 5 + np.tile(np.arange(5), 40), best.id)), strict=True))
+    for q in range(40):
+        for bits in range(32, -1, -1):
+            rows = np.flatnonzero(((s >> (32 - bits)) == (s[:, q : q + 1] >> (32 - bits))).any(axis=0)) if bits else np.arange(2000)
+            rows = rows[rows != q]
+            near = P.cosines(x[rows], x[q : q + 1].repeat(len(rows), 0))
+            if len(rows) >= 5 and P.bits_kept(np.sort(near)[-5:-4])[0] >= bits:
+                break
+        total += len(rows)
+        order = np.lexsort((rows, -near))[:5]
+        assert [found[q * 5 + k] for k in range(5)] == rows[order].tolist()
+    assert scored == total
+
+
+def test_pieces_are_dealt_evenly(spark):
+    """Blocks of as many tasks, one or three each, into eight groups: none gets twice its share."""
+    import pickle
+
+    import pandas as pd
+
+    from wattline.llm.blockwise import MOST_PIECES, meet_all
+
+    def pieces(tasks, each):
+        return spark.createDataFrame([(t * MOST_PIECES + k, pickle.dumps({"n": 1})) for t in range(tasks) for k in range(each)], "piece long, payload binary")
+
+    def work(held, blocks):
+        yield pd.DataFrame({"n": [sum(b["n"] for b in blocks)]})
+
+    for tasks, each in ((16, 1), (8, 3), (24, 1)):
+        got = [r.n for r in meet_all(pieces(1, 1), pieces(tasks, each), 1, 8, work, "n long").collect()]
+        assert sorted(got) == [tasks * each // 8] * 8

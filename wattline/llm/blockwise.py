@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 PIECES = "piece long, payload binary"
 #: Pieces that one task may make.
 MOST_PIECES = 1 << 20
+#: Partitions per pair of groups, which are dealt by a hash.
+PLACES = 8
 
 
 def numbered_pieces(payloads: Iterable[dict]) -> Iterator[pd.DataFrame]:
@@ -27,19 +29,21 @@ def numbered_pieces(payloads: Iterable[dict]) -> Iterator[pd.DataFrame]:
 def meet_all(queries: DataFrame, blocks: DataFrame, query_groups: int, row_groups: int, work: Callable[[list[dict], Iterator[dict]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """What ``work(query payloads, row payloads)`` yields for every pair of a query group and a row group.
 
-    Both sides are (piece, payload) and are dealt into groups by a hash of the piece. A task holds the queries of one group
+    Both sides are (piece, payload) and are dealt into groups in turns: the pieces of a task that made them go to one group after
+    the other, from a group that changes from task to task, so groups are about equal. A task holds the queries of one group
     and reads row blocks one after the other; a query group travels once per row group and a row group once per query group.
     """
 
     def group(n: int):
-        return F.pmod(F.xxhash64("piece"), F.lit(n)).cast("int")
+        return F.pmod(F.shiftright("piece", MOST_PIECES.bit_length() - 1) + F.col("piece") % MOST_PIECES, F.lit(n)).cast("int")
 
     def all_of(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     q = queries.select(group(query_groups).alias("q"), all_of(row_groups).alias("r"), F.lit(0).alias("kind"), "piece", "payload")
     b = blocks.select(all_of(query_groups).alias("q"), group(row_groups).alias("r"), F.lit(1).alias("kind"), "piece", "payload")
-    dealt = q.unionByName(b).repartition(min(query_groups * row_groups, 8192), "q", "r").sortWithinPartitions("q", "r", "kind", "piece")
+    # several places per pair, so that few pairs share one
+    dealt = q.unionByName(b).repartition(min(PLACES * query_groups * row_groups, 8192), "q", "r").sortWithinPartitions("q", "r", "kind", "piece")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = (row for frame in frames for row in frame.itertuples(index=False, name=None))

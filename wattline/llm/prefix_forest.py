@@ -14,6 +14,7 @@ every row of the block is scored. The directions depend on the vector length and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,9 @@ MISS = 0.05
 BLOCK = 8192
 ROWS_TOGETHER, QUERIES_TOGETHER = 65_536, 8192
 SIDE_BY_SIDE, PAIRS = 256, 100_000
+#: Prefixes up to this length are compared in place, longer ones found as ranges; a block is multiplied with its queries once a level
+#: brings in one pair in so many.
+LEAD, DENSE = 8, 16
 #: What a rounded product may miss; rows within it are scored exactly.
 ROUNDING = 1e-12
 
@@ -81,6 +85,17 @@ class Block:
         self.order = np.argsort(s, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(s, self.order, axis=1)
 
+    @cached_property
+    def unit(self) -> np.ndarray:
+        return self.x / norms(self.x)[:, None]
+
+    @cached_property
+    def lead(self) -> np.ndarray:
+        """(TREES, rows) the first LEAD bits of the strings."""
+        out = np.empty(self.order.shape, np.uint8)
+        np.put_along_axis(out, self.order.astype(np.int64), (self.sorted >> (BITS - LEAD)).astype(np.uint8), axis=1)
+        return out
+
 
 def common_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of two strings of BITS bits."""
@@ -112,42 +127,77 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
 
 
+def reached(block: Block, wanted: np.ndarray, bits: int) -> np.ndarray:
+    """(queries, rows): which rows share the first ``bits`` bits with a query in any tree; ``wanted``: (TREES, queries)."""
+    out = np.zeros((wanted.shape[1], len(block.ids)), bool)
+    if bits > LEAD:
+        for t in range(TREES):
+            which, place = _spread(*_ranges(block.sorted[t], wanted[t], bits))
+            out[which, block.order[t, place]] = True
+    elif bits:
+        # ranges hold many rows here, so prefixes are compared in place
+        same = np.empty_like(out)
+        for own, asked in zip(block.lead >> (LEAD - bits), wanted >> (BITS - bits), strict=True):
+            np.equal(own, asked.astype(np.uint8)[:, None], out=same)
+            out |= same
+    else:
+        out[:] = True
+    return out
+
+
+def marked(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a (queries, rows) table is set; faster than ``nonzero`` of two axes."""
+    return np.divmod(np.flatnonzero(pairs), pairs.shape[1])
+
+
+class Scores:
+    """The cosines of a block's rows with the queries ``at``; those that may be among the best are worked out on their original vectors."""
+
+    def __init__(self, block: Block, x: np.ndarray, at: np.ndarray, best: Best):
+        self.block, self.x, self.at, self.best = block, x, at, best
+        self.unit = x[at] / norms(x[at])[:, None]
+        self.product: np.ndarray | None = None
+
+    def score(self, now: np.ndarray, fresh: np.ndarray, pairs: int) -> None:
+        """Score the ``pairs`` marked in ``fresh`` (places ``now`` in ``at``, rows)."""
+        least = self.best.floor[self.at[now]] - ROUNDING
+        if self.product is None and pairs * DENSE > fresh.size:
+            # so many rows come in from here on that one product costs less than gathering them pair by pair
+            self.product = self.unit @ self.block.unit.T
+        known = self.product is not None
+        if known:
+            product = self.product if len(now) == len(self.at) else self.product[now]
+            fresh = fresh & (product >= least[:, None])
+        q, r = marked(fresh)
+        for low in range(0, len(q), PAIRS):
+            a, b = q[low : low + PAIRS], r[low : low + PAIRS]
+            if not known:
+                fit = np.einsum("nd,nd->n", self.unit[now[a]], self.block.unit[b]) >= least[a]
+                a, b = a[fit], b[fit]
+            a = self.at[now[a]]
+            exact = cosines(self.x[a], self.block.x[b])
+            good = self.best.better(a, exact, self.block.ids[b])
+            self.best.add(a[good], exact[good], self.block.ids[b[good]])
+
+
 def ascend(block: Block, x: np.ndarray, ids: np.ndarray, wanted: np.ndarray, best: Best, at: np.ndarray) -> int:
     """Score rows of the block for queries ``at``, from the longest prefix match up, until each may stop; the rows scored."""
     scored = 0
     length = descend(block, wanted[:, at])
-    seen = np.zeros((len(at), len(block.ids)), bool)
-    seen |= ids[at, None] == block.ids
-    before = [(np.zeros(len(at), np.int64),) * 2 for _ in range(TREES)]
+    seen = ids[at, None] == block.ids
     active = np.ones(len(at), bool)
-    size, own_size = norms(x[at]), norms(block.x)
+    scores = Scores(block, x, at, best)
     for bits in range(int(length.max(initial=0)), -1, -1):
         now = np.flatnonzero(active & (length >= bits))
         if not len(now):
             continue
-        for t in range(TREES):
-            start, stop = _ranges(block.sorted[t], wanted[t, at[now]], bits)
-            old_start, old_stop = before[t]
-            fresh = old_stop[now] == old_start[now]  # nothing in range so far
-            for a, b in ((start, np.where(fresh, stop, old_start[now])), (np.where(fresh, stop, old_stop[now]), stop)):
-                which, place = _spread(a, b)
-                seen_rows = block.order[t, place]
-                new = ~seen[now[which], seen_rows]
-                which, seen_rows = which[new], seen_rows[new]
-                seen[now[which], seen_rows] = True
-                for low in range(0, len(which), PAIRS):
-                    q, r = now[which[low : low + PAIRS]], seen_rows[low : low + PAIRS]
-                    rough = np.einsum("nd,nd->n", x[at[q]], block.x[r]) / (size[q] * own_size[r])
-                    fit = np.flatnonzero(rough >= best.floor[at[q]] - ROUNDING)
-                    exact = cosines(x[at[q[fit]]], block.x[r[fit]])
-                    good = best.better(at[q[fit]], exact, block.ids[r[fit]])
-                    best.add(at[q[fit[good]]], exact[good], block.ids[r[fit[good]]])
-                    scored += len(q)
-            start_all, stop_all = old_start.copy(), old_stop.copy()
-            start_all[now], stop_all[now] = start, stop
-            before[t] = start_all, stop_all
-            if t % 8 == 7:
-                best.settle()
+        known = seen[now]
+        fresh = reached(block, wanted[:, at[now]], bits)
+        fresh &= ~known
+        seen[now] = known | fresh
+        pairs = np.count_nonzero(fresh)
+        scores.score(now, fresh, pairs)
+        scored += pairs
         best.settle()
         enough = best.floor[at] > -np.inf
         active &= ~(enough & (bits_kept(np.where(enough, best.floor[at], 0)) >= bits))
